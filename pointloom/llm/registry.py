@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pointloom.llm import leak_queries, quantile_queries, run_queries, split_queries, token_queries, topn_queries
+from pointloom.llm import leak_queries, quantile_queries, residue_queries, run_queries, split_queries, token_queries, topn_queries
 
-_MODULES = (topn_queries, quantile_queries, run_queries, split_queries, token_queries, leak_queries)
+_MODULES = (topn_queries, quantile_queries, run_queries, split_queries, token_queries, leak_queries, residue_queries)
 
 
 def queries() -> dict:
