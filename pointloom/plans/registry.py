@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pointloom.plans import nested_queries
+from pointloom.plans import nested_queries, point_queries, relational_queries
 
-_MODULES = (nested_queries,)
+_MODULES = (relational_queries, point_queries, nested_queries)
 
-FLAGSHIP = nested_queries.p2_found
+FLAGSHIP = point_queries.kmeans_lloyd
 
 
 def queries() -> dict:
