@@ -44,6 +44,6 @@ SQL = {
   SELECT algo, period, measure, x FROM (
     SELECT algo, finished_at, unnest(['wall_time_s', 'rss_delta_mb']) AS measure, unnest([wall_time_s, rss_delta_mb]) AS x FROM latest
   ), LATERAL (SELECT unnest(['all', strftime(finished_at, '%Y-%m')]) AS period)
-  WHERE x IS NOT NULL AND NOT isnan(x)
+  WHERE x IS NOT NULL AND x::VARCHAR <> 'nan'
 ) {_ONE}""",
 }

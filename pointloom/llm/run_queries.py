@@ -32,7 +32,7 @@ def _agree(c: str) -> str:
 
 _RUNS = f"""
 WITH once AS (
-  SELECT run_id, step_idx, CASE WHEN NOT isnan(cost) THEN cost END AS cost, CASE WHEN NOT isnan(delta_cost) THEN delta_cost END AS delta_cost,
+  SELECT run_id, step_idx, CASE WHEN cost::VARCHAR <> 'nan' THEN cost END AS cost, CASE WHEN delta_cost::VARCHAR <> 'nan' THEN delta_cost END AS delta_cost,
     coalesce(accepted, true) AS accepted, recorded_at
   FROM (SELECT *, row_number() OVER (PARTITION BY run_id, step_idx ORDER BY ingested_at DESC) AS turn FROM step_records) WHERE turn = 1
 ), lagged AS (

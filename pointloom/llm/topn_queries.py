@@ -44,7 +44,7 @@ WITH latest AS (
 )"""
 _TOP = f"""{CURRENT_SQL}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY dataset, seed ORDER BY CASE WHEN ari = 0 THEN 0.0 ELSE ari END DESC, algo, result_id) AS rank
-  FROM runs WHERE ari IS NOT NULL AND NOT isnan(ari)
+  FROM runs WHERE ari IS NOT NULL AND ari::VARCHAR <> 'nan'
 )"""
 
 QUERIES = {"p1_found": p1_found, "p1_top_runs": p1_top_runs}
