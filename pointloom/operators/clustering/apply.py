@@ -59,10 +59,10 @@ def _distributed(points: DataFrame, algo: str, k: int | None, seed: int, params:
 def cluster(points: DataFrame, algo: str, k: int | None = None, seed: int = 0, fit_rows: int = FIT_ROWS, **params: Any) -> Clustering:
     """Cluster points (`point_id`, `x`).
 
-    k-means and its like and DBSCAN run over partitions whatever the size. The other
-    kernels need their points in one memory: up to `fit_rows` points they see all of
-    them; of more they see that many, and every other point takes the label of the
-    nearest point they saw, block by block. Null or ragged vectors are an error; an
+    Up to `fit_rows` points are clustered in one memory, where a job per iteration
+    would cost more than the work. Of more points, k-means and its like and DBSCAN see
+    all, partition by partition; the other kernels see `fit_rows` of them, and every
+    other point takes the label of the nearest point they saw, block by block. Null or ragged vectors are an error; an
     empty table gives no labels.
     """
     spark = points.sparkSession
@@ -70,7 +70,7 @@ def cluster(points: DataFrame, algo: str, k: int | None = None, seed: int = 0, f
     n = held.count()
     if n == 0:
         return Clustering(held.select("point_id", F.lit(0).alias("label")), {}, spark.createDataFrame([], STEPS))
-    done = _distributed(held, algo, k, seed, params)
+    done = _distributed(held, algo, k, seed, params) if n > fit_rows else None
     if done is not None:
         labels, extra, steps = done
         return Clustering(labels, extra, spark.createDataFrame(step_rows(steps), STEPS))

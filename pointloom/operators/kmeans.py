@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.staging import stage
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column as a matrix, without going through Python lists."""
@@ -64,26 +66,32 @@ def nearest_share(assigned: DataFrame, trim: float, bins: int = 4096) -> DataFra
     return inner.select(*assigned.columns).unionByName(edge.select(*assigned.columns))
 
 
-def _means(members: DataFrame, d: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of each label's members; a label without any keeps its centre."""
-    k = len(before)
+def _sums(members: DataFrame, k: int, d: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sum and number of each label's members, and the sum of their squared distances: a row per label and task, then per label."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts = np.zeros((k, d)), np.zeros(k, dtype=np.int64)
+        sums, counts, squares = np.zeros((k, d)), np.zeros(k, dtype=np.int64), np.zeros(k)
         for batch in batches:
             if batch.num_rows:
                 label = batch.column(0).to_numpy()
                 np.add.at(sums, label, matrix(batch.column(1)))
                 counts += np.bincount(label, minlength=k)
+                squares += np.bincount(label, weights=batch.column(2).to_numpy(), minlength=k)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(sums[at]), type=pa.list_(pa.float64())), pa.array(counts[at])], names=["label", "s", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(sums[at]), type=pa.list_(pa.float64())), pa.array(counts[at]), pa.array(squares[at])], names=["label", "s", "n", "sq"])
 
-    parts = members.select("label", "x").mapInArrow(partial, "label int, s array<double>, n long")
-    rows = parts.groupBy("label").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s"), F.sum("n").alias("n")).collect()  # k rows
-    after, sizes = before.copy(), np.zeros(k, dtype=np.int64)
+    parts = members.select("label", "x", "sq").mapInArrow(partial, "label int, s array<double>, n long, sq double")
+    rows = parts.groupBy("label").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s"), F.sum("n").alias("n"), F.sum("sq").alias("sq")).collect()  # k rows
+    sums, sizes = np.zeros((k, d)), np.zeros(k, dtype=np.int64)
     for r in rows:
-        after[r["label"]], sizes[r["label"]] = np.array(r["s"]) / r["n"], r["n"]
-    return after, sizes
+        sums[r["label"]], sizes[r["label"]] = r["s"], r["n"]
+    return sums, sizes, float(sum(r["sq"] for r in rows))
+
+
+def _means(members: DataFrame, d: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean and size of each label's members and their inertia; a label without any keeps its centre."""
+    sums, sizes, inertia = _sums(members, len(before), d)
+    return np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], before), sizes, inertia
 
 
 @dataclass
@@ -100,8 +108,12 @@ def lloyd(points: DataFrame, centers: np.ndarray, max_iter: int = 100, tol: floa
     last = None
     for i in range(max_iter):
         assigned = assign(points, out.centers)
-        inertia = float(assigned.agg(F.sum("sq")).first()[0] or 0.0)
-        moved, _ = _means(nearest_share(assigned, trim) if trim > 0 else assigned, out.centers.shape[1], out.centers)
+        if trim > 0:  # the assignment is read several times
+            assigned = stage(assigned, "assigned")
+            inertia = float(assigned.agg(F.sum("sq")).first()[0] or 0.0)
+            moved, _, _ = _means(nearest_share(assigned, trim), out.centers.shape[1], out.centers)
+        else:
+            moved, _, inertia = _means(assigned, out.centers.shape[1], out.centers)
         shift = float(np.sqrt(((moved - out.centers) ** 2).sum(axis=1)).max())
         out.trace.append((i, inertia, shift))
         out.centers = moved
