@@ -21,6 +21,8 @@ from pointloom.operators.staging import stage
 
 #: Points per block: a visit holds a matrix of BLOCK x BLOCK distances.
 BLOCK = 2000
+#: Links that one task joins rather than rounds of the cluster.
+SMALL_GRAPH = 1_000_000
 
 
 def _packed(points: DataFrame, blocks: int) -> DataFrame:
@@ -33,20 +35,26 @@ def _packed(points: DataFrame, blocks: int) -> DataFrame:
 def visits(queries: DataFrame, points: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Each block of queries with each block of points: `q_ids`, `q_xs`, `ids`, `xs`; without `points`, of queries with themselves."""
     points = queries if points is None else points
-    nq = max(1, math.ceil(queries.count() / block))
     n = max(1, math.ceil(points.count() / block))
+    nq = n if queries is points else max(1, math.ceil(queries.count() / block))
     right = _packed(points, n)
     left = _packed(queries, nq).withColumnsRenamed({"b": "q_b", "ids": "q_ids", "xs": "q_xs"})
-    return left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right, "b").select("q_ids", "q_xs", "ids", "xs")
+    asked = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    tasks = min(10_000, 2 * n)  # few bytes, much work: left to itself the engine would put all visits into one task
+    return asked.repartition(tasks, "b").join(right.repartition(tasks, "b"), "b").select("q_ids", "q_xs", "ids", "xs")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows, by differences (no cancellation), in slices of bounded memory."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, 8_000_000 // max(1, b.size))
+    """Euclidean distances of rows, by differences (no cancellation), a dimension at a time."""
+    out = np.zeros((len(a), len(b)))
+    step = max(1, 250_000 // max(1, len(b)))
     for i in range(0, len(a), step):
-        diff = a[i : i + step, None, :] - b[None, :, :]
-        out[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+        part = out[i : i + step]
+        for k in range(a.shape[1]):
+            diff = a[i : i + step, k, None] - b[None, :, k]
+            diff *= diff
+            part += diff
+        np.sqrt(part, out=part)
     return out
 
 
@@ -64,11 +72,13 @@ def knn(points: DataFrame, k: int, queries: DataFrame | None = None, block: int
                 q_ids, ids = np.asarray(q_ids), np.asarray(ids)
                 d = np.round(distances(_matrix(q_xs), _matrix(xs)), 9)
                 d[q_ids[:, None] == ids[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                near = np.take_along_axis(d, order, axis=1)
-                rows = np.repeat(np.arange(len(q_ids)), order.shape[1])
-                keep = np.isfinite(near.ravel())
-                yield pd.DataFrame({"i": q_ids[rows][keep], "j": ids[order.ravel()][keep], "d": near.ravel()[keep]})
+                m = min(k, d.shape[1])
+                rows, cols = np.nonzero(d <= np.partition(d, m - 1, axis=1)[:, m - 1 : m])  # the k nearest and what ties with the last
+                order = np.lexsort((ids[cols], d[rows, cols], rows))
+                rows, cols = rows[order], cols[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                keep = (place < k) & np.isfinite(d[rows, cols])
+                yield pd.DataFrame({"i": q_ids[rows[keep]], "j": ids[cols[keep]], "d": d[rows[keep], cols[keep]]})
 
     found = visits(points if itself else queries, points, block).mapInPandas(visit, "i long, j long, d double")
     best = F.slice(F.sort_array(F.collect_list(F.struct("d", "j"))), 1, k)
@@ -117,15 +127,57 @@ def one_nn(points: DataFrame, labelled: DataFrame, block: int = BLOCK) -> DataFr
     return near.join(labelled.select(F.col("point_id").alias("j"), "label"), "j").select(F.col("i").alias("point_id"), "label")
 
 
+def neighbour_counts(points: DataFrame, eps: float, block: int = BLOCK) -> DataFrame:
+    """(`node`, `n`): other points at most `eps` away."""
+
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for q_ids, q_xs, ids, xs in zip(frame["q_ids"], frame["q_xs"], frame["ids"], frame["xs"], strict=True):
+                q_ids, ids = np.asarray(q_ids), np.asarray(ids)
+                near = np.round(distances(_matrix(q_xs), _matrix(xs)), 9) <= eps
+                near &= q_ids[:, None] != ids[None, :]
+                yield pd.DataFrame({"node": q_ids, "n": near.sum(axis=1)})
+
+    return visits(points, None, block).mapInPandas(visit, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links between nodes as (node, smallest node of its component), the smallest itself left out."""
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (p := parent.setdefault(i, i)) != i:
+            parent[i] = parent[p]
+            i = parent[i]
+        return i
+
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        ri, rj = root(i), root(j)
+        if ri != rj:
+            parent[max(ri, rj)] = min(ri, rj)
+    return [(i, r) for i in list(parent) if (r := root(i)) != i]
+
+
 def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(`node`, `component`): the smallest node reachable from each node.
 
     Alternates, as in the large-star / small-star scheme, linking every neighbour to
     the smallest node around it, which halves path lengths; each round is staged, and
     partial minima are taken before the shuffle, so a hub is no single task's burden.
+    Up to `SMALL_GRAPH` links are joined by a single task, to the same result.
     """
     link = edges.select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).where("u <> v").distinct()
     link = stage(link, "link")
+    if link.count() <= SMALL_GRAPH:
+
+        def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [f for f in frames if len(f)]
+            if held:
+                whole = pd.concat(held)
+                yield pd.DataFrame(_stars(whole["u"].to_numpy(), whole["v"].to_numpy()), columns=["node", "component"])
+
+        own = link.coalesce(1).mapInPandas(join, "node long, component long")
+        return nodes.join(own, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     before = None
     for _ in range(max_rounds):
         both = link.unionByName(link.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -143,17 +195,43 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
     return nodes.join(own, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _links(points: DataFrame, eps: float, block: int) -> DataFrame:
+    """(`i`, `j`, `inner`) of points whose first coordinate says whether they are core points.
+
+    Of the links among core points a visit emits one per point, to the smallest of its
+    component there, which joins the same points in at most two blocks' worth of rows;
+    of a point that is none, its nearest-numbered core neighbour.
+    """
+
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for q_ids, q_xs, ids, xs in zip(frame["q_ids"], frame["q_xs"], frame["ids"], frame["xs"], strict=True):
+                q_ids, ids, a, b = np.asarray(q_ids), np.asarray(ids), _matrix(q_xs), _matrix(xs)
+                near = np.round(distances(a[:, 1:], b[:, 1:]), 9) <= eps
+                near &= (b[:, 0] > 0)[None, :]
+                inner = near & (a[:, 0] > 0)[:, None] & (q_ids[:, None] < ids[None, :])
+                i, j = np.nonzero(inner)
+                kept = _stars(q_ids[i], ids[j])
+                edge = np.flatnonzero((a[:, 0] <= 0) & near.any(axis=1))
+                beside = [int(ids[near[e]].min()) for e in edge]
+                yield pd.DataFrame({"i": [p for p, _ in kept] + q_ids[edge].tolist(), "j": [q for _, q in kept] + beside, "inner": [True] * len(kept) + [False] * len(edge)})
+
+    return visits(points, None, block).mapInPandas(visit, "i long, j long, inner boolean")
+
+
 def dbscan(points: DataFrame, eps: float, min_samples: int = 5, block: int = BLOCK) -> DataFrame:
     """(`point_id`, `label`, `core`): density clusters, the smallest core point of a cluster naming it, -1 for noise.
 
     A point counts itself towards `min_samples`. A border point joins the cluster of
-    its nearest-numbered core neighbour.
+    its nearest-numbered core neighbour. Neighbours are counted in a first round of
+    visits and linked in a second; pairs of points are never written out.
     """
-    near = stage(within(points, eps, block), "near")
     ids = points.select(F.col("point_id").alias("node"))
-    core = stage(ids.join(near.groupBy(F.col("i").alias("node")).agg(F.count(F.lit(1)).alias("n")), "node", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("node"), "core")
-    links = near.join(core.withColumnRenamed("node", "i"), "i", "left_semi").join(core.withColumnRenamed("node", "j"), "j", "left_semi")
-    part = stage(components(links, core), "part")
-    border = near.join(part.select(F.col("node").alias("j"), "component"), "j").groupBy(F.col("i").alias("node")).agg(F.min_by("component", "j").alias("beside"))
+    core = stage(neighbour_counts(points, eps, block).where(F.col("n") + 1 >= min_samples).select("node"), "core")
+    flagged = points.join(core.select(F.col("node").alias("point_id"), F.lit(1.0).alias("core")), "point_id", "left")
+    marked = stage(flagged.select("point_id", F.concat(F.array(F.coalesce("core", F.lit(0.0))), "x").alias("x")), "marked")
+    links = stage(_links(marked, eps, block), "links")
+    part = stage(components(links.where("inner"), core), "part")
+    border = links.where(~F.col("inner")).groupBy(F.col("i").alias("node")).agg(F.min("j").alias("j")).join(part.select(F.col("node").alias("j"), "component"), "j").select("node", F.col("component").alias("beside"))
     all_of = ids.join(part, "node", "left").join(border, "node", "left")
     return all_of.select(F.col("node").alias("point_id"), F.coalesce("component", "beside", F.lit(-1)).cast("long").alias("label"), F.col("component").isNotNull().alias("core"))
