@@ -204,13 +204,14 @@ def nearest(queries: DataFrame, targets: DataFrame, features: Sequence[str], que
     scale = {f: 1.0 for f in features} | dict(scales or {})
     point = lambda: F.array(*[F.col(f).cast("double") / F.lit(float(scale[f])) for f in features])
     blocks = max(1, math.ceil(targets.count() / max_targets))
-    packed = targets.select(F.struct(point().alias("x"), F.col(target).alias("t")).alias("p"), F.pmod(F.xxhash64(target), F.lit(blocks)).alias("b"))
-    packed = packed.groupBy("b").agg(F.collect_list("p").alias("ps"))
-    asked = queries.select(F.col(query), point().alias("q")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    d = lambda p: F.sqrt(F.aggregate(F.zip_with(p["x"], F.col("q"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    best = F.array_min(F.transform("ps", lambda p: F.struct(F.round(d(p), 9).alias("distance"), p["t"].alias("t"))))
-    joined = asked.join(F.broadcast(packed) if blocks == 1 else packed, "b").select(query, best.alias("m"))
-    return joined.groupBy(query).agg(F.min("m").alias("m")).select(query, F.col("m.t").alias(target), F.col("m.distance").alias("distance"))
+    packed = targets.select(F.struct(point().alias("x"), F.col(target).alias("t")).alias("__pl_p"), F.pmod(F.xxhash64(target), F.lit(blocks)).alias("__pl_b"))
+    packed = packed.groupBy("__pl_b").agg(F.collect_list("__pl_p").alias("__pl_ps"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asked = queries.select(F.col(query).alias("__pl_id"), point().alias("__pl_q")).withColumn("__pl_b", every)
+    d = lambda p: F.sqrt(F.aggregate(F.zip_with(p["x"], F.col("__pl_q"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    best = F.array_min(F.transform("__pl_ps", lambda p: F.struct(F.round(d(p), 9).alias("distance"), p["t"].alias("t"))))
+    joined = asked.join(F.broadcast(packed) if blocks == 1 else packed, "__pl_b").select("__pl_id", best.alias("m"))
+    return joined.groupBy("__pl_id").agg(F.min("m").alias("m")).select(F.col("__pl_id").alias(query), F.col("m.t").alias(target), F.col("m.distance").alias("distance"))
 
 
 def upper_median(column: str) -> Column:
