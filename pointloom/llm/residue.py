@@ -36,11 +36,11 @@ _SLOTS = [
     r"[$#]\{[^{}\n]{1,100}\}",  # ${NAME} #{name}
     r"@@\w{1,60}@@",
     r"%\([A-Za-z]\w{0,60}\)[sdrf]",
-    r"(?<![\w%])%[A-Za-z]\w{0,60}%(?![\w%])",
-    r"(?<![\w$])\$[A-Za-z]\w{0,60}\$(?![\w$])",
+    r"(?<![\w%])%[A-Z][A-Z0-9_]{1,60}%(?![\w%])",
+    r"(?<![\w$])\$[A-Z][A-Z0-9_]{1,60}\$(?![\w$])",
     rf"\[\[\s*{_NAME}\s*\]\]",
     rf"<<\s*{_NAME}\s*>>",
-    r"(?<![\w])__[A-Za-z]\w{0,60}?__(?![\w])",
+    r"(?<![\w])__[A-Z][A-Z0-9_]{0,60}?__(?![\w])",
     r"\{[A-Za-z_][\w.]{0,60}(?::[^{}\n]{0,20})?\}",  # {name} {name:.3f}
     r"(?i:\[\s*(?:insert|enter|add|your|name of|fill in)\b[^\[\]\n]{0,80}\])",
     r"(?i:<\s*(?:insert|enter|your)\b[^<>\n]{0,80}>)",

@@ -21,87 +21,73 @@ BINS = 1000
 PER_TASK, FAN_IN = 20_000, 32
 
 
-class _Tuple:
-    """Bins in descending order of weight with the node each holds (-1: empty)."""
+def largest_differencing(rows: Sequence[np.ndarray], singles: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Slot (0 .. k-1) of each entry of `rows`, arrays of k weights each, and of each of `singles`, such that the slots' sums are nearly equal.
 
-    __slots__ = ("nodes", "weights")
-
-    def __init__(self, weights: np.ndarray, nodes: np.ndarray):
-        self.weights, self.nodes = weights, nodes
-
-    @property
-    def spread(self) -> float:
-        return float(self.weights[0] - self.weights[-1])
-
-
-def largest_differencing(rows: Sequence[np.ndarray]) -> list[np.ndarray]:
-    """Slot (0 .. k-1) of each entry of `rows`, arrays of k weights each, such that the slots' sums are nearly equal.
-
-    Entries of one row get different slots. The two rows that differ most within
-    themselves are combined again and again, the heaviest entries of the one with
-    the lightest of the other, until one row is left.
+    Entries of one row get different slots; one of weight 0 gets none (-1). Whatever
+    differs most within itself (a single weight differs from nothing by all of it) is
+    combined with what differs second most, the heaviest entries of the one with the
+    lightest of the other, again and again, until one row is left.
     """
-    k = len(rows[0])
+    base = k * len(rows) + len(singles)
     left: list[int] = []
     right: list[int] = []
-    base = k * len(rows)
-    queue = []
+    queue: list[tuple] = []
     for i, w in enumerate(rows):
         order = np.argsort(-w, kind="stable")
-        t = _Tuple(w[order], np.where(w[order] > 0, i * k + order, -1))
-        queue.append((-t.spread, i, t))
+        v = w[order].astype(float)
+        queue.append((v[-1] - v[0], i, v - v[-1], np.where(w[order] > 0, i * k + order, -1)))
+    queue += [(-float(w), len(rows) + i, None, k * len(rows) + i) for i, w in enumerate(singles)]
     heapq.heapify(queue)
-    turn = len(rows)
+    turn = len(queue)
+
+    def row(item: tuple) -> tuple[np.ndarray, np.ndarray]:
+        if item[2] is not None:
+            return item[2], item[3]
+        v, n = np.zeros(k), np.full(k, -1)
+        v[0], n[0] = -item[0], item[3]
+        return v, n
+
     while len(queue) > 1:
-        a, b = heapq.heappop(queue)[2], heapq.heappop(queue)[2]
-        weights = a.weights + b.weights[::-1]
-        na, nb = a.nodes, b.nodes[::-1]
-        both = np.flatnonzero((na >= 0) & (nb >= 0))
-        nodes = np.where(na >= 0, na, nb)
-        nodes[both] = base + len(left) + np.arange(len(both))
-        left.extend(na[both].tolist())
-        right.extend(nb[both].tolist())
-        order = np.argsort(-weights, kind="stable")
-        t = _Tuple(weights[order] - weights.min(), nodes[order])
-        heapq.heappush(queue, (-t.spread, turn, t))
+        a, b = heapq.heappop(queue), heapq.heappop(queue)
+        if a[2] is None or b[2] is not None:
+            a, b = b, a  # a single one, if any, is b
+        v, n = row(a)
+        if b[2] is None:  # it joins the lightest entry
+            node = b[3]
+            if n[-1] >= 0:
+                left.append(int(n[-1]))
+                right.append(node)
+                node = base + len(left) - 1
+            w = v[-1] - b[0]
+            at = int(np.searchsorted(-v[:-1], -w, side="right"))
+            v, n = np.concatenate([v[:at], [w], v[at:-1]]), np.concatenate([n[:at], [node], n[at:-1]])
+        else:
+            nb = b[3][::-1]
+            total = v + b[2][::-1]
+            both = np.flatnonzero((n >= 0) & (nb >= 0))
+            nodes = np.where(n >= 0, n, nb)
+            left.extend(n[both].tolist())
+            right.extend(nb[both].tolist())
+            nodes[both] = base + len(left) - len(both) + np.arange(len(both))
+            order = np.argsort(-total, kind="stable")
+            v, n = total[order], nodes[order]
+        v = v - v[-1]
+        heapq.heappush(queue, (-float(v[0]), turn, v, n))
         turn += 1
     slot = np.full(base + len(left), -1, dtype=np.int64)
-    last = queue[0][2]
-    held = last.nodes >= 0
-    slot[last.nodes[held]] = np.flatnonzero(held)
+    if queue:
+        _, last = row(queue[0])
+        held = last >= 0
+        slot[last[held]] = np.flatnonzero(held)
     for i in range(len(left) - 1, -1, -1):
         slot[left[i]] = slot[right[i]] = slot[base + i]
-    return [slot[i * k : (i + 1) * k] for i in range(len(rows))]
-
-
-def _deal(weights: np.ndarray, bins: int) -> np.ndarray:
-    """Slot of each weight: single entries by largest differencing."""
-    rows = np.zeros((len(weights), bins))
-    rows[:, 0] = weights
-    return np.array([s[0] for s in largest_differencing(list(rows))])
+    return [slot[i * k : (i + 1) * k] for i in range(len(rows))], slot[k * len(rows) : base]
 
 
 def deal_groups(weights: np.ndarray, bins: int) -> np.ndarray:
-    """Slot of each of many weights.
-
-    The heaviest are dealt one by one. Once `bins` entries or more follow that are
-    lighter than an even share of what is left, they are taken `bins` at a time: a
-    row of neighbours in order of weight differs little within itself and is
-    combined like any other.
-    """
-    order = np.argsort(-weights, kind="stable")
-    w = weights[order].astype(float)
-    single = min(len(w), 2 * bins)
-    rows = [np.pad(w[i : i + 1], (0, bins - 1)) for i in range(single)]
-    starts = list(range(single, len(w), bins))
-    rows += [np.pad(w[s : s + bins], (0, max(0, bins - len(w[s : s + bins])))) for s in starts]
-    slots = largest_differencing(rows)
-    out = np.empty(len(w), dtype=np.int64)
-    for i in range(single):
-        out[order[i]] = slots[i][0]
-    for s, got in zip(starts, slots[single:], strict=True):
-        out[order[s : s + bins]] = got[: len(order[s : s + bins])]
-    return out
+    """Slot of each of many weights."""
+    return largest_differencing([], np.asarray(weights), bins)[1]
 
 
 def balanced_bins(groups: DataFrame, group: str, weight: str, bins: int = BINS, per_task: int = PER_TASK) -> DataFrame:
@@ -125,7 +111,7 @@ def balanced_bins(groups: DataFrame, group: str, weight: str, bins: int = BINS,
         rows = np.zeros((len(names), bins))
         at = np.searchsorted(names, pdf["bucket"])
         rows[at, pdf["slot"]] = pdf["weight"]
-        slots = np.array(largest_differencing(list(rows)))
+        slots = np.array(largest_differencing(list(rows), np.empty(0), bins)[0])
         return pd.DataFrame({"bucket": pdf["bucket"], "slot": pdf["slot"], "up": pdf["up"], "new": slots[at, pdf["slot"]], "weight": pdf["weight"]})
 
     hashed = groups.select(group, F.col(weight).cast("long").alias(weight), F.pmod(F.xxhash64(group), F.lit(buckets)).cast("int").alias("bucket"))
