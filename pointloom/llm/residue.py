@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Iterator
+from operator import eq
 
 import pyarrow as pa
 import regex
@@ -103,7 +104,8 @@ _SYLLABLES = "a ad al am as at bo bor bus ci co cil con cu cul da dam des di dit
 _LATIN = regex.compile("(?:" + "|".join(sorted(_SYLLABLES.split(), key=len, reverse=True)) + ")+")
 _KEYS = regex.compile(r"[asdfghjklöä;]{2,}|[qwertyuiop]{3,}|[zxcvbnm]{2,}")
 LATIN_WORDS, KEY_WORDS = 10, 6
-_AGAIN = regex.compile(r"(?<!\S)(\w++(?: \w++){0,3})(?:[ ,.;]+\1\b){4,}")
+#: A phrase of up to so many words that follows itself so often is filler.
+PHRASE, AGAIN = 4, 4
 _EMPTY = r"(?:todo|tbd|tba|fixme(?:: ?write this)?|n/a|coming soon|to be (?:written|added|done|announced)|under construction|section left blank|(?:this )?(?:section|page) (?:is )?(?:intentionally )?(?:left )?blank|write this|placeholder|untitled|à compléter|folgt|in arbeit|por completar|準備中)"
 _EMPTY_LINE = regex.compile(rf"[\s\-*•#>.]*{_EMPTY}[\s.!:…-]*")
 _NOTHING = regex.compile(rf"(?:[\s\-*•#>.,;:|/]*{_EMPTY}[\s\-*•#>.,;:|/!…]*)+")
@@ -133,6 +135,19 @@ def _mended(text: str) -> str:
 _kinds: dict[str, int] = {}
 
 
+def _is_repeated(shown: str) -> bool:
+    """Whether a text has a phrase that follows itself again and again."""
+    words = [w.strip(".,;") for w in shown.split()]
+    for p in range(1, PHRASE + 1):
+        if sum(map(eq, words, words[p:])) >= AGAIN * p:
+            run = 0
+            for same in map(eq, words, words[p:]):
+                run = run + 1 if same else 0
+                if run >= AGAIN * p:
+                    return True
+    return False
+
+
 def _is_invented(shown: str) -> bool:
     """Whether a text has a stretch of invented Latin or of words typed on one row of keys."""
     latin = keys = 0
@@ -173,11 +188,14 @@ def evidence(text: str) -> str | None:
     lines = [" ".join(x.split()) for x in shown.splitlines()]
     lines = [x for x in lines if x]
     joined = _SPOKEN.sub(" ", " ".join(lines))
-    for x in (*lines, joined) if len(lines) > 1 else lines:
-        for sentence in _BREAK.split(x):
-            if m := _START_RE.match(sentence):
-                return next(name for name, group in zip(("error", "script", "filler"), m.groups(), strict=True) if group is not None)
-    if _AGAIN.search(joined) or _is_invented(joined):
+    sentences = [s for x in lines for s in _BREAK.split(x)]
+    if len(lines) > 1:  # those that run over the end of a line
+        known = set(sentences)
+        sentences += [s for s in _BREAK.split(joined) if s not in known]
+    for sentence in sentences:
+        if m := _START_RE.match(sentence):
+            return next(name for name, group in zip(("error", "script", "filler"), m.groups(), strict=True) if group is not None)
+    if _is_repeated(joined) or _is_invented(joined):
         return "filler"
     if any(_EMPTY_LINE.fullmatch(x) and x != "n/a" for x in lines) or (lines and _NOTHING.fullmatch(" ".join(lines))):
         return "empty"
