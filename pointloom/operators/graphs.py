@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,3 +131,78 @@ def betweenness(edges: DataFrame) -> DataFrame:
         whole = whole.unionByName(level)
     scale = float(max(1, (n - 1) * (n - 2)))
     return whole.where("source <> node").groupBy("node").agg((F.sum("delta") / scale).alias("betweenness"))
+
+
+#: Nodes of a graph that one task takes in as a matrix.
+MAX_NODES = 3000
+
+
+def _small_features(w: np.ndarray, m: int) -> np.ndarray:
+    """Six measures and `m` Laplacian coordinates of the nodes of a graph given as a 0/1 matrix."""
+    n = len(w)
+    deg = w.sum(axis=1)
+    pairs = deg * (deg - 1) / 2
+    tri = np.einsum("ij,jk,ki->i", w, w, w) / 2
+    coefficient = np.where(deg < 2, 0.0, tri / np.where(pairs > 0, pairs, 1.0))
+    v = np.full(n, 1 / np.sqrt(n))
+    rank = np.full(n, 1 / n)
+    for _ in range(200):
+        new = w @ v
+        new /= max(np.linalg.norm(new), 1e-300)
+        done = np.abs(new - v).sum() < 1e-9
+        v = new
+        if done:
+            break
+    for _ in range(100):
+        new = 0.15 / n + 0.85 * (w @ (rank / np.where(deg > 0, deg, 1)))
+        done = np.abs(new - rank).sum() < 1e-9
+        rank = new
+        if done:
+            break
+    between, path = np.zeros(n), np.zeros(n)
+    for s in range(n):
+        hops, sigma = np.full(n, -1), np.zeros(n)
+        hops[s], sigma[s] = 0, 1.0
+        levels = [np.array([s])]
+        while len(levels[-1]):
+            reach = sigma[levels[-1]] @ w[levels[-1]]
+            new = np.flatnonzero((reach > 0) & (hops < 0))
+            sigma[new], hops[new] = reach[new], len(levels)
+            levels.append(new)
+        delta = np.zeros(n)
+        for above, below in zip(levels[-2::-1], levels[:0:-1], strict=True):
+            if len(below):
+                delta[above] += sigma[above] * (w[np.ix_(above, below)] @ ((1 + delta[below]) / sigma[below]))
+        delta[s] = 0.0
+        between += delta
+        far = hops > 0
+        path[s] = hops[far].mean() if far.any() else 0.0
+    r = 1.0 / np.sqrt(np.maximum(deg, 1e-12))
+    value, vector = np.linalg.eigh(np.eye(n) - w * r[:, None] * r[None, :])
+    value, vector = value[1 : m + 1], vector[:, 1 : m + 1]
+    spectral = np.zeros((n, m))
+    spectral[:, : vector.shape[1]] = vector / np.sqrt(np.maximum(value, 1e-6))
+    return np.column_stack([deg / max(n - 1, 1), coefficient, np.abs(v), between / max((n - 1) * (n - 2), 1), rank, path, spectral])
+
+
+def node_features(edges: DataFrame, m: int = 10) -> DataFrame:
+    """(`node`, `x`): degree, clustering, eigenvector centrality, betweenness, PageRank, mean path and `m` Laplacian coordinates.
+
+    The coordinates need the whole matrix in one task, so a graph of more than
+    `MAX_NODES` nodes is refused; its other measures are the functions above, which
+    run over tables of edges of any size.
+    """
+
+    def read(frames):
+        held = [f for f in frames if len(f)]
+        if not held:
+            return
+        e = pd.concat(held)
+        names, code = np.unique(np.concatenate([e["i"], e["j"]]), return_inverse=True)
+        if len(names) > MAX_NODES:
+            raise ValueError(f"more than {MAX_NODES} nodes")
+        w = np.zeros((len(names), len(names)))
+        w[code[: len(e)], code[len(e) :]] = 1.0
+        yield pd.DataFrame({"node": names, "x": list(_small_features(np.maximum(w, w.T), m))})
+
+    return undirected(edges).coalesce(1).mapInPandas(read, "node long, x array<double>")

@@ -17,7 +17,7 @@ from pointloom.plans.base import RUNS_SQL, runs
 from pointloom.plans.point_queries import points
 from pointloom.plans.relational_queries import even
 from pointloom.plans.runner import Algorithm, expand, run_grid
-from pointloom.sources.generators import GENERATORS, DataSpec, generate
+from pointloom.sources.generators import GENERATORS, DataSpec, generate, karate_edges
 from pointloom.sources.tables import table
 from pointloom.streaming import windowed_values
 
@@ -158,6 +158,12 @@ def graph_betweenness(spark, folder):
     return G.betweenness(_small_graph(spark, folder))
 
 
+@query()
+def graph_node_features(spark, folder):
+    """Sixteen features of the members of the karate club."""
+    return G.node_features(karate_edges(spark)).select("node", *[F.round(F.col("x")[i], 6).alias(f"f{i}") for i in range(6)])
+
+
 @query()
 def text_features(spark, folder):
     """Documents as points: weighted terms on eight axes."""

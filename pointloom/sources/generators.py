@@ -280,7 +280,32 @@ def ts_synth(s, rng):
     return sizes(max(s.n_samples, 8 * k), k, rng), draw
 
 
-@register("graph_sbm", "graph_karate")
+# Zachary's karate club, the later members each one knows, and the members of the first faction.
+KARATE = {
+    0: (1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 17, 19, 21, 31), 1: (2, 3, 7, 13, 17, 19, 21, 30), 2: (3, 7, 8, 9, 13, 27, 28, 32), 3: (7, 12, 13), 4: (6, 10), 5: (6, 10, 16), 6: (16,), 8: (30, 32, 33), 9: (33,), 13: (33,),
+    14: (32, 33), 15: (32, 33), 18: (32, 33), 19: (33,), 20: (32, 33), 22: (32, 33), 23: (25, 27, 29, 32, 33), 24: (25, 27, 31), 25: (31,), 26: (29, 33), 27: (33,), 28: (31, 33), 29: (32, 33), 30: (32, 33), 31: (32, 33), 32: (33,),
+}
+FIRST_FACTION = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 16, 17, 19, 21)
+
+
+def karate_edges(spark: SparkSession) -> DataFrame:
+    """(`i`, `j`): the 78 ties of the karate club."""
+    return spark.createDataFrame([(i, j) for i, js in KARATE.items() for j in js], "i long, j long")
+
+
+@register("graph_karate")
+def graph_karate(s, rng):
+    """The 34 members of the karate club by their shares of ties to each member; the class is the faction."""
+    order = [*FIRST_FACTION, *[i for i in range(34) if i not in FIRST_FACTION]]
+    w = np.zeros((34, 34))
+    for i, js in KARATE.items():
+        for j in js:
+            w[i, j] = w[j, i] = 1.0
+    x = (w + np.eye(34))[order] / (1 + w.sum(axis=1)[order])[:, None]
+    return np.array([17, 17]), lambda i, y, r: x[i]
+
+
+@register("graph_sbm")
 def graph_sbm(s, rng):
     """Links to each block and neighbourhood counts of nodes of a block model; edges as a table come from `block_model_edges`."""
     n, k = max(40, s.n_samples), int(np.clip(s.centers, 2, 8))

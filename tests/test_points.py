@@ -137,3 +137,27 @@ def test_lloyd_equals_the_kernel(spark, cloud, trim):
             new[j] = cloud[keep].mean(axis=0)
         c = new
     assert np.allclose(fit.centers, c)
+
+
+def test_node_features_of_the_karate_club(spark):
+    from pointloom.sources.generators import FIRST_FACTION, KARATE, karate_edges
+
+    assert sum(map(len, KARATE.values())) == 78 and len(FIRST_FACTION) == 17
+    rows = {r["node"]: r["x"] for r in G.node_features(karate_edges(spark)).collect()}
+    assert len(rows) == 34 and all(len(x) == 16 for x in rows.values())
+    assert max(rows, key=lambda n: rows[n][0]) == 33
+    assert math.isclose(rows[0][3], 0.43763528138528146)  # the published betweenness of member 1
+    side = {n: x[6] > 0 for n, x in rows.items()}
+    agree = sum(side[n] == (n in FIRST_FACTION) for n in rows)
+    assert max(agree, 34 - agree) >= 30
+
+
+def test_node_features_equal_the_measures_over_tables(spark):
+    e = _edges(spark, [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (4, 5), (3, 5), (5, 6)])
+    x = {r["node"]: r["x"] for r in G.node_features(e).collect()}
+    tables = [
+        G.degrees(e).select("node", "share"), G.clustering_coefficients(e), G.eigenvector_centrality(e, 12, 0.0), G.betweenness(e), G.pagerank(e, rounds=30), G.average_path(e),
+    ]
+    for i, t in enumerate(tables):
+        for node, v in t.collect():
+            assert math.isclose(x[node][i], v, abs_tol=0.05 if i == 2 else 1e-3 if i == 4 else 1e-9), (i, node)
