@@ -9,7 +9,7 @@ from pointloom.operators.clustering.base import Fit, Step, register
 
 
 @register("spectral")
-def spectral(x, k, rng, k_nn=10, most=1500, **_):
+def spectral(x, k, rng, k_nn=10, most=1000, **_):
     """k-means of the lowest Laplacian vectors of the neighbour graph."""
     k = max(1, min(k or 8, len(x) - 1))
     e = U.embed(x, k, min(k_nn, len(x) - 1), rng, most, drop_trivial=False)
@@ -145,7 +145,7 @@ def louvain(w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 @register("louvain_knn")
-def louvain_knn(x, k, rng, most=1500, **_):
+def louvain_knn(x, k, rng, most=1000, **_):
     """Communities of the neighbour graph, merged or split until there are `k`."""
     n = len(x)
     if n < 8:

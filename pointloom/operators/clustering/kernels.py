@@ -80,43 +80,50 @@ def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, n_init: int = 10, max
 
 
 def merge_tree(d: np.ndarray, k: int, linkage: str = "ward", sizes: np.ndarray | None = None) -> np.ndarray:
-    """Labels after merging the closest clusters until `k` are left (Lance-Williams updates of a distance matrix)."""
+    """Labels after merging the closest clusters until `k` are left (Lance-Williams updates of a distance matrix).
+
+    Every cluster keeps its nearest one; merged clusters leave the matrix whenever half of it is theirs.
+    """
     n = len(d)
     d = d.astype(np.float64).copy()
     if linkage == "ward":
         d = d**2
     np.fill_diagonal(d, np.inf)
     size = np.ones(n) if sizes is None else sizes.astype(float).copy()
-    home = np.arange(n)
-    alive = np.ones(n, dtype=bool)
+    ids, home, dead = np.arange(n), np.arange(n), 0
     near = d.argmin(axis=1)
     best = d[np.arange(n), near]
     for _ in range(n - max(1, min(k, n))):
-        i = int(np.where(alive, best, np.inf).argmin())
+        i = int(best.argmin())
         j = int(near[i])
         a, b, dij = size[i], size[j], d[i, j]
         if linkage == "ward":
-            s = size
-            new = ((a + s) * d[i] + (b + s) * d[j] - s * dij) / (a + b + s)
+            new = ((a + size) * d[i] + (b + size) * d[j] - size * dij) / (a + b + size)
         elif linkage == "single":
             new = np.minimum(d[i], d[j])
         elif linkage == "complete":
             new = np.maximum(d[i], d[j])
         else:
             new = (a * d[i] + b * d[j]) / (a + b)
-        new[~alive] = np.inf
         new[[i, j]] = np.inf
         d[i], d[:, i] = new, new
         d[j], d[:, j] = np.inf, np.inf
-        alive[j] = False
+        best[j], near[j] = np.inf, -1
         size[i] = a + b
-        home[home == j] = i
-        stale = np.flatnonzero(alive & ((near == j) | (near == i)))
-        for s_ in (*stale, i):
-            near[s_] = d[s_].argmin()
-            best[s_] = d[s_, near[s_]]
-        closer = alive & (new < best)
+        home[home == ids[j]] = ids[i]
+        dead += 1
+        for s in np.flatnonzero((near == j) | (near == i)):
+            near[s] = d[s].argmin()
+            best[s] = d[s, near[s]]
+        near[i] = d[i].argmin()
+        best[i] = d[i, near[i]]
+        closer = new < best
         near[closer], best[closer] = i, new[closer]
+        if 2 * dead > len(ids) > 64:
+            live = np.flatnonzero(near >= 0)
+            place = np.full(len(ids), -1)
+            place[live] = np.arange(len(live))
+            d, size, ids, best, near, dead = d[np.ix_(live, live)], size[live], ids[live], best[live], place[near[live]], 0
     return np.unique(home, return_inverse=True)[1]
 
 
@@ -138,20 +145,26 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def density_clusters(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    """Labels by density; -1 for noise. A point counts itself."""
+    """Labels by density; -1 for noise. A point counts itself, and a border point joins the first core point near it."""
     n = len(x)
-    near = [np.flatnonzero(row <= eps * eps) for i in range(0, n, 2000) for row in sq_dists(x[i : i + 2000], x)]
-    core = np.array([len(v) >= min_samples for v in near])
-    a = np.concatenate([np.full(core[v].sum(), i) for i, v in enumerate(near) if core[i]] or [np.empty(0, int)]).astype(int)
-    b = np.concatenate([v[core[v]] for i, v in enumerate(near) if core[i]] or [np.empty(0, int)]).astype(int)
-    part = connected(n, a, b)
+    near = np.empty((n, n), dtype=bool)
+    for i in range(0, n, 2000):
+        near[i : i + 2000] = sq_dists(x[i : i + 2000], x) <= eps * eps
+    core = near.sum(axis=1) >= min_samples
     label = np.full(n, -1)
-    if core.any():
-        label[core] = np.unique(part[core], return_inverse=True)[1]
-    for i in np.flatnonzero(~core):
-        hits = near[i][core[near[i]]]
-        if len(hits):
-            label[i] = label[hits[0]]
+    left, found = core.copy(), 0
+    while left.any():
+        front = np.zeros(n, dtype=bool)
+        front[int(left.argmax())] = True
+        while front.any():
+            left &= ~front
+            label[front] = found
+            front = near[front].any(axis=0) & left
+        found += 1
+    edge = np.flatnonzero(~core)
+    if found and len(edge):
+        beside = near[edge] & core
+        label[edge] = np.where(beside.any(axis=1), label[beside.argmax(axis=1)], -1)
     return label
 
 
@@ -237,7 +250,7 @@ def landmarks(x: np.ndarray, most: int, rng: np.random.Generator) -> tuple[np.nd
     return chosen, neighbours(x, 5, x[chosen])[1]
 
 
-def embed(x: np.ndarray, m: int, k_nn: int, rng: np.random.Generator, most: int = 1500, drop_trivial: bool = True) -> np.ndarray:
+def embed(x: np.ndarray, m: int, k_nn: int, rng: np.random.Generator, most: int = 1000, drop_trivial: bool = True) -> np.ndarray:
     """Laplacian embedding; rows beyond the landmarks get the mean of the nearest landmarks' vectors."""
     chosen, near = landmarks(x, most, rng)
     value, v = laplacian_vectors(knn_affinity(x[chosen], k_nn), m + drop_trivial)

@@ -144,7 +144,7 @@ def fmm(x, k, rng, frequencies=24, scales=3, k_search=None, n_basis_samples=1, *
 
 
 @register("lmm")
-def lmm(x, k, rng, k_nn=10, most=1500, **_):
+def lmm(x, k, rng, k_nn=10, most=1000, **_):
     """The same mixture over the lowest Laplacian vectors, started from the rotation of them that is nearest to a partition."""
     k = max(2, min(k or 3, len(x) - 1))
     e = U.embed(x, k, min(k_nn, len(x) - 1), rng, most, drop_trivial=False)

@@ -125,8 +125,15 @@ def _columns(lists: list[list[tuple[int, dict]]]) -> tuple[pa.Array, pa.Array, l
     return pc.list_parent_indices(arrow), pc.list_flatten(arrow), [node for _, node in flat]
 
 
-def _flatten(keys: pa.Array, texts: pa.Array, shape: Shape, inner: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-    parents, places, nodes = _columns([_root_places(t, shape) for t in texts.to_pylist()])
+def _text(raw: bytes | None) -> str | None:
+    try:
+        return None if raw is None else raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
+def _flatten(keys: pa.Array, texts: pa.Array, shape: Shape, inner: frozenset[str] | None) -> Iterator[list[pa.Array]]:
+    parents, places, nodes = _columns([_root_places(_text(t), shape) for t in texts.to_pylist()])
     key, path = keys.take(parents), places.cast(pa.string())
     frontier = [(shape.root, key, path, pa.nulls(len(nodes), pa.string()), places, nodes)]
     depth = 0
@@ -174,7 +181,7 @@ def nested_nodes(df: DataFrame, key: str, text: str, shape: Shape = TRAJECTORY,
             for columns in _flatten(batch.column(0), batch.column(1), shape, inner):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(F.col(key), F.col(text).alias("__pl_text")).where("__pl_text is not null").mapInArrow(flatten, fields)
+    return df.select(F.col(key), F.col(text).cast("binary").alias("__pl_text")).where("__pl_text is not null").mapInArrow(flatten, fields)
 
 
 def nested_table(nodes: DataFrame, kind: str, fields: str) -> DataFrame:

@@ -89,7 +89,7 @@ def score(x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> dict[str, float |
     outer = np.outer(pa, pb)
     mi = float((p[p > 0] * np.log(p[p > 0] / outer[p > 0])).sum())
     h = float(-(pa[pa > 0] * np.log(pa[pa > 0])).sum() - (pb[pb > 0] * np.log(pb[pb > 0])).sum()) / 2
-    probe = probe_metrics(x, np.unique(labels, return_inverse=True)[1])
+    probe = probe_metrics(x, np.unique(labels, return_inverse=True)[1], purity=False)
     dunn = None
     if 1 < len(names) <= 200:
         rng = np.random.default_rng(0)
