@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.staging import stage
+from pointloom.operators.staging import discard, stage
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -49,12 +49,13 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tol: fl
     links = stage(both_ways(edges), "links")
     deg = links.groupBy("u").agg(F.count(F.lit(1)).alias("deg"))
     n = deg.count()
-    rank = stage(deg.select(F.col("u").alias("node"), "deg", F.lit(1.0 / max(1, n)).alias("rank")), "rank")
+    rank = held = stage(deg.select(F.col("u").alias("node"), "deg", F.lit(1.0 / max(1, n)).alias("rank")), "rank")
     for _ in range(rounds):
         flow = links.join(rank.select(F.col("node").alias("u"), (F.col("rank") / F.col("deg")).alias("w")), "u").groupBy(F.col("v").alias("node")).agg(F.sum("w").alias("w"))
         after = stage(rank.join(flow, "node", "left").select("node", "deg", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("w", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")), "rank")
         change = after.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
-        rank = after.drop("old")
+        discard(held)
+        held, rank = after, after.drop("old")
         if change < tol:
             break
     return rank.select("node", "rank")
@@ -65,10 +66,12 @@ def eigenvector_centrality(edges: DataFrame, rounds: int = 200, tol: float = 1e-
     links = stage(both_ways(edges), "links")
     nodes = links.select(F.col("u").alias("node")).distinct()
     n = nodes.count()
-    v = stage(nodes.select("node", F.lit(1.0 / max(1, n) ** 0.5).alias("x")), "vector")
+    v = held = stage(nodes.select("node", F.lit(1.0 / max(1, n) ** 0.5).alias("x")), "vector")
     for _ in range(rounds):
         flow = links.join(v.select(F.col("node").alias("v"), "x"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("x").alias("y"))
         flow = stage(flow.join(v, "node"), "vector")
+        discard(held)
+        held = flow
         norm = (flow.agg(F.sum(F.col("y") * F.col("y"))).first()[0] or 0.0) ** 0.5
         if norm <= 0:
             break

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.staging import stage
+from pointloom.operators.staging import discard, stage
 
 #: Points per block: a visit holds a matrix of BLOCK x BLOCK distances.
 BLOCK = 2000
@@ -185,8 +185,9 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        link = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        link = stage(link, "link")
+        last = link
+        link = stage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "link")
+        discard(last)
         now = tuple(link.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -38,7 +38,25 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/pointloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._pl_path = path
+    return table
+
+
+def _delete(session: SparkSession, path: str) -> None:
+    try:
+        target = session._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    except Exception:  # the session has ended; its folder goes with it
+        pass
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table returned by `stage` that nothing reads any more, such as the last round's of a loop."""
+    path = table.__dict__.get("_pl_path")
+    if path is not None:
+        _delete(table.sparkSession, path)
+        _staged[:] = [(s, p) for s, p in _staged if p != path]
 
 
 def release(spark: SparkSession | None = None) -> None:
@@ -48,12 +66,7 @@ def release(spark: SparkSession | None = None) -> None:
         if spark is not None and session is not spark:
             keep.append((session, path))
             continue
-        try:
-            jvm = session._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-        except Exception:  # the session has ended; its folder goes with it
-            pass
+        _delete(session, path)
     _staged[:] = keep
 
 

@@ -401,3 +401,29 @@ def ts_spectral(spark, folder):
     """First four Fourier magnitudes of every user's detrended series."""
     df = _series(spark, folder).withColumn("__pl_mean", V.total("x") / F.size("x")).withColumn("z", V.detrended("x"))
     return df.select("user_id", *[even(V.fourier_magnitude("z", k), 4).alias(f"f{k}") for k in range(4)])
+
+
+@query(f"""WITH {_P}, dims AS (SELECT unnest(x) AS v, unnest(range({D})) AS k FROM pts), sd AS (SELECT k, stddev_pop(v) AS sd FROM dims GROUP BY k) SELECT count(*) AS effective_rank FROM sd WHERE sd > 0.1 * (SELECT max(sd) FROM sd)""")
+def effective_rank(spark, folder):
+    """Dimensions whose deviation is more than a tenth of the greatest."""
+    df = points(spark, folder).agg(F.array(*[F.stddev_pop(F.col("x")[i]) for i in range(D)]).alias("sd"))
+    return df.select(F.size(F.filter("sd", lambda v: v > 0.1 * F.array_max("sd"))).cast("long").alias("effective_rank"))
+
+
+@query(f"{_CEN} SELECT c.label, s.n, round(list_sum(c.c) + 1e-10, 6) + 0.0::DOUBLE AS total FROM cen c JOIN spread s USING (label)")
+def update_centers(spark, folder):
+    """Mean of each label, shown by its size and the sum of its coordinates."""
+    c = M.centroids(_other(points(spark, folder)).select("point_id", "x", F.col("other").alias("label")), D)
+    return c.select("label", "n", even(V.total("c"), 6).alias("total"))
+
+
+@query(f"""WITH RECURSIVE {_KNN}, e AS (SELECT round(median(d), 9) AS eps FROM knn WHERE rk = 5), near AS (SELECT i, j FROM pairs, e WHERE d <= eps), core AS (SELECT p.id FROM pts p LEFT JOIN near n ON n.i = p.id GROUP BY p.id HAVING count(n.j) + 1 >= 5),
+link AS (SELECT i, j FROM near WHERE i IN (SELECT id FROM core) AND j IN (SELECT id FROM core)), reach(a, b) AS (SELECT id, id FROM core UNION SELECT r.a, l.j FROM reach r JOIN link l ON l.i = r.b), part AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a),
+lab AS (SELECT p.id, part.c IS NOT NULL OR EXISTS (SELECT 1 FROM near n JOIN core ON core.id = n.j WHERE n.i = p.id) AS hit FROM pts p LEFT JOIN part ON part.id = p.id)
+SELECT (SELECT count(DISTINCT c) FROM part) AS n_clusters, round(avg((NOT hit)::INT) + 1e-10, 6) AS noise_share FROM lab""")
+def dbscan_probe(spark, folder):
+    """Clusters and share of noise at the median distance to the fifth neighbour."""
+    df = stage(points(spark, folder).select("point_id", "x"), "points")
+    eps = N.knn(df, 5).where("rk = 5").agg(F.round(F.median("d"), 9)).first()[0]
+    found = N.dbscan(df, eps, 5)
+    return found.agg(F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_clusters"), even(F.avg((F.col("label") < 0).cast("int")), 6).alias("noise_share"))

@@ -393,3 +393,28 @@ def error_counts(spark, folder):
 def artifact_index(spark, folder):
     """Artifact paths per algorithm: how many there are and the first."""
     return table(spark, folder, "results").groupBy("algo").agg(F.min("labels_path").alias("first_path"), F.countDistinct("labels_path").alias("n_paths"), F.countDistinct("trajectory_path").alias("n_trajectories"))
+
+
+@query(f"{RUNS_SQL} SELECT result_id, round(1.0::DOUBLE / (1.0::DOUBLE + wall_time_s) + 1e-10, 6) AS cost_inv FROM runs")
+def cost_inverse(spark, folder):
+    """One over one plus the time of each run."""
+    return runs(spark, folder, "wall_time_s").select("result_id", even(1.0 / (1.0 + F.col("wall_time_s")), 6).alias("cost_inv"))
+
+
+@query(f"""{_STEPS_SQL}, r AS (SELECT run_id, algo FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY ingested_at DESC) AS t FROM results) WHERE t = 1)
+SELECT r.run_id, r.algo, count(s.step_idx) AS n_steps, coalesce(string_agg(s.step_idx, ',' ORDER BY s.step_idx), '') AS step_list, arg_max(coalesce(s.cost, -1), s.step_idx) AS last_cost FROM r LEFT JOIN steps s USING (run_id) GROUP BY r.run_id, r.algo""")
+def runs_with_steps(spark, folder):
+    """Every current run with its steps nested in order, read back as their indexes, number and last cost (-1 if unknown)."""
+    from pointloom.sources.sinks import nested_runs
+
+    heads = R.keep_first(current_runs(spark, folder), ["run_id", "algo"], ["result_id"]).select("run_id", "algo")
+    steps = _steps(spark, folder).select("run_id", "step_idx", F.coalesce("cost", F.lit(-1.0)).alias("cost"), "delta_cost", "accepted", F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("state"))
+    nested = nested_runs(heads, steps)
+    return nested.select("run_id", "algo", F.col("n_steps").cast("long").alias("n_steps"), F.concat_ws(",", F.transform("steps", lambda x: x["step_idx"].cast("string"))).alias("step_list"), F.col("final_cost").alias("last_cost"))
+
+
+def current_runs(spark, folder) -> DataFrame:
+    """Current results by run."""
+    from pointloom.operators.deliveries import current_rows
+
+    return current_rows(table(spark, folder, "results"), "result_id", ["run_id", "algo"])
