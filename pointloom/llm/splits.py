@@ -168,12 +168,14 @@ def assign_splits(df: DataFrame, record: str, together: Sequence[str], shares: d
     or null records keep their number; no record means no `first`. Shares need not
     sum to 1; those of 0 or less get nothing. An empty table gives an empty table.
     """
-    rows = stage(df.select(record, *together), "records")
-    groups = stage(rows.groupBy(*together).agg(F.min(record).alias("first"), F.count(F.lit(1)).alias("weight")).withColumn("group", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in together])), "groups")
+    keys = [f"__pl_t{i}" for i in range(len(together))]
+    rows = stage(df.select(F.col(record).alias("__pl_r"), *[F.col(c).alias(k) for c, k in zip(together, keys, strict=True)]), "records")
+    hashed = F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys])
+    groups = stage(rows.groupBy(*keys).agg(F.min("__pl_r").alias("first"), F.count(F.lit(1)).alias("weight")).withColumn("group", hashed), "groups")
     total = groups.agg(F.sum("weight")).first()[0] or 0
-    named = stage(balanced_bins(groups.select("group", "weight").groupBy("group").agg(F.sum("weight").alias("weight")), "group", "weight", bins), "named")
+    named = stage(balanced_bins(groups.groupBy("group").agg(F.sum("weight").alias("weight")), "group", "weight", bins), "named")
     held = {r["bin"]: r["weight"] for r in named.groupBy("bin").agg(F.sum("weight").alias("weight")).collect()}  # at most `bins` rows
     of = allocate(held, shares)
     split = F.create_map(*[F.lit(x) for pair in of.items() for x in pair]) if of else F.create_map(F.lit(0), F.lit(""))
-    keyed = groups.join(named.select("group", "bin"), "group").select(*together, "first", "weight", split[F.col("bin")].alias("split"))
-    return join_by_weight(rows, stage(keyed, "keyed"), list(together), "weight", total).select(record, "first", "split")
+    keyed = groups.join(named.select("group", "bin"), "group").select(*keys, "first", "weight", split[F.col("bin")].alias("split"))
+    return join_by_weight(rows, stage(keyed, "keyed"), keys, "weight", total).select(F.col("__pl_r").alias(record), "first", "split")

@@ -35,7 +35,8 @@ def top_n_per_group(df: DataFrame, groups: Sequence[str], score: str, n: int, ti
     Null and NaN scores are never ranked; 0.0 and -0.0 are equal; null is a group of
     its own; rows equal in score and ties are ordered arbitrarily among themselves
     (give a unique column last). `n` < 1 and empty tables give no rows. The result
-    has the columns of `df` and `rank`. `df` is read twice: stage it if it is costly.
+    has the columns of `df` and `rank`, which takes the place of a column of that name.
+    `df` is read twice: stage it if it is costly.
     """
     value = F.col(score).cast("double")
     valid = df.where(value.isNotNull() & ~F.isnan(value))

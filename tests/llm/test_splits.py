@@ -89,3 +89,9 @@ def test_many_buckets_are_combined(spark):
 
 def test_empty_table(spark):
     assert assign_splits(spark.createDataFrame([], SCHEMA), "id", ["d", "s"], SHARES).count() == 0
+
+
+def test_columns_named_like_results(spark):
+    df = spark.createDataFrame([(i, i % 3, i % 2, 7) for i in range(30)], "first long, split int, weight int, bin int")
+    rows = assign_splits(df.withColumnRenamed("first", "group"), "group", ["split", "weight"], SHARES).collect()
+    assert len(rows) == 30 and all(r["first"] == r["group"] % 6 for r in rows)
