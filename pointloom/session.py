@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Give this package to the session's Python workers, wherever they run; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_pointloom_shipped", False):
+        return spark
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="pointloom-code-")  # Spark serves the file from the driver
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/pointloom.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f"{home.name}/{f.relative_to(home)}")
+    context.addPyFile(path)
+    context._pointloom_shipped = True
+    return spark
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with adaptive execution, ANSI arithmetic and UTC."""
     builder = (
@@ -24,4 +46,4 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
