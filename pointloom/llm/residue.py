@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm.texts import _UNSEEN, without_markup
+from pointloom.operators.skew import join_by_weight
 from pointloom.operators.staging import stage
 
 #: A line of a host is recurrent from so many documents on, and boilerplate if in this part of such documents, at least, real content stands beside it.
@@ -262,7 +263,9 @@ def find_residue(docs: DataFrame, doc: str, text: str, host: str, recurrent: int
     found = stage(plain.mapInArrow(first, f"doc {kind}, host string, text string").withColumn("at", F.monotonically_increasing_id()), "candidates")
     lines = found.select("at", "host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_line_key(x))))).alias("line"))
     usual = boilerplate_lines(docs, text, host, recurrent, beside).select(F.col("host").alias("of"), F.col("line").alias("usual"))
-    around = lines.join(usual, lines["host"].eqNullSafe(usual["of"]) & (lines["line"] == usual["usual"])).groupBy("at").agg(F.collect_set("line").alias("around"))
+    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("weight"))
+    furniture = stage(counted.join(usual, counted["host"].eqNullSafe(usual["of"]) & (counted["line"] == usual["usual"]), "left_semi"), "furniture")
+    around = join_by_weight(lines, furniture, ["host", "line"], "weight", lines.count()).groupBy("at").agg(F.collect_set("line").alias("around"))
     left = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("around", F.xxhash64(_line_key(x)))))
     residual = found.join(around, "at", "left").select("doc", F.when(F.col("around").isNull(), F.col("text")).otherwise(left).alias("left"))
     return residual.mapInArrow(last, f"`{doc}` {kind}, evidence string")
