@@ -54,6 +54,7 @@ _SLOTS = [
     r"(?<=[^\s_] ?)(?<![\w])_{4,}(?![\w])|(?<![\w])_{4,}(?![\w])(?= ?[^\s_])",
 ]
 _SLOT = regex.compile("|".join(_SLOTS))
+_PERCENT, _CLOSED = re.compile(r"%[A-Z(]"), re.compile(r"(?:here|filled in|added|supplied|completed)\)", re.I)
 _SLOT_PLAIN = regex.compile(r"\[object object\]|(?<![\w])x{4,}(?![\w])")
 
 # --- fixed values: what servers, walls and editors say, in plain form without case ----------------
@@ -115,6 +116,13 @@ _NOTHING = regex.compile(rf"(?:[\s\-*•#>.,;:|/]*{_EMPTY}[\s\-*•#>.,;:|/!…]
 _BROKEN = regex.compile(r"[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u0178\u0192\u02c6\u02dc\u2013-\u2122]{1,3}")
 
 
+def _may_hold_slot(t: str) -> bool:
+    """Whether a text has a sign that every slot has one of; most texts have none."""
+    if "{" in t or "[" in t or "<" in t or "$" in t or "@@" in t or "__" in t or "XXXX" in t:
+        return True
+    return bool("%" in t and _PERCENT.search(t) or ")" in t and _CLOSED.search(t))
+
+
 def _mended(text: str) -> str:
     """`text` with UTF-8 that was read as a single-byte encoding read again."""
 
@@ -138,9 +146,8 @@ def _mended(text: str) -> str:
 _kinds: dict[str, int] = {}
 
 
-def _is_repeated(shown: str) -> bool:
+def _is_repeated(words: list[str]) -> bool:
     """Whether a text has a phrase that follows itself again and again."""
-    words = [w.strip(".,;") for w in shown.split()]
     for p in range(1, PHRASE + 1):
         if sum(map(eq, words, words[p:])) >= AGAIN * p:
             run = 0
@@ -151,11 +158,12 @@ def _is_repeated(shown: str) -> bool:
     return False
 
 
-def _is_invented(shown: str) -> bool:
+def _is_invented(words: list[str]) -> bool:
     """Whether a text has a stretch of invented Latin or of words typed on one row of keys."""
     latin = keys = 0
-    for word in shown.split():
-        kind = _kinds.get(word)
+    known = _kinds.get
+    for word in words:
+        kind = known(word)
         if kind is None:
             if len(_kinds) > 300_000:
                 _kinds.clear()
@@ -183,7 +191,7 @@ def evidence(text: str) -> str | None:
     if _BODY.search(told):
         return "error"
     told = _QUOTED.sub(" ", told)
-    if _SLOT.search(told):
+    if _may_hold_slot(told) and _SLOT.search(told):
         return "slot"
     shown = without_markup(regex.sub(r"</?(?:p|div|li|h\d|br|title|body|html|head|noscript|td|tr)\b[^<>]*>", "\n", told, flags=regex.I)).casefold()
     if _SLOT_PLAIN.search(shown):
@@ -198,7 +206,8 @@ def evidence(text: str) -> str | None:
     for sentence in sentences:
         if m := _START_RE.match(sentence):
             return next(name for name, group in zip(("error", "script", "filler"), m.groups(), strict=True) if group is not None)
-    if _is_repeated(joined) or _is_invented(joined):
+    words = joined.split()
+    if _is_repeated(words) or _is_invented(words):
         return "filler"
     if any(_EMPTY_LINE.fullmatch(x) and x != "n/a" for x in lines) or (lines and _NOTHING.fullmatch(" ".join(lines))):
         return "empty"
