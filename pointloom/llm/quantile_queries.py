@@ -20,12 +20,13 @@ def _daily(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles per algorithm over all days and per month, both combined from the summaries of the days."""
+    """Percentiles per algorithm and day, per month and over all days, the longer periods combined from the summaries of the days."""
     daily = stage(_daily(spark, folder), "daily")
     monthly = stage(combine(daily.withColumn("month", F.date_format("day", "yyyy-MM")), ["algo", "month"]), "monthly")
     whole = combine(monthly, ["algo"]).withColumn("period", F.lit("all"))
-    both = monthly.withColumnRenamed("month", "period").unionByName(whole)
-    return percentiles(both).select("algo", "period", "measure", "n", "p50", "p90", "p95", "p99")
+    days = daily.withColumn("day", F.date_format("day", "yyyy-MM-dd")).withColumnRenamed("day", "period")
+    periods = days.unionByName(monthly.withColumnRenamed("month", "period")).unionByName(whole)
+    return percentiles(periods).select("algo", "period", "measure", "n", "p50", "p90", "p95", "p99")
 
 
 def p3_daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +44,7 @@ SQL = {
     "p3_percentiles": f"""{CURRENT_SQL}, long AS (
   SELECT algo, period, measure, x FROM (
     SELECT algo, finished_at, unnest(['wall_time_s', 'rss_delta_mb']) AS measure, unnest([wall_time_s, rss_delta_mb]) AS x FROM latest
-  ), LATERAL (SELECT unnest(['all', strftime(finished_at, '%Y-%m')]) AS period)
+  ), LATERAL (SELECT unnest(['all', strftime(finished_at, '%Y-%m'), strftime(finished_at, '%Y-%m-%d')]) AS period)
   WHERE x IS NOT NULL AND x::VARCHAR <> 'nan'
 ) {_ONE}""",
 }
