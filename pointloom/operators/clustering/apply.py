@@ -6,16 +6,20 @@ import json
 from typing import Any, NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators import kmeans as K
 from pointloom.operators import neighbors as N
 from pointloom.operators.clustering import base
-from pointloom.operators.staging import stage
+from pointloom.operators.mixture import mixture
+from pointloom.operators.staging import discard, stage
 
-#: Points that a kernel is fitted on: all, if there are no more; else the first by a hash of id and seed.
+#: Points up to which a job per iteration would cost more than the work, so that kernels with a form over partitions run in one memory too.
 FIT_ROWS = 5000
+#: Starts of k-means and its like, as their kernels have them.
+STARTS = {"kmeans": 10, "kmeans_trimmed": 10, "parallel_kmeans": 3}
 STEPS = "step_idx int, cost double, delta_cost double, accepted boolean, action string, state string"
 
 
@@ -41,11 +45,24 @@ def step_rows(steps: list[base.Step]) -> list[tuple]:
 
 def _distributed(points: DataFrame, algo: str, k: int | None, seed: int, params: dict) -> tuple[DataFrame, dict, list[base.Step]] | None:
     """Kernels that have a form over partitions: no sample, no bound."""
-    if algo in ("kmeans", "parallel_kmeans", "kmeans_trimmed"):
-        start = K.plus_plus(points, k or 8, seed)
-        fit = K.lloyd(points, start, params.get("max_iter", 100), params.get("tol", 1e-4), params.get("trim", 0.1 if algo == "kmeans_trimmed" else 0.0))
-        steps = [base.Step(c, {"type": "mapreduce" if algo == "parallel_kmeans" else "em", "shift": s}) for _, c, s in fit.trace]
-        return K.assign(points, fit.centers).select("point_id", "label"), {"centers": len(fit.centers)}, steps
+    if algo in STARTS:
+        trim = params.get("trim", 0.1 if algo == "kmeans_trimmed" else 0.0)
+        best = None
+        for i in range(params.get("n_init", STARTS[algo])):
+            fit = K.lloyd(points, K.plus_plus(points, k or 8, seed + i), params.get("max_iter", 300), params.get("tol", 1e-4), trim)
+            labels = stage(K.assign(points, fit.centers), "assigned")
+            inertia = float(labels.agg(F.sum("sq")).first()[0])
+            if best is None or inertia < best[2]:
+                best, labels = (fit, labels, inertia), best and best[1]
+            if labels is not None:
+                discard(labels)
+        fit, labels, inertia = best
+        kind = {"kmeans": "em", "kmeans_trimmed": "trimmed_em", "parallel_kmeans": "mapreduce"}[algo]
+        steps = [base.Step(c, {"type": kind, "shift": s}) for _, c, s in fit.trace]
+        return labels.select("point_id", "label"), {"centers": len(fit.centers), "inertia": inertia}, steps
+    if algo == "gmm":
+        fit = mixture(points, k or 8, seed, params.get("cov", "full"), params.get("reg", 1e-6))
+        return fit.labels, {"bic": fit.bic, "converged": fit.converged}, [base.Step(-t, {"type": "em"}) for t in fit.trace]
     if algo in ("dbscan", "dbscan_auto"):
         least = params.get("min_samples", 5)
         eps = params.get("eps", 0.5)
@@ -59,11 +76,11 @@ def _distributed(points: DataFrame, algo: str, k: int | None, seed: int, params:
 def cluster(points: DataFrame, algo: str, k: int | None = None, seed: int = 0, fit_rows: int = FIT_ROWS, **params: Any) -> Clustering:
     """Cluster points (`point_id`, `x`).
 
-    Up to `fit_rows` points are clustered in one memory, where a job per iteration
-    would cost more than the work. Of more points, k-means and its like and DBSCAN see
-    all, partition by partition; the other kernels see `fit_rows` of them, and every
-    other point takes the label of the nearest point they saw, block by block. Null or ragged vectors are an error; an
-    empty table gives no labels.
+    Every kernel sees every point. From more than `fit_rows` points on k-means and its
+    like, the Gaussian mixture and DBSCAN run partition by partition, with the starts,
+    rounds and tolerances of the kernels in one memory. The other kernels take all
+    points into one memory, however many there are. Null or ragged vectors are an
+    error; an empty table gives no labels.
     """
     spark = points.sparkSession
     held = stage(points.select("point_id", F.col("x").cast("array<double>").alias("x")), "points")
@@ -74,12 +91,7 @@ def cluster(points: DataFrame, algo: str, k: int | None = None, seed: int = 0, f
     if done is not None:
         labels, extra, steps = done
         return Clustering(labels, extra, spark.createDataFrame(step_rows(steps), STEPS))
-    seen = held if n <= fit_rows else held.orderBy(F.xxhash64("point_id", F.lit(seed)), "point_id").limit(fit_rows)
-    rows = sorted(seen.collect(), key=lambda r: r["point_id"])  # at most fit_rows
-    fit = base.run(algo, np.array([r["x"] for r in rows]), k, seed, **params)
-    own = spark.createDataFrame([(r["point_id"], int(v)) for r, v in zip(rows, fit.labels, strict=True)], "point_id long, label int")
-    if n > fit_rows:
-        marked = stage(held.join(own, "point_id"), "seen")
-        rest = held.join(own.select("point_id"), "point_id", "left_anti")
-        own = own.unionByName(N.one_nn(rest, marked))
+    rows = held.toArrow().sort_by("point_id")
+    fit = base.run(algo, K.matrix(rows["x"].combine_chunks()), k, seed, **params)
+    own = spark.createDataFrame(pa.table({"point_id": rows["point_id"], "label": pa.array(fit.labels, pa.int32())}))
     return Clustering(own, fit.extra, spark.createDataFrame(step_rows(fit.steps), STEPS))

@@ -127,6 +127,45 @@ def merge_tree(d: np.ndarray, k: int, linkage: str = "ward", sizes: np.ndarray |
     return np.unique(home, return_inverse=True)[1]
 
 
+def ward_chain(x: np.ndarray, k: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Labels of Ward's merges down to `k` clusters without a matrix of distances.
+
+    A chain of nearest neighbours merges what is nearest to each other; Ward's cost of a
+    merge follows from sizes and means, and the merges in order of cost are those of `merge_tree`.
+    """
+    n = len(x)
+    c = x.astype(np.float64) - x.mean(axis=0)
+    size = np.ones(n) if sizes is None else sizes.astype(float).copy()
+    sq = (c * c).sum(axis=1)
+    name, merges, chain = np.arange(n), [], []
+    gone = np.zeros(n, dtype=bool)
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(~gone)[0])]
+        while True:
+            i = chain[-1]
+            d = np.maximum(sq + sq[i] - 2.0 * (c @ c[i]), 0.0) * (size * size[i] / (size + size[i]))
+            d[gone] = np.inf
+            d[i] = np.inf
+            j = int(d.argmin())
+            if len(chain) > 1 and d[chain[-2]] <= d[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        merges.append((float(d[j]), int(name[i]), int(name[j])))
+        del chain[-2:]
+        c[j] = (size[i] * c[i] + size[j] * c[j]) / (size[i] + size[j])
+        sq[j], size[j] = c[j] @ c[j], size[i] + size[j]
+        gone[i] = True
+        if 2 * gone.sum() > len(gone) > 64:  # merged clusters leave the matrix
+            to = np.cumsum(~gone) - 1
+            chain = [int(to[i]) for i in chain]
+            c, sq, size, name, gone = c[~gone], sq[~gone], size[~gone], name[~gone], gone[~gone]
+    first = sorted(merges, key=lambda m: m[0])[: n - max(1, min(k, n))]
+    a, b = np.array([m[1] for m in first], dtype=int), np.array([m[2] for m in first], dtype=int)
+    return np.unique(connected(n, a, b), return_inverse=True)[1]
+
+
 def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Component number of each of `n` nodes."""
     parent = np.arange(n)

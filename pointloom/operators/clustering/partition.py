@@ -124,7 +124,7 @@ def leaders(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np
 
 
 @register("birch_algo")
-def birch(x, k, rng, threshold=1.5, most=1500, **_):
+def birch(x, k, rng, threshold=1.5, **_):
     """Mergeable summaries (count, sum, squares), then Ward over their centroids; the threshold shrinks until there are `k`."""
     k = _k(x, k)
     while True:
@@ -132,18 +132,15 @@ def birch(x, k, rng, threshold=1.5, most=1500, **_):
         if len(c) >= k or threshold < 1e-6:
             break
         threshold *= 0.7
-    while len(c) > most:
-        threshold *= 1.5
-        c, n, home = leaders(x, threshold)
-    part = U.merge_tree(np.sqrt(U.sq_dists(c, c)), k, "ward", n)
+    part = U.ward_chain(c, k, n)
     return Fit(part[home], {"n_summaries": len(c)})
 
 
 @register("agglomerative")
 def agglomerative(x, k, rng, linkage="ward", most=3000, **_):
-    """Merges of the closest clusters; above `most` rows over the centroids of summaries."""
-    if len(x) > most:
-        return birch(x, k, rng, threshold=0.1)
+    """Merges of the closest clusters; above `most` rows Ward's are found without a matrix of distances."""
+    if len(x) > most and linkage == "ward":
+        return Fit(U.ward_chain(x, _k(x, k, 2)))
     return Fit(U.merge_tree(np.sqrt(U.sq_dists(x, x)), _k(x, k, 2), linkage))
 
 

@@ -118,6 +118,36 @@ def test_tables_larger_than_a_fit(spark, algo):
     assert cluster(df.limit(0), algo, 3).labels.count() == 0
 
 
+@pytest.mark.parametrize("algo", ["agglomerative", "gmm", "kmeans"])
+def test_no_point_is_left_out_of_a_fit(spark, algo):
+    x, _ = draw("blobs", DataSpec(600, 3, 3, 0.4, 1))
+    x = np.vstack([x, np.random.default_rng(1).normal(60.0, 0.1, (6, 3))])  # a cluster that a sample would mostly miss
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, x array<double>")
+    label = {r["point_id"]: r["label"] for r in cluster(df, algo, 4, 1, fit_rows=100).labels.collect()}
+    got = np.array([label[i] for i in range(606)])
+    assert len(set(got[600:])) == 1 and not set(got[600:]) & set(got[:600])
+    assert U.ari(got, base.run(algo, x, 4, 1).labels) > 0.99
+
+
+def test_ward_of_many_rows_is_ward():
+    x = np.random.default_rng(3).normal(size=(300, 5)) + 50.0
+    for k in (2, 7, 40):
+        assert U.ari(base.run("agglomerative", x, k, 1).labels, base.run("agglomerative", x, k, 1, most=10).labels) == 1.0
+    sizes = np.random.default_rng(4).integers(1, 5, 300)  # a summary of n rows is n rows
+    whole = U.merge_tree(np.sqrt(U.sq_dists(y := np.repeat(x, sizes, axis=0), y)), 7)
+    assert U.ari(whole, np.repeat(U.ward_chain(x, 7, sizes), sizes)) == 1.0
+    assert len(set(base.run("birch_algo", x, 5, 1, threshold=0.1).labels)) == 5
+
+
+def test_mixture_over_partitions_is_the_kernel(spark):
+    x, _ = draw("blobs", DataSpec(900, 3, 3, 0.4, 1))
+    x = x + 1000.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, x array<double>")
+    for cov in ("full", "tied", "diag"):
+        out, want = cluster(df, "gmm", 3, 1, fit_rows=100, cov=cov), base.run("gmm", x, 3, 1, cov=cov)
+        assert abs(out.extra["bic"] - want.extra["bic"]) < 1e-3 * abs(want.extra["bic"])
+
+
 def test_generators():
     assert len(GENERATORS) == 31
     x, y = draw("mdcgen", DataSpec(300, 4, 3, 0.5, 1, outliers=20, noise=10, density=0.5))
