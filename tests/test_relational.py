@@ -87,3 +87,12 @@ def test_min_max_and_weighted_mean(spark):
 def test_last_wins_map(spark):
     df = spark.createDataFrame([(1, "a", 0.1, 1), (1, "a", 0.2, 2), (1, "b", float("nan"), 3)], "t int, algo string, v double, o int")
     assert R.last_wins_map(df, ["t"], "algo", "v", "o").first()["by_name"] == {"a": 0.2}
+
+
+def test_upsert_query_covers_all_seeds(spark, monkeypatch):
+    from pointloom.plans import relational_queries as Q
+
+    rows = [(s, "kmeans", "blobs", s, 3) for s in (1, 15, 30, 31, 500)]
+    monkeypatch.setattr(Q, "runs", lambda *_: spark.createDataFrame(rows, "result_id long, algo string, dataset string, seed int, k_target int"))
+    got = {r["seed"]: r["result_id"] for r in Q.results_upsert(spark, "").collect()}
+    assert got == {1: 1, 15: 1_000_015, 30: 1_000_030, 31: 1_000_031, 500: 1_000_500}
