@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def flatten(df: DataFrame, struct: str, protected: Sequence[str]) -> DataFrame:
@@ -220,12 +222,32 @@ def upper_median(column: str) -> Column:
 
 
 def discounted_to_go(df: DataFrame, keys: Sequence[str], order: str, reward: str, gamma: float) -> DataFrame:
-    """`return_to_go`: reward plus gamma times that of the next step, backwards within each key."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    t = (F.row_number().over(w) - 1).cast("double")
-    weighted = df.withColumn("__pl_t", t).withColumn("__pl_w", F.col(reward) * F.pow(F.lit(gamma), F.col("__pl_t")))
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return weighted.withColumn("return_to_go", F.sum("__pl_w").over(ahead) / F.pow(F.lit(gamma), F.col("__pl_t"))).drop("__pl_t", "__pl_w")
+    """`return_to_go`: reward plus gamma times that of the next step, backwards within each key.
+
+    A fold over the rows of a task in reverse order with one return carried, so an
+    episode of any length takes no more memory than a batch.
+    """
+    columns = df.columns
+    of, value = [columns.index(k) for k in keys], columns.index(reward)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ahead = None, None
+        for batch in batches:
+            held = batch.columns
+            names = zip(*[held[i].to_pylist() for i in of], strict=True)
+            out = []
+            for key, r in zip(names, held[value].to_pylist(), strict=True):
+                if key != last:
+                    last, ahead = key, None
+                if ahead is not None:
+                    ahead = gamma * ahead + (r or 0.0)
+                elif r is not None:
+                    ahead = float(r)
+                out.append(ahead)
+            yield pa.RecordBatch.from_arrays([*held, pa.array(out, pa.float64())], names=[*columns, "return_to_go"])
+
+    back = df.repartition(*keys).sortWithinPartitions(*keys, F.desc(order))
+    return back.mapInArrow(fold, StructType([*df.schema.fields, StructField("return_to_go", DoubleType())]))
 
 
 def group_split(df: DataFrame, group: str, share: float, seed: int = 0) -> DataFrame:

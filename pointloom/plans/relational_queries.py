@@ -310,6 +310,14 @@ def returns_to_go(spark, folder):
     return R.discounted_to_go(short, ["run_id"], "step_idx", "reward", 0.95).select("run_id", "step_idx", even("return_to_go", 4).alias("return_to_go"))
 
 
+@query(f"""{_STEPS_SQL}, r AS (SELECT run_id, step_idx, coalesce(0 - delta_cost, 0) AS reward, row_number() OVER (PARTITION BY run_id ORDER BY step_idx) - 1 AS t FROM steps)
+SELECT run_id, step_idx, round(sum(reward * pow(0.95::DOUBLE, t)) OVER (PARTITION BY run_id ORDER BY step_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / pow(0.95::DOUBLE, t) + 1e-10, 4) + 0.0::DOUBLE AS return_to_go FROM r""")
+def returns_to_go_whole(spark, folder):
+    """The same for every episode, however long (the SQL's weights underflow beyond some 14,000 steps, the operator's fold doesn't)."""
+    df = _steps(spark, folder).select("run_id", "step_idx", F.coalesce(F.lit(0.0) - F.col("delta_cost"), F.lit(0.0)).alias("reward"))
+    return R.discounted_to_go(df, ["run_id"], "step_idx", "reward", 0.95).select("run_id", "step_idx", even("return_to_go", 4).alias("return_to_go"))
+
+
 @query(f"{_STEPS_SQL} SELECT run_id, step_idx, round(cost - lag(cost) OVER (PARTITION BY run_id ORDER BY step_idx), 9) AS change FROM steps")
 def delta_cost(spark, folder):
     """Change of the cost against the step before."""

@@ -96,3 +96,21 @@ def test_upsert_query_covers_all_seeds(spark, monkeypatch):
     monkeypatch.setattr(Q, "runs", lambda *_: spark.createDataFrame(rows, "result_id long, algo string, dataset string, seed int, k_target int"))
     got = {r["seed"]: r["result_id"] for r in Q.results_upsert(spark, "").collect()}
     assert got == {1: 1, 15: 1_000_015, 30: 1_000_030, 31: 1_000_031, 500: 1_000_500}
+
+
+def test_returns_of_a_long_episode(spark):
+    n = 40_000
+    df = spark.range(n).select(F.lit(1).alias("e"), F.col("id").alias("t"), (F.col("id") % 7).cast("double").alias("r")).unionByName(spark.sql("select 2 e, 0L t, 5.0D r"))
+    got = {(r["e"], r["t"]): r["return_to_go"] for r in R.discounted_to_go(df, ["e"], "t", "r", 0.95).collect()}
+    want = 0.0
+    for t in range(n - 1, -1, -1):
+        want = t % 7 + 0.95 * want
+        assert math.isclose(got[1, t], want, rel_tol=1e-12)
+    assert got[2, 0] == 5.0 and len(got) == n + 1
+
+
+def test_returns_query_keeps_long_runs(spark, monkeypatch):
+    from pointloom.plans import relational_queries as Q
+
+    monkeypatch.setattr(Q, "_steps", lambda *_: spark.range(300).selectExpr("'a' run_id", "int(id) step_idx", "-1.0D delta_cost"))
+    assert Q.returns_to_go_whole(spark, "").count() == 300
