@@ -14,7 +14,7 @@ from pointloom.operators import rl
 from pointloom.operators.clustering import REGISTRY, cluster
 from pointloom.operators.staging import stage
 from pointloom.plans.base import RUNS_SQL, runs
-from pointloom.plans.point_queries import points
+from pointloom.plans.point_queries import _edges, points
 from pointloom.plans.relational_queries import even
 from pointloom.plans.runner import Algorithm, expand, run_grid
 from pointloom.sources.generators import GENERATORS, DataSpec, generate, karate_edges
@@ -154,8 +154,14 @@ def graph_avg_path(spark, folder):
 
 @query()
 def graph_betweenness(spark, folder):
-    """Betweenness of the nodes of a small graph."""
-    return G.betweenness(_small_graph(spark, folder))
+    """Betweenness of the nodes of the graph of three neighbours of all embeddings."""
+    return G.betweenness(_edges(spark, folder))
+
+
+@query()
+def graph_avg_path_whole(spark, folder):
+    """Mean length of the shortest paths from each node of that graph."""
+    return G.average_path(_edges(spark, folder)).withColumn("avg_path", even("avg_path", 6))
 
 
 @query()

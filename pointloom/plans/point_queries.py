@@ -279,6 +279,18 @@ def eigenvector_centrality(spark, folder):
     return G.eigenvector_centrality(_edges(spark, folder), rounds=5, tol=0.0).withColumn("centrality", even("centrality", 6))
 
 
+@query()
+def pagerank_converged(spark, folder):
+    """PageRank on that graph, run until a round changes less than 1e-9 in sum."""
+    return G.pagerank(_edges(spark, folder), rounds=10_000).withColumn("rank", even("rank", 6))
+
+
+@query()
+def eigenvector_centrality_converged(spark, folder):
+    """Eigenvector centrality on that graph, run until a round changes less than 1e-9 in sum."""
+    return G.eigenvector_centrality(_edges(spark, folder), rounds=10_000).withColumn("centrality", even("centrality", 6))
+
+
 _SEEDS = ", ".join(f"c{i}" for i in range(5))
 
 

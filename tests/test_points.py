@@ -161,3 +161,20 @@ def test_node_features_equal_the_measures_over_tables(spark):
     for i, t in enumerate(tables):
         for node, v in t.collect():
             assert math.isclose(x[node][i], v, abs_tol=0.05 if i == 2 else 1e-3 if i == 4 else 1e-9), (i, node)
+
+
+def test_graph_queries_take_the_whole_graph(spark, monkeypatch):
+    from pointloom.plans import cluster_queries as C
+    from pointloom.plans import point_queries as P
+
+    fan = G.undirected(spark.range(1, 81).selectExpr("0L i", "id j").unionByName(spark.range(40).selectExpr("2 * id + 1 i", "2 * id + 2 j")))
+    monkeypatch.setattr(C, "_edges", lambda *_: fan)
+    monkeypatch.setattr(P, "_edges", lambda *_: fan)
+    between = {r["node"]: r["betweenness"] for r in C.graph_betweenness(spark, "").collect()}
+    assert len(between) == 81 and math.isclose(between[0], 78 / 79) and between[80] == 0.0
+    link = np.zeros((81, 81))
+    for r in fan.collect():
+        link[r["i"], r["j"]] = link[r["j"], r["i"]] = 1.0
+    rank = np.linalg.solve(np.eye(81) - 0.85 * link / link.sum(axis=0), np.full(81, 0.15 / 81))
+    got = {r["node"]: r["rank"] for r in P.pagerank_converged(spark, "").collect()}
+    assert all(abs(got[i] - rank[i]) < 1e-6 for i in range(81))
