@@ -17,8 +17,8 @@ from pointloom.llm.texts import _UNSEEN, without_markup
 from pointloom.operators.skew import join_by_weight
 from pointloom.operators.staging import stage
 
-#: A line of a host is recurrent from so many documents on, and boilerplate if in this part of such documents, at least, real content stands beside it.
-RECURRENT, BESIDE = 5, 0.3
+#: A line of a host is recurrent from so many documents on that are also this part of the host's, and boilerplate if in this part of such documents, at least, real content stands beside it.
+RECURRENT, SHARE, BESIDE = 5, 0.005, 0.3
 #: How sure the part must be: standard errors of the lower bound that is compared.
 SURE = 1.96
 #: Words that make a line real content.
@@ -224,11 +224,11 @@ def _line_key(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
 
 
-def boilerplate_lines(docs: DataFrame, text: str, host: str, recurrent: int = RECURRENT, beside: float = BESIDE) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, text: str, host: str, recurrent: int = RECURRENT, beside: float = BESIDE, share: float = SHARE) -> DataFrame:
     """(`host`, `line`: hash of the normalised line): what a host puts around its content.
 
     A line counts once a document. It is boilerplate if `recurrent` or more documents
-    of the host have it and the part with another line of real content is `beside` or
+    of the host, and `share` or more of them all, have it and the part with another line of real content is `beside` or
     more by the lower bound of its Wilson interval; so a message that stands for the
     content is none, however often a host repeats it. Lines without a letter are not counted. Null is a host of its own.
     """
@@ -240,7 +240,9 @@ def boilerplate_lines(docs: DataFrame, text: str, host: str, recurrent: int = RE
     sums = each.groupBy("host", F.xxhash64("key").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.sum(other).alias("amid"))
     n, part, z = F.col("n").cast("double"), F.col("amid") / F.col("n"), SURE
     surely = (part + z * z / (2 * n) - z * F.sqrt(part * (1 - part) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    return sums.where((n >= recurrent) & (surely >= beside)).select("host", "line")
+    whole = held.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("docs"))
+    usual = sums.where((n >= recurrent) & (surely >= beside))
+    return usual.join(whole, usual["host"].eqNullSafe(whole["of"])).where(n >= share * F.col("docs")).select("host", "line")
 
 
 def _is_content(key: Column) -> Column:
@@ -251,7 +253,8 @@ def find_residue(docs: DataFrame, doc: str, text: str, host: str, recurrent: int
     """(`doc`, `evidence`): documents in which a slot, filler, an error message or a notice that scripts are needed stands where content should.
 
     Lines are counted by host over all documents; the host's boilerplate is
-    subtracted from a text, and what is left is searched whole. Documents that show
+    subtracted from a text, but for lines that themselves show a slot, filler or an
+    error, and what is left is searched whole. Documents that show
     nothing even with their boilerplate are set aside in the first pass, so that only
     the others are compared with it. Null and blank texts show nothing; repeated
     documents are reported row by row.
@@ -270,12 +273,21 @@ def find_residue(docs: DataFrame, doc: str, text: str, host: str, recurrent: int
             kept = pa.array([i for i, e in enumerate(shown) if e], type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), pa.array([e for e in shown if e], type=pa.string())], names=[doc, "evidence"])
 
+    def residue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pa.array([i for i, x in enumerate(batch.column(1).to_pylist()) if evidence(x) not in (None, "script")], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept)], names=["line"])
+
     plain = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(host).cast("string").alias("host"), F.col(text).cast("binary").alias("text"))
     found = stage(plain.mapInArrow(first, f"doc {kind}, host string, text string").withColumn("at", F.monotonically_increasing_id()), "candidates")
-    lines = found.select("at", "host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_line_key(x))))).alias("line"))
+    split = found.select("at", "host", F.explode(F.split("text", "\n")).alias("said")).withColumn("line", F.xxhash64(_line_key(F.col("said"))))
+    lines = split.select("at", "host", "line").distinct()
     usual = boilerplate_lines(docs, text, host, recurrent, beside).select(F.col("host").alias("of"), F.col("line").alias("usual"))
     counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("weight"))
-    furniture = stage(counted.join(usual, counted["host"].eqNullSafe(usual["of"]) & (counted["line"] == usual["usual"]), "left_semi"), "furniture")
+    around_all = counted.join(usual, counted["host"].eqNullSafe(usual["of"]) & (counted["line"] == usual["usual"]), "left_semi")
+    spoken = stage(split.join(usual, split["host"].eqNullSafe(usual["of"]) & (split["line"] == usual["usual"]), "left_semi").select("line", "said").distinct(), "spoken")
+    shown = spoken.mapInArrow(residue, "line long").distinct()  # a line is the same message in every host
+    furniture = stage(around_all.join(shown, "line", "left_anti").select("host", "line", "weight"), "furniture")
     around = join_by_weight(lines, furniture, ["host", "line"], "weight", lines.count()).groupBy("at").agg(F.collect_set("line").alias("around"))
     left = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("around", F.xxhash64(_line_key(x)))))
     residual = found.join(around, "at", "left").select("doc", F.when(F.col("around").isNull(), F.col("text")).otherwise(left).alias("left"))
