@@ -173,7 +173,7 @@ def graph_node_features(spark, folder):
 @query()
 def text_features(spark, folder):
     """Documents as points: weighted terms on eight axes."""
-    return text_points(table(spark, folder, "documents"), "doc_id", "text", 8, 300)
+    return text_points(table(spark, folder, "documents"), "doc_id", "text", 8)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value) + 1e-10, 6) AS mean, min(value) AS lowest, max(value) AS highest FROM events GROUP BY 1, 2")
