@@ -53,6 +53,14 @@ def results_flatten(spark, folder):
     return R.flatten(nested, "metrics", ["compactness"])
 
 
+@query("SELECT result_id, algo, compactness, " + ", ".join(f"{finite_sql(m)} AS {m}" for m in ("ari", "nmi", "metric_compactness")) + " FROM results")
+def results_flatten_whole(spark, folder):
+    """The same for every row, NaN and infinities as null."""
+    df = clean(table(spark, folder, "results"), ["ari", "nmi", "metric_compactness"])
+    nested = df.select("result_id", "algo", "compactness", F.struct("ari", "nmi", F.col("metric_compactness").alias("compactness")).alias("metrics"))
+    return R.flatten(nested, "metrics", ["compactness"])
+
+
 @query("SELECT result_id, algo, n_samples, " + ", ".join(f"{finite_sql(m)} AS {m}" for m in METRICS) + " FROM results")
 def results_clean(spark, folder):
     """The exported columns with NaN and infinities as null."""
@@ -81,6 +89,13 @@ def trajectory_viewer(spark, folder):
     return df.select("run_id", "step_idx", F.round("cost", 9).alias("cost")).distinct().orderBy("run_id", "step_idx", "cost").limit(20)
 
 
+@query(f"SELECT DISTINCT run_id, step_idx, round({finite_sql('cost')}, 9) AS cost FROM step_records WHERE algo = 'kmeans' AND compactness = 1.0 ORDER BY run_id, step_idx, cost NULLS FIRST LIMIT 20")
+def trajectory_viewer_whole(spark, folder):
+    """The first 20 steps with those of unknown cost, which is null."""
+    df = clean(R.equal_filters(table(spark, folder, "step_records"), algo="kmeans", compactness=1.0, dataset_id=None), ["cost"])
+    return df.select("run_id", "step_idx", F.round("cost", 9).alias("cost")).distinct().orderBy("run_id", "step_idx", "cost").limit(20)
+
+
 @query(f"""{RUNS_SQL} SELECT count(DISTINCT algo) AS n_algos, (SELECT count(*) FROM (SELECT DISTINCT {_TASK} FROM runs)) AS n_tasks,
 count(*) AS n_rows, round(avg(ari) + 1e-10, 6) AS mean_ari, round(avg(wall_time_s) + 1e-10, 6) AS mean_wall FROM runs""")
 def global_aggregates(spark, folder):
