@@ -207,7 +207,7 @@ def evidence(text: str) -> str | None:
         if m := _START_RE.match(sentence):
             return next(name for name, group in zip(("error", "script", "filler"), m.groups(), strict=True) if group is not None)
     words = joined.split()
-    if _is_repeated(words) or _is_invented(words):
+    if _is_repeated([w.strip(".,;") for w in words]) or _is_invented(words):
         return "filler"
     if any(_EMPTY_LINE.fullmatch(x) and x != "n/a" for x in lines) or (lines and _NOTHING.fullmatch(" ".join(lines))):
         return "empty"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointloom.llm.residue import boilerplate_lines, find_residue
+from pointloom.llm.residue import boilerplate_lines, evidence, find_residue
 
 REAL = "run {0} ended after {0} steps with a lower cost than the one before it on blobs"
 
@@ -18,3 +18,7 @@ def test_what_is_recurrent_is_a_share_of_the_host(spark):
     docs = spark.createDataFrame([(i, "a", REAL.format(i) + ("\nback to overview" if i < 6 else "")) for i in range(3000)], "doc_id long, host string, text string")
     assert boilerplate_lines(docs, "text", "host").count() == 0
     assert boilerplate_lines(docs.where("doc_id < 300"), "text", "host").count() == 1
+
+
+def test_repeated_filler_whatever_its_punctuation():
+    assert evidence("content, content, content, content, content.") == "filler"
