@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pointloom.operators.staging import discard, stage
@@ -23,8 +23,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame) -> DataFrame:
     """(`node`, `degree`, `share`): neighbours, and over the other nodes there are."""
     deg = both_ways(edges).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return deg.withColumn("share", F.col("degree") / (n - 1))
+    n = deg.agg(F.count(F.lit(1)).alias("__pl_n"))  # a single row
+    return deg.join(F.broadcast(n)).select("node", "degree", (F.col("degree") / (F.col("__pl_n") - 1)).alias("share"))
 
 
 def clustering_coefficients(edges: DataFrame) -> DataFrame:
@@ -44,21 +44,49 @@ def clustering_coefficients(edges: DataFrame) -> DataFrame:
     return deg.join(corners, "node", "left").select("node", F.when(F.col("degree") < 2, 0.0).otherwise(F.coalesce("t", F.lit(0)) / pairs).alias("coefficient"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tol: float = 1e-9) -> DataFrame:
-    """(`node`, `rank`): a fixed number of rounds at most, fewer once the change in sum is below `tol`."""
-    links = stage(both_ways(edges), "links")
-    deg = links.groupBy("u").agg(F.count(F.lit(1)).alias("deg"))
-    n = deg.count()
-    rank = held = stage(deg.select(F.col("u").alias("node"), "deg", F.lit(1.0 / max(1, n)).alias("rank")), "rank")
-    for _ in range(rounds):
-        flow = links.join(rank.select(F.col("node").alias("u"), (F.col("rank") / F.col("deg")).alias("w")), "u").groupBy(F.col("v").alias("node")).agg(F.sum("w").alias("w"))
-        after = stage(rank.join(flow, "node", "left").select("node", "deg", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("w", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")), "rank")
-        change = after.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+#: Rounds of an iteration between two staged tables.
+ROUNDS_A_JOB = 5
+
+
+def _until_still(start: DataFrame, step, rounds: int, tol: float, unit: bool) -> DataFrame:
+    """Apply `step` to (`node`, `x`) `rounds` times at most, until some rounds together change `x` by less than `tol` in sum.
+
+    The rounds between two staged tables are one job. With `unit`, `x` is brought to
+    unit length at its end.
+    """
+    held = start
+    done = 0
+    while done < rounds:
+        now = held
+        for _ in range(min(ROUNDS_A_JOB, rounds - done)):
+            now, done = step(now), done + 1
+        size = Observation()
+        raw = stage(now.observe(size, F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size")), "round")
+        after = raw.select("node", F.col("x") / F.lit(size.get["size"] or 1.0)) if unit else raw
+        after = after.toDF("node", "x")
+        before = held.select("node", F.col("x").alias("old"))
+        change = after.join(before, "node").agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] or 0.0
         discard(held)
-        held, rank = after, after.drop("old")
+        after._pl_path = raw._pl_path
+        held = after
         if change < tol:
             break
-    return rank.select("node", "rank")
+    return held
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tol: float = 1e-9) -> DataFrame:
+    """(`node`, `rank`): a fixed number of rounds at most, fewer once the change in sum is below `tol`."""
+    both = both_ways(edges)
+    deg = stage(both.groupBy("u").agg(F.count(F.lit(1)).alias("deg")), "degrees")
+    links = stage(both.join(deg, "u"), "links")
+    n = max(1, deg.count())
+
+    def step(rank: DataFrame) -> DataFrame:
+        part = links.join(rank.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("x") / F.col("deg")).alias("x"))
+        return part.select("node", (F.lit((1 - damping) / n) + damping * F.col("x")).alias("x"))
+
+    start = stage(deg.select(F.col("u").alias("node"), F.lit(1.0 / n).alias("x")), "rank")
+    return _until_still(start, step, rounds, tol, False).select("node", F.col("x").alias("rank"))
 
 
 def eigenvector_centrality(edges: DataFrame, rounds: int = 200, tol: float = 1e-9) -> DataFrame:
@@ -66,20 +94,12 @@ def eigenvector_centrality(edges: DataFrame, rounds: int = 200, tol: float = 1e-
     links = stage(both_ways(edges), "links")
     nodes = links.select(F.col("u").alias("node")).distinct()
     n = nodes.count()
-    v = held = stage(nodes.select("node", F.lit(1.0 / max(1, n) ** 0.5).alias("x")), "vector")
-    for _ in range(rounds):
-        flow = links.join(v.select(F.col("node").alias("v"), "x"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("x").alias("y"))
-        flow = stage(flow.join(v, "node"), "vector")
-        discard(held)
-        held = flow
-        norm = (flow.agg(F.sum(F.col("y") * F.col("y"))).first()[0] or 0.0) ** 0.5
-        if norm <= 0:
-            break
-        change = flow.agg(F.sum(F.abs(F.col("y") / norm - F.col("x")))).first()[0]
-        v = flow.select("node", (F.col("y") / norm).alias("x"))
-        if change < tol:
-            break
-    return v.select("node", F.abs("x").alias("centrality"))
+
+    def step(v: DataFrame) -> DataFrame:
+        return links.join(v.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("x").alias("x"))
+
+    start = stage(nodes.select("node", F.lit(1.0 / max(1, n) ** 0.5).alias("x")), "vector")
+    return _until_still(start, step, rounds, tol, True).select("node", F.abs("x").alias("centrality"))
 
 
 def hop_distances(edges: DataFrame, max_hops: int = 1000) -> DataFrame:

@@ -3,8 +3,8 @@
 A plan that reads the same intermediate more than once, or that loops, writes it
 with `stage` and goes on from the files. Lost executors then cost a re-read, never
 a recomputation from the sources. The folder is `spark.checkpoint.dir`; without it a
-local session uses a temporary folder and a cluster uses the warehouse folder, which
-its executors share.
+local session uses a temporary folder and a cluster uses the warehouse folder, if
+that is one that its executors share; a folder of one machine is refused there.
 """
 
 from __future__ import annotations
@@ -29,7 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _local_dirs:
             _local_dirs[app] = tempfile.TemporaryDirectory(prefix="pointloom-")
         return "file://" + _local_dirs[app].name
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if folder.startswith("file:") or "://" not in folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
 
 
 def stage(df: DataFrame, name: str = "t") -> DataFrame:

@@ -14,7 +14,7 @@ from pointloom.operators import rl
 from pointloom.operators.clustering import REGISTRY, cluster
 from pointloom.operators.staging import stage
 from pointloom.plans.base import RUNS_SQL, runs
-from pointloom.plans.point_queries import _edges, points
+from pointloom.plans.point_queries import _EDGES, _edges, points
 from pointloom.plans.relational_queries import even
 from pointloom.plans.runner import Algorithm, expand, run_grid
 from pointloom.sources.generators import GENERATORS, DataSpec, generate, karate_edges
@@ -138,32 +138,23 @@ def router_knn_rank(spark, folder):
     return best.select(F.col("q").alias("dataset"), F.col("algo").alias("choice"), even("m", 6).alias("mean_place"))
 
 
-_GRAPH = "WITH RECURSIVE e AS (SELECT DISTINCT least(a, b) AS i, greatest(a, b) AS j FROM (SELECT vec_id AS a, (vec_id * 7 + 3) % 60 AS b FROM embeddings WHERE vec_id < 60) WHERE a <> b), ways AS (SELECT i AS u, j AS v FROM e UNION ALL SELECT j, i FROM e)"
+#: Distances of all pairs: breadth first, a node entering once with its first distance.
+_HOPS = f"""WITH RECURSIVE {_EDGES[5:]}, bfs(source, node, hops) USING KEY (source, node) AS (
+  SELECT DISTINCT u, u, 0 FROM ways UNION SELECT b.source, w.v, min(b.hops) + 1 FROM bfs b JOIN ways w ON w.u = b.node LEFT JOIN recurring.bfs s ON s.source = b.source AND s.node = w.v WHERE s.hops IS NULL GROUP BY b.source, w.v)"""
 
 
-def _small_graph(spark, folder) -> DataFrame:
-    v = table(spark, folder, "embeddings").where("vec_id < 60").select(F.col("vec_id").alias("i"), ((F.col("vec_id") * 7 + 3) % 60).alias("j"))
-    return stage(G.undirected(v), "graph")
-
-
-@query(f"{_GRAPH}, bfs(source, node, hops) AS (SELECT DISTINCT u, u, 0 FROM ways UNION SELECT b.source, w.v, b.hops + 1 FROM bfs b JOIN ways w ON w.u = b.node WHERE b.hops < 30), d AS (SELECT source, node, min(hops) AS hops FROM bfs GROUP BY source, node) SELECT source AS node, round(avg(hops) + 1e-10, 6) AS avg_path FROM d WHERE hops > 0 GROUP BY source")
+@query(f"{_HOPS} SELECT source AS node, round(avg(hops) + 1e-10, 6) AS avg_path FROM bfs WHERE hops > 0 GROUP BY source")
 def graph_avg_path(spark, folder):
-    """Mean length of the shortest paths from each node of a small graph."""
-    return G.average_path(_small_graph(spark, folder)).withColumn("avg_path", even("avg_path", 6))
+    """Mean length of the shortest paths from each node of the graph of three neighbours of all embeddings."""
+    return G.average_path(_edges(spark, folder)).withColumn("avg_path", even("avg_path", 6))
 
 
 @query()
 def graph_betweenness(spark, folder):
-    """Betweenness of the nodes of the graph of three neighbours of all embeddings."""
+    """Betweenness of the nodes of that graph."""
     return G.betweenness(_edges(spark, folder))
 
 
-@query()
-def graph_avg_path_whole(spark, folder):
-    """Mean length of the shortest paths from each node of that graph."""
-    return G.average_path(_edges(spark, folder)).withColumn("avg_path", even("avg_path", 6))
-
-
 @query()
 def graph_node_features(spark, folder):
     """Sixteen features of the members of the karate club."""

@@ -253,40 +253,24 @@ def graph_clustering_coef(spark, folder):
     return G.clustering_coefficients(_edges(spark, folder)).withColumn("coefficient", even("coefficient", 6))
 
 
-def _unrolled(rounds: int) -> str:
-    parts = [f"{_EDGES}, deg AS (SELECT u, count(*) AS deg FROM ways GROUP BY u), n AS (SELECT count(*) AS n FROM deg), r0 AS (SELECT u AS node, 1.0::DOUBLE / n AS r FROM deg, n)"]
-    for i in range(rounds):
-        parts.append(f"r{i + 1} AS (SELECT d.u AS node, any_value(0.15::DOUBLE / n.n) + 0.85::DOUBLE * sum(r.r / e.deg) AS r FROM deg d JOIN ways w ON w.v = d.u JOIN r{i} r ON r.node = w.u JOIN deg e ON e.u = w.u, n GROUP BY d.u)")
-    return ", ".join(parts) + f" SELECT node, round(r + 1e-10, 6) AS rank FROM r{rounds}"
+_RANK_SQL = f"""WITH RECURSIVE {_EDGES[5:]}, deg AS (SELECT u, count(*)::DOUBLE AS deg FROM ways GROUP BY u), n AS (SELECT count(*)::DOUBLE AS n FROM deg),
+r(node, r, turn) AS (SELECT u, 1 / n, 0 FROM deg, n UNION ALL SELECT w.v, any_value(0.15::DOUBLE / n.n) + 0.85::DOUBLE * sum(r.r / d.deg), any_value(r.turn) + 1 FROM r JOIN ways w ON w.u = r.node JOIN deg d ON d.u = w.u, n WHERE r.turn < 150 GROUP BY w.v)
+SELECT node, round(r + 1e-10, 6) AS rank FROM r WHERE turn = 150"""
 
 
-@query(_unrolled(5))
+@query(_RANK_SQL)
 def pagerank(spark, folder):
-    """Five rounds of PageRank on that graph."""
-    return G.pagerank(_edges(spark, folder), rounds=5, tol=0.0).withColumn("rank", even("rank", 6))
+    """PageRank on that graph, run until a round changes less than 1e-9 in sum."""
+    return G.pagerank(_edges(spark, folder), rounds=10_000).withColumn("rank", even("rank", 6))
 
 
-def _powers(rounds: int) -> str:
-    parts = [f"{_EDGES}, nodes AS (SELECT DISTINCT u AS node FROM ways), v0 AS (SELECT node, 1.0::DOUBLE / sqrt(count(*) OVER ()) AS x FROM nodes)"]
-    for i in range(rounds):
-        parts.append(f"y{i} AS (SELECT w.u AS node, sum(v.x) AS y FROM ways w JOIN v{i} v ON v.node = w.v GROUP BY w.u), v{i + 1} AS (SELECT node, y / sqrt(sum(y * y) OVER ()) AS x FROM y{i})")
-    return ", ".join(parts) + f" SELECT node, round(abs(x) + 1e-10, 6) AS centrality FROM v{rounds}"
+_POWER_SQL = f"""WITH RECURSIVE {_EDGES[5:]}, nodes AS (SELECT DISTINCT u AS node FROM ways),
+v(node, x, turn) AS (SELECT node, 1.0::DOUBLE / sqrt(count(*) OVER ()), 0 FROM nodes UNION ALL SELECT node, y / sqrt(sum(y * y) OVER ()), turn + 1 FROM (SELECT w.u AS node, sum(v.x) AS y, any_value(v.turn) AS turn FROM v JOIN ways w ON w.v = v.node WHERE v.turn < 3000 GROUP BY w.u))
+SELECT node, round(abs(x) + 1e-10, 6) AS centrality FROM v WHERE turn = 3000"""
 
 
-@query(_powers(5))
+@query(_POWER_SQL)
 def eigenvector_centrality(spark, folder):
-    """Five rounds of power iteration on that graph."""
-    return G.eigenvector_centrality(_edges(spark, folder), rounds=5, tol=0.0).withColumn("centrality", even("centrality", 6))
-
-
-@query()
-def pagerank_converged(spark, folder):
-    """PageRank on that graph, run until a round changes less than 1e-9 in sum."""
-    return G.pagerank(_edges(spark, folder), rounds=10_000).withColumn("rank", even("rank", 6))
-
-
-@query()
-def eigenvector_centrality_converged(spark, folder):
     """Eigenvector centrality on that graph, run until a round changes less than 1e-9 in sum."""
     return G.eigenvector_centrality(_edges(spark, folder), rounds=10_000).withColumn("centrality", even("centrality", 6))
 

@@ -44,18 +44,9 @@ def _cells(spark: SparkSession, folder: str) -> DataFrame:
     return df.groupBy("dataset", "algo").agg(*[F.round(F.avg(m), 9).alias(m) for m in ("ari", "wall_time_s", "nmi")])
 
 
-@query("SELECT result_id, algo, compactness, ari, nmi, metric_compactness FROM results WHERE coalesce(ari, 0)::VARCHAR <> 'nan' AND coalesce(nmi, 0)::VARCHAR <> 'nan' AND coalesce(metric_compactness, 0)::VARCHAR <> 'nan'")
-def results_flatten(spark, folder):
-    """Nested metrics as columns; the one that clashes with a task column is renamed."""
-    df = table(spark, folder, "results").select("result_id", "algo", "compactness", "ari", "nmi", "metric_compactness")
-    df = df.where(~F.coalesce(F.isnan("ari"), F.lit(False)) & ~F.coalesce(F.isnan("nmi"), F.lit(False)) & ~F.coalesce(F.isnan("metric_compactness"), F.lit(False)))
-    nested = df.select("result_id", "algo", "compactness", F.struct("ari", "nmi", F.col("metric_compactness").alias("compactness")).alias("metrics"))
-    return R.flatten(nested, "metrics", ["compactness"])
-
-
 @query("SELECT result_id, algo, compactness, " + ", ".join(f"{finite_sql(m)} AS {m}" for m in ("ari", "nmi", "metric_compactness")) + " FROM results")
-def results_flatten_whole(spark, folder):
-    """The same for every row, NaN and infinities as null."""
+def results_flatten(spark, folder):
+    """Nested metrics as columns, NaN and infinities as null; the one that clashes with a task column is renamed."""
     df = clean(table(spark, folder, "results"), ["ari", "nmi", "metric_compactness"])
     nested = df.select("result_id", "algo", "compactness", F.struct("ari", "nmi", F.col("metric_compactness").alias("compactness")).alias("metrics"))
     return R.flatten(nested, "metrics", ["compactness"])
@@ -81,17 +72,9 @@ def leaderboard(spark, folder):
     return R.leaderboard(df, "ari", "result_id", 200, algo="kmeans", compactness=1.0, seed=None).select("result_id", "algo", "dataset", "ari")
 
 
-@query("SELECT DISTINCT run_id, step_idx, round(cost, 9) AS cost FROM step_records WHERE algo = 'kmeans' AND compactness = 1.0 AND coalesce(cost, 0)::VARCHAR <> 'nan' ORDER BY run_id, step_idx, cost LIMIT 20")
-def trajectory_viewer(spark, folder):
-    """The first 20 steps shown for an algorithm and compactness."""
-    df = R.equal_filters(table(spark, folder, "step_records"), algo="kmeans", compactness=1.0, dataset_id=None)
-    df = df.where(~F.coalesce(F.isnan("cost"), F.lit(False)))
-    return df.select("run_id", "step_idx", F.round("cost", 9).alias("cost")).distinct().orderBy("run_id", "step_idx", "cost").limit(20)
-
-
 @query(f"SELECT DISTINCT run_id, step_idx, round({finite_sql('cost')}, 9) AS cost FROM step_records WHERE algo = 'kmeans' AND compactness = 1.0 ORDER BY run_id, step_idx, cost NULLS FIRST LIMIT 20")
-def trajectory_viewer_whole(spark, folder):
-    """The first 20 steps with those of unknown cost, which is null."""
+def trajectory_viewer(spark, folder):
+    """The first 20 steps shown for an algorithm and compactness; an unknown cost is null."""
     df = clean(R.equal_filters(table(spark, folder, "step_records"), algo="kmeans", compactness=1.0, dataset_id=None), ["cost"])
     return df.select("run_id", "step_idx", F.round("cost", 9).alias("cost")).distinct().orderBy("run_id", "step_idx", "cost").limit(20)
 
@@ -229,10 +212,10 @@ def task_algo_map(spark, folder):
 
 
 @query(f"""{RUNS_SQL}, old AS (SELECT algo, dataset, seed, k_target, max(result_id) AS result_id FROM runs WHERE seed <= 20 GROUP BY ALL),
-new AS (SELECT algo, dataset, seed, k_target, max(result_id) + 1000000 AS result_id FROM runs WHERE seed BETWEEN 10 AND 30 GROUP BY ALL)
+new AS (SELECT algo, dataset, seed, k_target, max(result_id) + 1000000 AS result_id FROM runs WHERE seed >= 10 GROUP BY ALL)
 SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.algo = o.algo AND n.dataset IS NOT DISTINCT FROM o.dataset AND n.seed = o.seed AND n.k_target IS NOT DISTINCT FROM o.k_target) UNION ALL SELECT * FROM new""")
 def results_upsert(spark, folder):
-    """A delivery of the seeds from 10 on merged into the table of those up to 20; the SQL ends at seed 30, which the tables it is compared on don't pass."""
+    """A delivery of the seeds from 10 on merged into the table of those up to 20."""
     keys = ["algo", "dataset", "seed", "k_target"]
     df = runs(spark, folder, "dataset", "seed", "k_target")
     old = df.where("seed <= 20").groupBy(*keys).agg(F.max("result_id").alias("result_id"))
@@ -315,20 +298,10 @@ def final_cost(spark, folder):
     return _steps(spark, folder).groupBy("run_id").agg(F.max("step_idx").alias("last_step"), known.alias("final_cost"), F.count(F.lit(1)).alias("n_steps"))
 
 
-@query(f"""{_STEPS_SQL}, r AS (SELECT run_id, step_idx, coalesce(0 - delta_cost, 0) AS reward, row_number() OVER (PARTITION BY run_id ORDER BY step_idx) - 1 AS t FROM steps),
-short AS (SELECT * FROM r WHERE run_id IN (SELECT run_id FROM r GROUP BY run_id HAVING count(*) <= 200))
-SELECT run_id, step_idx, round(sum(reward * pow(0.95::DOUBLE, t)) OVER (PARTITION BY run_id ORDER BY step_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / pow(0.95::DOUBLE, t) + 1e-10, 4) + 0.0::DOUBLE AS return_to_go FROM short""")
-def returns_to_go(spark, folder):
-    """Discounted reward still to come at each step of the episodes of up to 200 steps (beyond, the discount underflows)."""
-    df = _steps(spark, folder).select("run_id", "step_idx", F.coalesce(F.lit(0.0) - F.col("delta_cost"), F.lit(0.0)).alias("reward"))
-    short = df.join(df.groupBy("run_id").count().where("count <= 200").select("run_id"), "run_id", "left_semi")
-    return R.discounted_to_go(short, ["run_id"], "step_idx", "reward", 0.95).select("run_id", "step_idx", even("return_to_go", 4).alias("return_to_go"))
-
-
 @query(f"""{_STEPS_SQL}, r AS (SELECT run_id, step_idx, coalesce(0 - delta_cost, 0) AS reward, row_number() OVER (PARTITION BY run_id ORDER BY step_idx) - 1 AS t FROM steps)
 SELECT run_id, step_idx, round(sum(reward * pow(0.95::DOUBLE, t)) OVER (PARTITION BY run_id ORDER BY step_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / pow(0.95::DOUBLE, t) + 1e-10, 4) + 0.0::DOUBLE AS return_to_go FROM r""")
-def returns_to_go_whole(spark, folder):
-    """The same for every episode, however long (the SQL's weights underflow beyond some 14,000 steps, the operator's fold doesn't)."""
+def returns_to_go(spark, folder):
+    """Discounted reward still to come at each step of every episode, however long (the SQL's weights underflow beyond some 14,000 steps, the operator's fold doesn't)."""
     df = _steps(spark, folder).select("run_id", "step_idx", F.coalesce(F.lit(0.0) - F.col("delta_cost"), F.lit(0.0)).alias("reward"))
     return R.discounted_to_go(df, ["run_id"], "step_idx", "reward", 0.95).select("run_id", "step_idx", even("return_to_go", 4).alias("return_to_go"))
 
