@@ -160,12 +160,40 @@ def betweenness(edges: DataFrame) -> DataFrame:
 MAX_NODES = 3000
 
 
-def _small_features(w: np.ndarray, m: int) -> np.ndarray:
+def _paths(w: np.ndarray, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the shares of shortest paths through each node, and mean hops from each, by levels from a batch of sources at a time."""
+    n = len(w)
+    between, path = np.zeros(n), np.zeros(n)
+    for at in range(0, n, batch):
+        source = np.arange(at, min(at + batch, n))
+        hops = np.full((len(source), n), -1, dtype=np.int32)
+        sigma = np.zeros((len(source), n))
+        hops[np.arange(len(source)), source], sigma[np.arange(len(source)), source] = 0, 1.0
+        level = 0
+        while True:
+            reach = np.where(hops == level, sigma, 0.0) @ w
+            new = (reach > 0) & (hops < 0)
+            if not new.any():
+                break
+            level += 1
+            hops[new], sigma[new] = level, reach[new]
+        delta = np.zeros_like(sigma)
+        for h in range(level, 0, -1):
+            below = np.where(hops == h, (1 + delta) / np.where(sigma > 0, sigma, 1.0), 0.0)
+            delta += np.where(hops == h - 1, sigma * (below @ w), 0.0)
+        delta[np.arange(len(source)), source] = 0.0
+        between += delta.sum(axis=0)
+        far = hops > 0
+        path[source] = np.where(far.any(axis=1), np.where(far, hops, 0).sum(axis=1) / np.maximum(far.sum(axis=1), 1), 0.0)
+    return between, path
+
+
+def small_features(w: np.ndarray, m: int) -> np.ndarray:
     """Six measures and `m` Laplacian coordinates of the nodes of a graph given as a 0/1 matrix."""
     n = len(w)
     deg = w.sum(axis=1)
     pairs = deg * (deg - 1) / 2
-    tri = np.einsum("ij,jk,ki->i", w, w, w) / 2
+    tri = np.einsum("ij,ij->i", w @ w, w) / 2
     coefficient = np.where(deg < 2, 0.0, tri / np.where(pairs > 0, pairs, 1.0))
     v = np.full(n, 1 / np.sqrt(n))
     rank = np.full(n, 1 / n)
@@ -182,24 +210,7 @@ def _small_features(w: np.ndarray, m: int) -> np.ndarray:
         rank = new
         if done:
             break
-    between, path = np.zeros(n), np.zeros(n)
-    for s in range(n):
-        hops, sigma = np.full(n, -1), np.zeros(n)
-        hops[s], sigma[s] = 0, 1.0
-        levels = [np.array([s])]
-        while len(levels[-1]):
-            reach = sigma[levels[-1]] @ w[levels[-1]]
-            new = np.flatnonzero((reach > 0) & (hops < 0))
-            sigma[new], hops[new] = reach[new], len(levels)
-            levels.append(new)
-        delta = np.zeros(n)
-        for above, below in zip(levels[-2::-1], levels[:0:-1], strict=True):
-            if len(below):
-                delta[above] += sigma[above] * (w[np.ix_(above, below)] @ ((1 + delta[below]) / sigma[below]))
-        delta[s] = 0.0
-        between += delta
-        far = hops > 0
-        path[s] = hops[far].mean() if far.any() else 0.0
+    between, path = _paths(w)
     r = 1.0 / np.sqrt(np.maximum(deg, 1e-12))
     value, vector = np.linalg.eigh(np.eye(n) - w * r[:, None] * r[None, :])
     value, vector = value[1 : m + 1], vector[:, 1 : m + 1]
@@ -226,6 +237,6 @@ def node_features(edges: DataFrame, m: int = 10) -> DataFrame:
             raise ValueError(f"more than {MAX_NODES} nodes")
         w = np.zeros((len(names), len(names)))
         w[code[: len(e)], code[len(e) :]] = 1.0
-        yield pd.DataFrame({"node": names, "x": list(_small_features(np.maximum(w, w.T), m))})
+        yield pd.DataFrame({"node": names, "x": list(small_features(np.maximum(w, w.T), m))})
 
     return undirected(edges).coalesce(1).mapInPandas(read, "node long, x array<double>")

@@ -1,6 +1,7 @@
 """Queries that cluster the supplied embeddings, draw clouds, run a grid and replay episodes.
 
-Results that hang on a random start have no SQL; their invariants are tested instead.
+Results that hang on a random start have no SQL of their own; what every start must
+give has: the sizes of drawn classes, and the groups of points that lie far apart.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pointloom.plans.base import RUNS_SQL, runs
 from pointloom.plans.point_queries import _EDGES, _edges, points
 from pointloom.plans.relational_queries import even
 from pointloom.plans.runner import Algorithm, expand, run_grid
-from pointloom.sources.generators import GENERATORS, DataSpec, generate, karate_edges
+from pointloom.sources.generators import GENERATORS, GRAPH_FEATURES, SHAPES, DataSpec, generate, karate_edges
 from pointloom.sources.tables import table
 from pointloom.streaming import windowed_values
 
@@ -49,6 +50,73 @@ def _generator_query(name: str):
 for _g in GENERATORS:
     QUERIES[f"gen_{_g}"] = _generator_query(_g)
 
+# Classes that a generator draws whatever it is asked for, and rows and dimensions where they aren't 2000 and 8.
+_CLASSES = {"moons": 2, "circles": 2, "mixed_shapes": 5, "graph_karate": 2} | {name: k for name, (_, _, k) in SHAPES.items()}
+_ROWS = {"graph_karate": 34} | {name: min(n, 2000) for name, (n, _, _) in SHAPES.items()}
+_DIMS = {"ts_synth": 16, "ts_ecg200": 16, "ts_trace": 16, "graph_karate": GRAPH_FEATURES, "graph_sbm": GRAPH_FEATURES}
+#: Generators whose classes are of random size: rows and classes are certain.
+_UNEVEN = ("extreme_outliers", "imbalanced", "mdcgen")
+
+for _g in GENERATORS:
+    if _g not in _UNEVEN:
+        _n, _k = _ROWS.get(_g, 2000), _CLASSES.get(_g, 3)
+        SQL[f"gen_{_g}"] = f"SELECT i::INT AS label_true, {_n} // {_k} + (i < {_n % _k})::INT AS n, {_DIMS.get(_g, 8)} AS d FROM range({_k}) t(i) UNION ALL SELECT -1, 30, {_DIMS.get(_g, 8)}"
+
+
+def gen_uneven(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, classes and added points of clouds whose classes are of random size."""
+    found = None
+    for name in _UNEVEN:
+        sized = QUERIES[f"gen_{name}"](spark, folder)
+        inner = F.when(F.col("label_true") >= 0, F.col("n"))
+        one = sized.agg(F.sum("n").alias("n"), F.count(inner).alias("classes"), (F.min(inner) > 0).alias("none_empty"), F.max("d").alias("d")).withColumn("name", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+QUERIES["gen_uneven"] = gen_uneven
+SQL["gen_uneven"] = "SELECT unnest(['extreme_outliers', 'imbalanced', 'mdcgen']) AS name, 2030 AS n, 3 AS classes, true AS none_empty, 8 AS d"
+
+
+def separated(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings as points of three groups: four of their coordinates, moved far apart by id."""
+    third = F.col("point_id") % 3
+    x = [F.col("x")[i] + F.when((third == i) & (third > 0), 6.0).otherwise(0.0) for i in range(4)]
+    return points(spark, folder).select("point_id", F.array(*x).alias("x"))
+
+
+#: Kernels that may leave points of a group out as noise.
+_NOISY = ("dbscan", "dbscan_auto", "optics", "learned_router_v6", "learned_router_v6b", "learned_router_v6c")
+#: Kernels that don't look for round groups apart: linear subspaces, communities of a graph, an embedding that a graph in parts leaves open, or modes at a width narrower than the groups.
+_OTHER = ("s5c", "louvain_knn", "aura_v2", "aura_v3", "meanshift_robust")
+
+
+def _separated_query(algo: str):
+    def whole(spark: SparkSession, folder: str) -> DataFrame:
+        labels = cluster(separated(spark, folder), algo, 3, 1).labels
+        first = labels.groupBy("label").agg(F.min("point_id").alias("first"))
+        return labels.join(first, "label").select("point_id", "first")
+
+    def noisy(spark: SparkSession, folder: str) -> DataFrame:
+        labels = cluster(separated(spark, folder), algo, 3, 1).labels
+        kept = F.when(F.col("label") >= 0, F.col("label"))
+        sides = labels.groupBy((F.col("point_id") % 3).alias("third")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(kept).alias("clusters"), (F.count(kept) / F.count(F.lit(1)) > 0.9).alias("most"), F.min(kept).alias("label"))
+        apart = sides.groupBy("label").agg(F.count(F.lit(1)).alias("thirds"))
+        return sides.join(apart, "label").select("third", "n", "clusters", "most", "thirds")
+
+    f = noisy if algo in _NOISY else whole
+    f.__doc__ = f"Whether {algo} finds three groups that lie far apart: " + ("each mostly one cluster, no two the same." if algo in _NOISY else "each point with the first of its cluster.")
+    return f
+
+
+for _a in sorted(set(REGISTRY) - set(_OTHER)):
+    QUERIES[f"separated_{_a}"] = _separated_query(_a)
+    SQL[f"separated_{_a}"] = (
+        "SELECT vec_id % 3 AS third, count(*) AS n, 1 AS clusters, true AS most, 1 AS thirds FROM embeddings GROUP BY 1"
+        if _a in _NOISY
+        else "SELECT vec_id AS point_id, min(vec_id) OVER (PARTITION BY vec_id % 3) AS first FROM embeddings"
+    )
+
 
 def query(sql: str | None = None):
     """Register a query under its name, with its SQL if it has one."""
@@ -157,8 +225,8 @@ def graph_betweenness(spark, folder):
 
 @query()
 def graph_node_features(spark, folder):
-    """Sixteen features of the members of the karate club."""
-    return G.node_features(karate_edges(spark)).select("node", *[F.round(F.col("x")[i], 6).alias(f"f{i}") for i in range(6)])
+    """Sixteen features of the members of the karate club, the Laplacian coordinates without sign."""
+    return G.node_features(karate_edges(spark)).select("node", *[F.round(F.col("x")[i], 6).alias(f"f{i}") for i in range(6)], *[F.round(F.abs(F.col("x")[i]), 6).alias(f"f{i}") for i in range(6, 16)])
 
 
 @query()

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.operators.graphs import MAX_NODES, small_features
+
 CHUNK = 4096
 
 
@@ -293,30 +295,42 @@ def karate_edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, j) for i, js in KARATE.items() for j in js], "i long, j long")
 
 
+#: Six measures and ten Laplacian coordinates of each node.
+GRAPH_FEATURES = 16
+
+
 @register("graph_karate")
 def graph_karate(s, rng):
-    """The 34 members of the karate club by their shares of ties to each member; the class is the faction."""
+    """Sixteen features of each of the 34 members of the karate club; the class is the faction."""
     order = [*FIRST_FACTION, *[i for i in range(34) if i not in FIRST_FACTION]]
     w = np.zeros((34, 34))
     for i, js in KARATE.items():
         for j in js:
             w[i, j] = w[j, i] = 1.0
-    x = (w + np.eye(34))[order] / (1 + w.sum(axis=1)[order])[:, None]
+    x = small_features(w, GRAPH_FEATURES - 6)[order]
     return np.array([17, 17]), lambda i, y, r: x[i]
 
 
 @register("graph_sbm")
 def graph_sbm(s, rng):
-    """Links to each block and neighbourhood counts of nodes of a block model; edges as a table come from `block_model_edges`."""
+    """Sixteen features of each node of a drawn block model, whose links between blocks `compactness` makes more.
+
+    The graph is one matrix, so more than `MAX_NODES` nodes are refused; `block_model_edges`
+    and the measures of `operators.graphs` have no such bound.
+    """
     n, k = max(40, s.n_samples), int(np.clip(s.centers, 2, 8))
+    if n > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} nodes")
     part = sizes(n, k, rng)
-    p_out = max(0.005, 0.02 * s.compactness)
+    block = np.repeat(np.arange(k), part)
+    p = np.where(block[:, None] == block[None, :], 0.25, max(0.005, 0.02 * s.compactness))
+    w = np.triu(rng.random((n, n)) < p, 1).astype(float)
+    held: list[np.ndarray] = []
 
     def draw(i, y, r):
-        p = np.where(np.arange(k)[None, :] == y[:, None], 0.25, p_out)
-        links = r.binomial(part[None, :], p)
-        deg = links.sum(axis=1, keepdims=True)
-        return np.hstack([links / np.maximum(deg, 1), deg / n])
+        if not held:
+            held.append(small_features(w + w.T, GRAPH_FEATURES - 6))
+        return held[0][i]
 
     return part, draw
 
