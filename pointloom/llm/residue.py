@@ -21,8 +21,10 @@ from pointloom.operators.staging import stage
 RECURRENT, SHARE, BESIDE = 5, 0.005, 0.3
 #: How sure the part must be: standard errors of the lower bound that is compared.
 SURE = 1.96
-#: Words that make a line real content.
+#: Words that make a line real content; twice as many letters of a script that doesn't part words.
 CONTENT_WORDS = 12
+#: Furniture lines of all hosts that are broadcast, as numbers of eight bytes.
+MAX_LINES = 2_000_000
 
 # --- what is only spoken of: code and quotations -------------------------------------------------
 _FENCED = regex.compile(r"(```|~~~).*?(?:\1|\Z)|<(pre|code)\b[^>]*>.*?(?:</\2\s*>|\Z)", regex.S | regex.I)
@@ -44,7 +46,7 @@ _SLOTS = [
     rf"\[\[\s*{_NAME}\s*\]\]",
     rf"<<\s*{_NAME}\s*>>",
     r"(?<![\w])__[A-Z][A-Z0-9_]{0,60}?__(?![\w])",
-    r"\{[A-Za-z_][\w.]{0,60}(?::[^{}\n]{0,20})?\}",  # {name} {name:.3f}
+    r"(?<![\\\w}^_{])\{(?:[A-Za-z_][\w.]{1,60}|[A-Za-z](?=:))(?::[^{}\n]{0,20})?\}",  # {name} {name:.3f}, but no {x} and nothing that a formula puts in braces
     r"(?i:\[\s*(?:insert|enter|add|your|name of|fill in)\b[^\[\]\n]{0,80}\])",
     r"(?i:<\s*(?:insert|enter|your)\b[^<>\n]{0,80}>)",
     r"(?i:[<\[({][^<>\[\](){}\n]{1,80}\b(?:goes? here|to be (?:filled in|added|supplied|completed)|here)[>\])}])",
@@ -65,29 +67,47 @@ _REASONS = (
 )
 _SCRIPT = r"(?:java ?script|js|scripts?|scripting|cookies)"
 _SCRIPTS = rf"(?:the )?{_SCRIPT}(?:(?:,| and| or| &) {_SCRIPT})*"
+#: Reasons that are also plain words: they count where they are a line by themselves or follow their number.
+_PLAIN_REASONS = "conflict|gone|locked|unauthori[sz]ed|forbidden|not found|not acceptable|not implemented"
+_SORRY = r"(?:(?:we(?: are|.re) |i.m )?(?:very |so |terribly )?sorry[,.!:–—-]* (?:but |about that[,.!:]* )?)?"
+_LACKS = r"(?:(?:was|were|is|are|can|could|has|does|cannot|can.t|couldn.t|isn.t|wasn.t|doesn.t)(?: not)?(?: be| been)? ?(?:found|located|available|accessible|reached|loaded|displayed|exist|moved|removed|deleted|denied|blocked|refused))"
 _ERRORS = [
     # a status line or a page that is one
     rf"(?:http/\d(?:\.\d)?\s+)?[45]\d\d\s*[-:–—|]?\s*(?:{_REASONS})\b",
-    rf"(?:{_REASONS})(?: \([45]\d\d\))?\s*(?:$|[.!])",
-    r"(?:error|erreur|fehler|errore|erro|エラー)(?: code)? ?[45]\d\d ?[:：.]",
-    r"(?:the )?page (?:you (?:asked|are looking) for )?(?:was |could |can ?)?not (?:be )?found\b",
-    r"oops\b", r"something went wrong\b", r"access (?:was |is )?denied\s*(?:$|[.!])", r"your (?:ip )?address has been blocked",
-    r"sorry, (?:this|the|that) (?:page|content|site) (?:isn.?t|is not|is no longer) available", r"your session has (?:expired|timed out)",
+    r"http (?:status|error)(?: code)?:?\s*[45]\d\d\b",
+    r"[45]\d\d\s*[-:–—|]\s*[\w ,'’]{0,60}\b(?:not found|error|denied|forbidden|unavailable|unauthori[sz]ed|bad request|time-?d? ?out|gateway|refused|exceeded|too many|not allowed)\b[^.!?]{0,20}(?:$|[.!])",
+    rf"(?!(?:{_PLAIN_REASONS})(?: \(|\s*(?:$|[.!])))(?:{_REASONS})(?: \([45]\d\d\))?\s*(?:$|[.!])",
+    rf"(?:{_PLAIN_REASONS}) \([45]\d\d\)\s*(?:$|[.!])",
+    r"(?:error|erreur|fehler|errore|erro|błąd|ошибка|fout|오류|エラー)(?: code)? ?[45]\d\d ?(?:[:：.]|$)",
+    r"(?:the |this |that )?(?:page|content|resource|document|file|article)(?: that)? (?:you (?:asked|are looking|were looking|requested)(?: for)? )?(?:was |could |can ?)?not (?:be )?found\b",
+    rf"(?:the |this |that )?requested (?:url|uri|page|resource|file|document|address|content)\b[^.!?]{{0,80}}? {_LACKS}",
+    r"(?:oops|whoops|uh-oh)(?:\s*(?:$|[!.…,:–—-]+\s*$)|[!.…,:–—-]*\s*(?:(?:something|that page|this page|the page|we (?:can|could|were|are|hit|ran|have|broke)|it (?:looks|seems)|looks like|page|an? (?:unexpected )?error|there (?:was|is|has)|sorry|nothing|your )))",
+    rf"{_SORRY}(?:but )?something (?:has gone|went|is) (?:terribly |horribly )?wrong\b", r"access (?:was |is )?denied\s*(?:$|[.!])", r"your (?:ip )?address has been blocked",
+    r"sorry[,.!:]* (?:this|the|that) (?:page|content|site) (?:isn.?t|is not|is no longer) available", r"your session has (?:expired|timed out)",
     r"upstream connect error", r"you have (?:reached|exceeded) (?:the|your) (?:\w+ )?(?:limit|quota)", r"too many requests", r"(?:the )?connection (?:has )?(?:timed out|was reset)", r"(?:we are|we.re|the (?:site|service|server) is|this site is) (?:currently )?(?:down|offline|closed) for (?:scheduled |planned )?maintenance", r"application error: a (?:server|client).side exception", r"the request could not be completed",
-    r"an? (?:unexpected |internal )?error (?:has )?occurred", r"this (?:site|page) can.?t be reached", r"you do(?: not|n.?t) have permission to (?:view|access)",
+    rf"{_SORRY}an? (?:unexpected |internal |unknown )?(?:server )?error (?:has )?occurred", r"this (?:site|page) can.?t be reached", r"you (?:do(?: not|n.?t) have|lack) (?:the )?permissions? to (?:view|access)",
+    rf"{_SORRY}(?:we|the server) (?:can.?t|cannot|can not|could ?n.?t|could not|were unable to|are unable to|was unable to) (?:find|locate|load|display|complete|process) (?:the|that|this|your) (?:page|request|resource|content|file)",
     r"(?:la )?page (?:demandée )?(?:est )?introuvable", r"seite (?:wurde )?nicht gefunden", r"(?:no se encontró la )?página (?:solicitada )?no (?:se ha )?encontrada",
-    r"no se encontró la página", r"zugriff verweigert", r"accès (?:refusé|interdit)", r"acceso denegado", r"ページが見つかりません", r"アクセスが拒否", r"页面未找到|找不到页面",
+    r"no se encontró la página", r"zugriff verweigert", r"accès (?:refusé|interdit)", r"acceso denegado", r"ページが見つかりません", r"アクセスが拒否", r"页面未找到|找不到页面|抱歉，您访问的页面不存在|您访问的页面",
+    r"(?:запрашиваемая |запрошенная )?страница не (?:найдена|существует)", r"доступ (?:запрещ[её]н|закрыт)", r"что-то пошло не так", r"произошла (?:внутренняя )?ошибка",
+    r"(?:nie znaleziono (?:takiej )?strony|(?:podana |szukana )?strona nie (?:została znaleziona|istnieje))", r"(?:odmowa dostępu|brak dostępu|dostęp zabroniony)", r"coś poszło nie tak", r"wystąpił (?:nieoczekiwany )?błąd",
+    r"(?:de )?(?:opgevraagde )?pagina (?:is |werd |kon )?niet (?:worden )?gevonden", r"toegang (?:geweigerd|verboden)", r"er is iets (?:mis|fout|verkeerd) ?gegaan", r"er is een (?:onverwachte )?fout opgetreden",
+    r"(?:요청하신 )?페이지를 찾을 수 없습니다", r"접근이 (?:거부|차단)", r"(?:알 수 없는 )?오류가 발생했습니다", r"(?:la )?pagina (?:richiesta )?non (?:è stata )?trovata", r"accesso negato", r"qualcosa è andato storto", r"página não (?:foi )?encontrada", r"acesso negado", r"algo deu errado",
+    r"une erreur (?:inattendue )?(?:est survenue|s.est produite)", r"(?:ein|es ist ein) (?:unerwarteter )?fehler (?:ist )?aufgetreten", r"etwas ist schiefgelaufen", r"(?:se ha producido|ocurrió) un error", r"algo salió mal",
 ]
 _WALLS = [
     rf"(?:you (?:need|have) to |you must |kindly |please |to [\w ]{{3,40}}, (?:please )?)?(?:enable|turn on|switch on|activate|allow|unblock) {_SCRIPTS}\b",
     rf"(?:this|our|the|your) [\w ]{{2,40}}?(?:requires?|needs?) (?:a browser with |you to (?:enable|allow) |that )?{_SCRIPTS}\b",
     rf"(?:this|our|the|your) [\w ]{{2,40}}?(?:does not|doesn.?t|will not|won.?t|cannot|can.?t) (?:work|run|load|function|be shown|be displayed) (?:properly |correctly )?(?:without|unless) {_SCRIPTS}\b",
+    rf"(?:please |you (?:need|have) to |kindly )?(?:turn|switch) {_SCRIPTS} (?:back )?on\b", rf"without {_SCRIPTS}[, ]+(?:enabled |turned on |switched on )?(?:this|our|the) [\w ]{{2,40}}(?:does not|doesn.?t|will not|won.?t|cannot|can.?t)\b",
     rf"{_SCRIPTS} (?:is|are|must be|needs? to be|has to be|have to be|seems? to be) (?:required|needed|necessary|disabled|blocked|switched off|turned off|enabled|allowed|switched on|turned on)\b",
     r"your browser (?:has|does not|doesn.?t) (?:it (?:switched|turned) off|support (?:java ?script|scripts))", r"allow them for this site", r"checking your browser before",
     r"(?:veuillez |merci d.)?(?:activer|activez|autorisez|autoriser) (?:java ?script|les (?:scripts|cookies))", r"java ?script (?:est|doit être) (?:requis|nécessaire|désactivé|activé)",
     r"(?:cette|notre|ce) [\w ]{2,30} (?:nécessite|requiert|exige) (?:java ?script|des scripts)",
     r"(?:bitte )?(?:aktivieren|erlauben|schalten) sie (?:java ?script|skripte|cookies)", r"(?:diese|unsere|dieser|unser) [\w ]{2,30}(?:benötigt|erfordert|braucht) (?:java ?script|skripte|scripts)",
     r"(?:por favor,? )?(?:active|activa|habilite|habilita) (?:java ?script|los scripts|las cookies)", r"(?:esta|este|nuestra|nuestro) [\w ]{2,30} (?:requiere|necesita) (?:java ?script|scripts)",
+    r"(?:пожалуйста,? )?включите (?:поддержку )?java ?script", r"для (?:работы|просмотра|корректной работы) [^.!?]{0,40}(?:необходим|требуется|нужен|включите) java ?script", r"(?:proszę )?włącz(?:yć)? (?:obsługę )?java ?script", r"ta (?:strona|witryna) wymaga (?:obsługi )?java ?script",
+    r"(?:schakel|zet) java ?script (?:in|aan)", r"deze (?:site|website|pagina) (?:vereist|heeft) java ?script", r"(?:이 페이지를 보려면 )?(?:자바스크립트|java ?script)를 (?:활성화|사용|켜)",
     r"(?:ative|habilite) o? ?java ?script", r"(?:per favore )?(?:abilita|attiva) java ?script", r"[^。]{0,30}(?:java ?script|スクリプト|クッキー)を有効に", r"请(?:启用|开启) ?java ?script",
 ]
 _FILLERS = [
@@ -97,6 +117,7 @@ _FILLERS = [
     r"votre \w+ (?:apparaîtra|ira|va|viendra) ici", r"(?:texte|contenu) (?:de remplissage|fictif|provisoire)", r"(?:ihr|ihre|der|die|dein|deine) \w+ (?:steht|erscheint|kommt) hier",
     r"hier (?:steht|erscheint|folgt|kommt) (?:(?:später|bald|noch|demnächst) )*(?:ihr|ihre|der|die|das|dein|ein|eine)\b", r"(?:\w+ )?(?:überschrift|titel|text|beschreibung|zusammenfassung) (?:hier )?(?:einfügen|eingeben|ergänzen)", r"(?:bitte )?vor (?:dem veröffentlichen|der veröffentlichung) (?:ersetzen|ausfüllen)", r"(?:dies ist (?:ein )?)?(?:platzhalter|blindtext|fülltext)", r"(?:su|tu|aquí (?:va|irá) (?:su|tu|el|la)) \w+ (?:aparecerá|irá|va) aquí", r"aquí (?:va|irá|aparecerá) (?:su|tu|el|la) ",
     r"(?:\w+ )?à (?:remplacer|compléter|remplir)(?: avant (?:la )?publication)?\s*(?:$|[.!])", r"(?:escriba|inserte|introduzca|añada) (?:aquí )?(?:un|una|el|la|su) (?:título|texto|descripción|resumen)", r"(?:reemplazar|sustituir|reemplace|sustituya) antes de publicar", r"replace (?:\w+ )?before (?:you )?publish(?:ing|ed)?",
+    r"(?:это )?текст[- ](?:заполнитель|рыба|заглушка)", r"здесь (?:будет|появится|должен быть) (?:ваш |ваша )?(?:текст|описание|заголовок)", r"(?:tutaj|tu) (?:będzie|pojawi się|wpisz) (?:twój |swój )?(?:tekst|opis|tytuł)", r"(?:tekst|treść) zastępcz[ya]", r"hier komt (?:de|uw|je|jouw|een) (?:tekst|titel|beschrijving)", r"(?:dit is )?(?:voorbeeldtekst|opvultekst)", r"여기에 [^.!?]{0,20}(?:입력|작성)", r"(?:testo|contenuto) (?:segnaposto|di esempio)", r"(?:este é um )?texto de (?:exemplo|preenchimento)",
     r"(?:este es un )?texto de (?:relleno|ejemplo|muestra)", r"ここに[^。]{0,20}(?:入力|記入|表示|入り|書いて)", r"(?:これは)?(?:ダミー|サンプル|仮の?)テキスト",
 ]
 #: Tried at every sentence: the standard engine is the faster one for many alternatives.
@@ -110,12 +131,18 @@ _KEYS = regex.compile(r"[asdfghjklöä;]{2,}|[qwertyuiop]{3,}|[zxcvbnm]{2,}")
 LATIN_WORDS, KEY_WORDS = 10, 6
 #: A phrase of up to so many words that follows itself so often is filler.
 PHRASE, AGAIN = 4, 4
+#: Letters of an exclamation that people do repeat (no, ha, so), and how often none does.
+INTERJECTION, OFTEN = 3, 7
 _EMPTY = r"(?:todo|tbd|tba|fixme(?:: ?write this)?|n/a|coming soon|to be (?:written|added|done|announced)|under construction|section left blank|(?:this )?(?:section|page) (?:is )?(?:intentionally )?(?:left )?blank|write this|placeholder|untitled|à compléter|folgt|in arbeit|por completar|準備中)"
 _EMPTY_LINE = regex.compile(rf"[\s\-*•#>.]*{_EMPTY}[\s.!:…-]*")
 _NOTHING = regex.compile(rf"(?:[\s\-*•#>.,;:|/]*{_EMPTY}[\s\-*•#>.,;:|/!…]*)+")
 _BROKEN = regex.compile(r"[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u0178\u0192\u02c6\u02dc\u2013-\u2122]{1,3}")
 
 
+_BLOCK_TAG = regex.compile(r"</?(?:p|div|li|h\d|br|title|body|html|head|noscript|td|tr)\b[^<>]*>", regex.I)
+_PLAIN_LINE = re.compile(rf"(?:{_PLAIN_REASONS})\s*[.!]?")
+
+
 def _may_hold_slot(t: str) -> bool:
     """Whether a text has a sign that every slot has one of; most texts have none."""
     if "{" in t or "[" in t or "<" in t or "$" in t or "@@" in t or "__" in t or "XXXX" in t:
@@ -147,13 +174,13 @@ _kinds: dict[str, int] = {}
 
 
 def _is_repeated(words: list[str]) -> bool:
-    """Whether a text has a phrase that follows itself again and again."""
+    """Whether a text has a phrase of more than an interjection that follows itself again and again."""
     for p in range(1, PHRASE + 1):
         if sum(map(eq, words, words[p:])) >= AGAIN * p:
             run = 0
-            for same in map(eq, words, words[p:]):
+            for at, same in enumerate(map(eq, words, words[p:])):
                 run = run + 1 if same else 0
-                if run >= AGAIN * p:
+                if run >= AGAIN * p and (run >= OFTEN * p or len("".join(words[at : at + p])) > INTERJECTION):
                     return True
     return False
 
@@ -193,7 +220,9 @@ def evidence(text: str) -> str | None:
     told = _QUOTED.sub(" ", told)
     if _may_hold_slot(told) and _SLOT.search(told):
         return "slot"
-    shown = without_markup(regex.sub(r"</?(?:p|div|li|h\d|br|title|body|html|head|noscript|td|tr)\b[^<>]*>", "\n", told, flags=regex.I)).casefold()
+    if "<" in told:
+        told = _BLOCK_TAG.sub("\n", told)
+    shown = without_markup(told).casefold()
     if _SLOT_PLAIN.search(shown):
         return "slot"
     lines = [" ".join(x.split()) for x in shown.splitlines()]
@@ -206,6 +235,8 @@ def evidence(text: str) -> str | None:
     for sentence in sentences:
         if m := _START_RE.match(sentence):
             return next(name for name, group in zip(("error", "script", "filler"), m.groups(), strict=True) if group is not None)
+    if any(_PLAIN_LINE.fullmatch(x) for x in lines if len(x) < 20):
+        return "error"
     words = joined.split()
     if _is_repeated([w.strip(".,;") for w in words]) or _is_invented(words):
         return "filler"
@@ -214,81 +245,87 @@ def evidence(text: str) -> str | None:
     return None
 
 
-def _may_be(text: str) -> bool:
-    """Whether `evidence` could be found in the text once some of its lines are gone."""
-    return evidence(text) is not None or any(_NOTHING.fullmatch(x) for x in text.casefold().splitlines())
-
-
-def _line_key(line: Column) -> Column:
-    """The form in which lines are counted: no case, white space as single blanks."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+def _line_keys(text: Column) -> Column:
+    """The lines of a text in the form in which they are counted: no case, white space as single blanks, none at the ends."""
+    return F.transform(F.split(F.regexp_replace(F.lower(text), r"[^\S\n]+", " "), "\n"), lambda x: F.trim(x))
 
 
 def boilerplate_lines(docs: DataFrame, text: str, host: str, recurrent: int = RECURRENT, beside: float = BESIDE, share: float = SHARE) -> DataFrame:
-    """(`host`, `line`: hash of the normalised line): what a host puts around its content.
+    """(`host`, `line`: hash of the normalised line, `said`: that line): what a host puts around its content.
 
     A line counts once a document. It is boilerplate if `recurrent` or more documents
     of the host, and `share` or more of them all, have it and the part with another line of real content is `beside` or
     more by the lower bound of its Wilson interval; so a message that stands for the
     content is none, however often a host repeats it. Lines without a letter are not counted. Null is a host of its own.
     """
-    lines = F.array_distinct(F.transform(F.split(text, "\n"), _line_key))
+    lines = F.array_distinct(_line_keys(F.col(text)))
     held = docs.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), lines.alias("lines"))
     counted = held.withColumn("content", F.size(F.filter("lines", _is_content)))
     each = counted.select("host", "content", F.explode("lines").alias("key")).where(F.col("key").rlike(r"\p{L}"))
     other = F.when(F.col("content") > F.when(_is_content(F.col("key")), 1).otherwise(0), 1).otherwise(0)
-    sums = each.groupBy("host", F.xxhash64("key").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.sum(other).alias("amid"))
+    sums = each.groupBy("host", F.xxhash64("key").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.sum(other).alias("amid"), F.min("key").alias("said"))
     n, part, z = F.col("n").cast("double"), F.col("amid") / F.col("n"), SURE
     surely = (part + z * z / (2 * n) - z * F.sqrt(part * (1 - part) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     whole = held.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("docs"))
     usual = sums.where((n >= recurrent) & (surely >= beside))
-    return usual.join(whole, usual["host"].eqNullSafe(whole["of"])).where(n >= share * F.col("docs")).select("host", "line")
+    return usual.join(whole, usual["host"].eqNullSafe(whole["of"])).where(n >= share * F.col("docs")).select("host", "line", "said")
 
 
 def _is_content(key: Column) -> Column:
-    return F.size(F.split(key, " ")) >= CONTENT_WORDS
+    """Whether a line has the words of real content, or as much in a script that doesn't part words."""
+    words = F.length(key) - F.length(F.replace(key, F.lit(" "))) + 1
+    dense = F.length(F.regexp_replace(key, r"[^\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]", ""))
+    return (words >= CONTENT_WORDS) | ((F.octet_length(key) > F.length(key)) & (dense >= 2 * CONTENT_WORDS))
 
 
-def find_residue(docs: DataFrame, doc: str, text: str, host: str, recurrent: int = RECURRENT, beside: float = BESIDE) -> DataFrame:
-    """(`doc`, `evidence`): documents in which a slot, filler, an error message or a notice that scripts are needed stands where content should.
+def furniture(docs: DataFrame, text: str, host: str, recurrent: int = RECURRENT, beside: float = BESIDE) -> DataFrame:
+    """(`host`, `lines`: hashes): the boilerplate of each host that is subtracted from its documents.
 
-    Lines are counted by host over all documents; the host's boilerplate is
-    subtracted from a text, but for lines that themselves show a slot, filler or an
-    error, and what is left is searched whole. Documents that show
-    nothing even with their boilerplate are set aside in the first pass, so that only
-    the others are compared with it. Null and blank texts show nothing; repeated
-    documents are reported row by row.
+    Lines that themselves show a slot, filler or an error are no furniture, however
+    often they recur; notices about scripts beside content are.
     """
-    kind = docs.schema[doc].dataType.simpleString()
+    usual = stage(boilerplate_lines(docs, text, host, recurrent, beside), "usual")
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def residue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [b.as_py().decode("utf-8", errors="replace") for b in batch.column(2)]
-            kept = pa.array([i for i, t in enumerate(texts) if _may_be(t)], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(texts, type=pa.string()).take(kept)], names=["doc", "host", "text"])
+            kept = pa.array([i for i, x in enumerate(batch.column(1).to_pylist()) if evidence(x) not in (None, "script")], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept)], names=["line"])
+
+    said = usual.groupBy("line").agg(F.min("said").alias("said"))  # a line is the same message in every host
+    shown = said.mapInArrow(residue, "line long")
+    return usual.join(shown, "line", "left_anti").groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def find_residue(docs: DataFrame, doc: str, text: str, host: str, recurrent: int = RECURRENT, beside: float = BESIDE, max_lines: int = MAX_LINES) -> DataFrame:
+    """(`doc`, `evidence`): documents in which a slot, filler, an error message or a notice that scripts are needed stands where content should.
+
+    Lines are counted by host over all documents; what recurs as furniture is
+    subtracted from the host's texts, and what is left is searched whole. The lines of
+    all hosts are broadcast if they are `max_lines` at most; more are joined by host,
+    hosts with many documents by broadcast and the others by a shuffle. Null and blank
+    texts show nothing; repeated documents are reported row by row.
+    """
+    kind = docs.schema[doc].dataType.simpleString()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shown = [evidence(t or "") for t in batch.column(1).to_pylist()]
+            shown = [evidence(b.as_py().decode("utf-8", errors="replace")) for b in batch.column(1)]
             kept = pa.array([i for i, e in enumerate(shown) if e], type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), pa.array([e for e in shown if e], type=pa.string())], names=[doc, "evidence"])
 
-    def residue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = pa.array([i for i, x in enumerate(batch.column(1).to_pylist()) if evidence(x) not in (None, "script")], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept)], names=["line"])
-
-    plain = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(host).cast("string").alias("host"), F.col(text).cast("binary").alias("text"))
-    found = stage(plain.mapInArrow(first, f"doc {kind}, host string, text string").withColumn("at", F.monotonically_increasing_id()), "candidates")
-    split = found.select("at", "host", F.explode(F.split("text", "\n")).alias("said")).withColumn("line", F.xxhash64(_line_key(F.col("said"))))
-    lines = split.select("at", "host", "line").distinct()
-    usual = boilerplate_lines(docs, text, host, recurrent, beside).select(F.col("host").alias("of"), F.col("line").alias("usual"))
-    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("weight"))
-    around_all = counted.join(usual, counted["host"].eqNullSafe(usual["of"]) & (counted["line"] == usual["usual"]), "left_semi")
-    spoken = stage(split.join(usual, split["host"].eqNullSafe(usual["of"]) & (split["line"] == usual["usual"]), "left_semi").select("line", "said").distinct(), "spoken")
-    shown = spoken.mapInArrow(residue, "line long").distinct()  # a line is the same message in every host
-    furniture = stage(around_all.join(shown, "line", "left_anti").select("host", "line", "weight"), "furniture")
-    around = join_by_weight(lines, furniture, ["host", "line"], "weight", lines.count()).groupBy("at").agg(F.collect_set("line").alias("around"))
-    left = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("around", F.xxhash64(_line_key(x)))))
-    residual = found.join(around, "at", "left").select("doc", F.when(F.col("around").isNull(), F.col("text")).otherwise(left).alias("left"))
-    return residual.mapInArrow(last, f"`{doc}` {kind}, evidence string")
+    around = stage(furniture(docs, text, host, recurrent, beside), "furniture")
+    size = around.agg(F.count(F.lit(1)).alias("hosts"), F.sum(F.size("lines")).alias("lines")).first()
+    plain = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
+    if not size["hosts"]:
+        held = plain.withColumn("lines", F.lit(None).cast("array<bigint>"))
+    elif size["hosts"] + size["lines"] <= max_lines:
+        of = around.withColumnRenamed("host", "of")
+        held = plain.join(F.broadcast(of), plain["host"].eqNullSafe(of["of"]), "left")
+    else:
+        count = plain.groupBy("host").agg(F.count(F.lit(1)).alias("weight"))
+        known = count.join(around.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
+        held = join_by_weight(plain, stage(known, "hosts"), ["host"], "weight", plain.count())
+    keys = _line_keys(F.col("text"))
+    left = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("lines", F.xxhash64(F.get(keys, i)))))
+    residual = held.select("doc", F.when(F.col("lines").isNull(), F.col("text")).otherwise(left).cast("binary").alias("left"))
+    return residual.mapInArrow(search, f"`{doc}` {kind}, evidence string")
