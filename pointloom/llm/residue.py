@@ -28,6 +28,7 @@ MAX_LINES = 2_000_000
 
 # --- what is only spoken of: code and quotations -------------------------------------------------
 _FENCED = regex.compile(r"(```|~~~).*?(?:\1|\Z)|<(pre|code)\b[^>]*>.*?(?:</\2\s*>|\Z)", regex.S | regex.I)
+_OPEN_FENCE = regex.compile(r"\A\s*(?:```|~~~)[^\n]*\n(?!.*(?:```|~~~))", regex.S)
 _TICKED = regex.compile(r"`[^`\n]{1,400}`")
 _QUOTED = regex.compile(r"\"(?:[^\"\n]|\n(?!\s*\n)){1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n«]{1,400}»|「[^」\n]{1,400}」|『[^』\n]{1,400}』|(?<![\w])'[^'\n]{1,400}'(?![\w])")
 _SPOKEN = regex.compile(r"\"[^\"]{1,400}\"")
@@ -214,7 +215,10 @@ def evidence(text: str) -> str | None:
         text = html.unescape(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
-    told = _TICKED.sub(" ", _FENCED.sub("\n", text))
+    told = _FENCED.sub("\n", text)
+    if not told.strip():  # a fence that opens a text and never closes holds all of it: then it is no quotation
+        told = _OPEN_FENCE.sub("\n", text)
+    told = _TICKED.sub(" ", told)
     if _BODY.search(told):
         return "error"
     told = _QUOTED.sub(" ", told)
@@ -247,11 +251,13 @@ def evidence(text: str) -> str | None:
 
 def _line_keys(text: Column) -> Column:
     """The lines of a text in the form in which they are counted: no case, white space as single blanks, none at the ends."""
-    return F.transform(F.split(F.regexp_replace(F.lower(text), r"[^\S\n]+", " "), "\n"), lambda x: F.trim(x))
+    blank = F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")
+    single = F.when(F.contains(blank, F.lit("  ")), F.regexp_replace(blank, " {2,}", " ")).otherwise(blank)
+    return F.transform(F.split(single, "\n"), lambda x: F.trim(x))
 
 
 def boilerplate_lines(docs: DataFrame, text: str, host: str, recurrent: int = RECURRENT, beside: float = BESIDE, share: float = SHARE) -> DataFrame:
-    """(`host`, `line`: hash of the normalised line, `said`: that line): what a host puts around its content.
+    """(`host`, `line`: hash of the normalised line): what a host puts around its content.
 
     A line counts once a document. It is boilerplate if `recurrent` or more documents
     of the host, and `share` or more of them all, have it and the part with another line of real content is `beside` or
@@ -263,12 +269,12 @@ def boilerplate_lines(docs: DataFrame, text: str, host: str, recurrent: int = RE
     counted = held.withColumn("content", F.size(F.filter("lines", _is_content)))
     each = counted.select("host", "content", F.explode("lines").alias("key")).where(F.col("key").rlike(r"\p{L}"))
     other = F.when(F.col("content") > F.when(_is_content(F.col("key")), 1).otherwise(0), 1).otherwise(0)
-    sums = each.groupBy("host", F.xxhash64("key").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.sum(other).alias("amid"), F.min("key").alias("said"))
+    sums = each.groupBy("host", F.xxhash64("key").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.sum(other).alias("amid"))
     n, part, z = F.col("n").cast("double"), F.col("amid") / F.col("n"), SURE
     surely = (part + z * z / (2 * n) - z * F.sqrt(part * (1 - part) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     whole = held.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("docs"))
     usual = sums.where((n >= recurrent) & (surely >= beside))
-    return usual.join(whole, usual["host"].eqNullSafe(whole["of"])).where(n >= share * F.col("docs")).select("host", "line", "said")
+    return usual.join(whole, usual["host"].eqNullSafe(whole["of"])).where(n >= share * F.col("docs")).select("host", "line")
 
 
 def _is_content(key: Column) -> Column:
@@ -278,42 +284,42 @@ def _is_content(key: Column) -> Column:
     return (words >= CONTENT_WORDS) | ((F.octet_length(key) > F.length(key)) & (dense >= 2 * CONTENT_WORDS))
 
 
-def furniture(docs: DataFrame, text: str, host: str, recurrent: int = RECURRENT, beside: float = BESIDE) -> DataFrame:
-    """(`host`, `lines`: hashes): the boilerplate of each host that is subtracted from its documents.
-
-    Lines that themselves show a slot, filler or an error are no furniture, however
-    often they recur; notices about scripts beside content are.
-    """
-    usual = stage(boilerplate_lines(docs, text, host, recurrent, beside), "usual")
-
-    def residue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = pa.array([i for i, x in enumerate(batch.column(1).to_pylist()) if evidence(x) not in (None, "script")], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept)], names=["line"])
-
-    said = usual.groupBy("line").agg(F.min("said").alias("said"))  # a line is the same message in every host
-    shown = said.mapInArrow(residue, "line long")
-    return usual.join(shown, "line", "left_anti").groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-
-
 def find_residue(docs: DataFrame, doc: str, text: str, host: str, recurrent: int = RECURRENT, beside: float = BESIDE, max_lines: int = MAX_LINES) -> DataFrame:
     """(`doc`, `evidence`): documents in which a slot, filler, an error message or a notice that scripts are needed stands where content should.
 
     Lines are counted by host over all documents; what recurs as furniture is
-    subtracted from the host's texts, and what is left is searched whole. The lines of
-    all hosts are broadcast if they are `max_lines` at most; more are joined by host,
-    hosts with many documents by broadcast and the others by a shuffle. Null and blank
-    texts show nothing; repeated documents are reported row by row.
+    subtracted from the host's texts, but for lines that themselves show a slot, filler
+    or an error, and what is left is searched whole. The lines of all hosts are
+    broadcast if they are `max_lines` at most; more are joined by host, hosts with many
+    documents by broadcast and the others by a shuffle. Null and blank texts show
+    nothing; repeated documents are reported row by row.
     """
     kind = docs.schema[doc].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        around: dict[str, bool] = {}
+
+        def is_furniture(line: str) -> bool:
+            found = around.get(line)
+            if found is None:
+                if len(around) > 100_000:
+                    around.clear()
+                found = around[line] = evidence(line) in (None, "script")
+            return found
+
         for batch in batches:
-            shown = [evidence(b.as_py().decode("utf-8", errors="replace")) for b in batch.column(1)]
+            shown = []
+            for raw, usual in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                t = raw.as_py().decode("utf-8", errors="replace")
+                if usual:
+                    lines, places = t.split("\n"), set(usual)
+                    t = "\n".join(x for i, x in enumerate(lines) if i not in places or not is_furniture(x))
+                shown.append(evidence(t))
             kept = pa.array([i for i, e in enumerate(shown) if e], type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), pa.array([e for e in shown if e], type=pa.string())], names=[doc, "evidence"])
 
-    around = stage(furniture(docs, text, host, recurrent, beside), "furniture")
+    usual = boilerplate_lines(docs, text, host, recurrent, beside)
+    around = stage(usual.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines")), "furniture")
     size = around.agg(F.count(F.lit(1)).alias("hosts"), F.sum(F.size("lines")).alias("lines")).first()
     plain = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
     if not size["hosts"]:
@@ -325,7 +331,6 @@ def find_residue(docs: DataFrame, doc: str, text: str, host: str, recurrent: int
         count = plain.groupBy("host").agg(F.count(F.lit(1)).alias("weight"))
         known = count.join(around.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
         held = join_by_weight(plain, stage(known, "hosts"), ["host"], "weight", plain.count())
-    keys = _line_keys(F.col("text"))
-    left = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("lines", F.xxhash64(F.get(keys, i)))))
-    residual = held.select("doc", F.when(F.col("lines").isNull(), F.col("text")).otherwise(left).cast("binary").alias("left"))
-    return residual.mapInArrow(search, f"`{doc}` {kind}, evidence string")
+    places = F.array_compact(F.transform(_line_keys(F.col("text")), lambda x, i: F.when(F.array_contains("lines", F.xxhash64(x)), i)))
+    marked = held.select("doc", F.col("text").cast("binary").alias("text"), F.when(F.col("lines").isNotNull(), places).alias("usual"))
+    return marked.mapInArrow(search, f"`{doc}` {kind}, evidence string")
