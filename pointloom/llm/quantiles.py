@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.operators.staging import stage
+
 BUFFER = 2048
 #: So many summaries of a key are merged in one go at most; beyond, in rounds.
 FAN_IN = 64
@@ -110,8 +112,8 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def _partial(df: DataFrame, keys: Sequence[str], measures: Sequence[str], buffer: int) -> DataFrame:
-    """Summaries of what each task has of each key and measure, with the task's number."""
+def _partial(df: DataFrame, keys: Sequence[str], measures: Sequence[str], buffer: int, most: int = HELD) -> DataFrame:
+    """Summaries of what each task has of each key and measure, `most` numbers at a time, each with a number of its own."""
     keys, measures = list(keys), list(measures)
     out = f"{_key_fields(df, keys)}, measure string, {SUMMARY}"
 
@@ -138,15 +140,17 @@ def _partial(df: DataFrame, keys: Sequence[str], measures: Sequence[str], buffer
 
     def summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        turn = 0
         for frame in frames:
             held.append(frame)
-            if sum(map(len, held)) >= HELD:
-                yield from flush(held)
-                held = []
+            if sum(map(len, held)) >= most:
+                yield from (made.assign(__pl_turn=turn) for made in flush(held))
+                held, turn = [], turn + 1
         if sum(map(len, held)):
-            yield from flush(held)
+            yield from (made.assign(__pl_turn=turn) for made in flush(held))
 
-    return df.select(*keys, *measures).mapInPandas(summarise, out).withColumn("__pl_part", F.spark_partition_id())
+    made = df.select(*keys, *measures).mapInPandas(summarise, f"{out}, __pl_turn int")
+    return made.withColumn("__pl_part", F.xxhash64(F.spark_partition_id(), "__pl_turn")).drop("__pl_turn")
 
 
 def _merged(df: DataFrame, keys: Sequence[str], buffer: int) -> DataFrame:
@@ -168,7 +172,22 @@ def _merged(df: DataFrame, keys: Sequence[str], buffer: int) -> DataFrame:
     return packed.mapInPandas(merge, f"{_key_fields(df, keys)}, {SUMMARY}")
 
 
-def summarise(df: DataFrame, keys: Sequence[str], measures: Sequence[str], buffer: int = BUFFER) -> DataFrame:
+def _tree(parts: DataFrame, by: Sequence[str], buffer: int) -> DataFrame:
+    """One summary per key of `parts`, whose `__pl_part` tells the summaries of a key apart.
+
+    The summaries that a key has are counted, not guessed from settings; while a key has
+    more than `FAN_IN`, they are merged by buckets of about half as many.
+    """
+    while True:
+        parts = stage(parts, "summaries")
+        most = parts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if most <= FAN_IN:
+            return _merged(parts, by, buffer)
+        bucket = F.pmod(F.xxhash64("__pl_part"), F.lit(math.ceil(2 * most / FAN_IN)))
+        parts = _merged(parts.withColumn("__pl_part", bucket), [*by, "__pl_part"], buffer)
+
+
+def summarise(df: DataFrame, keys: Sequence[str], measures: Sequence[str], buffer: int = BUFFER, held: int = HELD) -> DataFrame:
     """A mergeable summary of each of `measures` for every value of `keys`.
 
     Each task summarises what it has of a key, so a key with many rows is small
@@ -177,26 +196,13 @@ def summarise(df: DataFrame, keys: Sequence[str], measures: Sequence[str], buffe
     numbers has no row; null is a key of its own. Columns: keys, `measure`, `n`,
     `rank_error` (bound reached, in ranks), `sizes`, `body`.
     """
-    parts = _partial(df, keys, measures, buffer)
-    by = [*keys, "measure"]
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(tasks, df.sparkSession.sparkContext.defaultParallelism)
-    for _ in range(math.ceil(math.log(max(2, tasks), FAN_IN)) - 1):
-        parts = _merged(parts.withColumn("__pl_part", F.floor(F.col("__pl_part") / FAN_IN).cast("int")), [*by, "__pl_part"], buffer)
-    return _merged(parts, by, buffer)
-
+    return _tree(_partial(df, keys, measures, buffer, held), [*keys, "measure"], buffer)
 
-def combine(summaries: DataFrame, keys: Sequence[str], buffer: int = BUFFER, spread: str | None = None) -> DataFrame:
-    """Summaries of longer periods or coarser keys: those of `summaries` that agree in `keys` and `measure` become one.
 
-    `spread`, a column with many values per key such as the day, splits large
-    merges: up to `FAN_IN` hash buckets of it are merged first.
-    """
-    by = [*keys, "measure"]
-    if spread is not None:
-        bucket = F.pmod(F.xxhash64(spread), F.lit(FAN_IN)).cast("int").alias("__pl_part")
-        summaries = _merged(summaries.withColumn("__pl_part", bucket), [*by, "__pl_part"], buffer)
-    return _merged(summaries, by, buffer)
+def combine(summaries: DataFrame, keys: Sequence[str], buffer: int = BUFFER) -> DataFrame:
+    """Summaries of longer periods or coarser keys: those of `summaries` that agree in `keys` and `measure` become one, in a tree of fan-in `FAN_IN`."""
+    rest = [c for c in summaries.columns if c not in (*keys, "measure", "sizes")]
+    return _tree(summaries.withColumn("__pl_part", F.xxhash64(*rest)), [*keys, "measure"], buffer)
 
 
 def percentiles(summaries: DataFrame, permille: Sequence[int] = (500, 900, 950, 990)) -> DataFrame:

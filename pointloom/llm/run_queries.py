@@ -26,6 +26,18 @@ def p4_runs(spark: SparkSession, folder: str) -> DataFrame:
     return _stretches(spark, folder, 1)
 
 
+#: A run ends where more time than this lies between two of its steps, or where the means of two stretches differ by more than this part.
+GAP_S, ALIKE = 3600.0, 0.05
+
+
+def p4_similar(spark: SparkSession, folder: str) -> DataFrame:
+    """Steps agglomerated by the likeness of whole neighbouring stretches, with a limit on the gap in time."""
+    steps = table(spark, folder, "step_records")
+    taken = F.coalesce(F.col("accepted"), F.lit(True))
+    runs = collapse_runs(steps, "run_id", "step_idx", ["cost", "delta_cost"], [taken], "recorded_at", "ingested_at", tolerance=ALIKE, max_gap_s=GAP_S, likeness="run")
+    return runs.withColumnsRenamed({"first_pos": "first_step_idx", "last_pos": "last_step_idx", "n": "n_steps"})
+
+
 def _agree(c: str) -> str:
     return f"(({c} IS NULL AND p_{c} IS NULL) OR coalesce({c} = p_{c} OR abs({c} - p_{c}) <= 1e-6::DOUBLE * greatest(1.0::DOUBLE, abs(p_{c})), false))"
 
@@ -47,7 +59,7 @@ WITH once AS (
   FROM marked GROUP BY run_id, grp
 )"""
 
-QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs}
+QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs, "p4_similar": p4_similar}
 SQL = {
     "p4_found": f"{_RUNS} SELECT run_id, first_step_idx, last_step_idx FROM runs WHERE n_steps >= 2",
     "p4_runs": f"{_RUNS} SELECT run_id, first_step_idx, last_step_idx, n_steps, us / 1e6::DOUBLE AS duration_s FROM runs",

@@ -14,6 +14,8 @@ from pointloom.operators.staging import stage
 
 #: Positions of a sequence per block: a block is one task's unit, whatever the sequence's length.
 BLOCK = 4096
+#: Blocks whose first and last runs are merged by one task; then blocks of such blocks, level by level.
+LEVEL = 1024
 
 _NO_TIME = -(1 << 62)
 
@@ -55,6 +57,48 @@ def agglomerate(alike: np.ndarray, distance: np.ndarray) -> np.ndarray:
     return head
 
 
+def agglomerate_runs(free: np.ndarray, sums: np.ndarray, n: np.ndarray, tolerance: float) -> np.ndarray:
+    """Index of the run's first element for each element, runs being compared by their means.
+
+    Elements are runs with `sums` (a column per number, NaN where there is none) over
+    `n` events; `free[i]` says whether element i may stand in one run with the one
+    before it. A queue gives the most similar pair of neighbouring runs, by the largest
+    difference of a mean over max(1, |the left one's|); they are merged, the merged run's
+    likeness to its neighbours is found anew, entries made before are skipped, and it
+    ends when the most similar pair is further apart than `tolerance`.
+    """
+    count = len(n)
+    total, size = sums.astype(float).copy(), n.astype(float).copy()
+    before, after = list(range(-1, count - 1)), list(range(1, count + 1))
+    alive, version = [True] * count, [0] * count
+
+    def far(left: int, right: int) -> float:
+        a, b = total[left] / size[left], total[right] / size[right]
+        gap = np.abs(b - a) / np.maximum(1.0, np.abs(a))
+        gap[(np.isnan(a) & np.isnan(b)) | (a == b)] = 0.0
+        worst = float(gap.max()) if len(gap) else 0.0
+        return np.inf if np.isnan(worst) else worst
+
+    queue = [(d, i - 1, i, 0, 0) for i in np.flatnonzero(free).tolist() if i and (d := far(i - 1, i)) <= tolerance]
+    heapq.heapify(queue)
+    while queue:
+        d, left, right, was, is_ = heapq.heappop(queue)
+        if not (alive[left] and alive[right]) or version[left] != was or version[right] != is_:
+            continue
+        total[left] += total[right]
+        size[left] += size[right]
+        alive[right] = False
+        version[left] += 1
+        after[left] = after[right]
+        if after[left] < count:
+            before[after[left]] = left
+        for a, b in ((before[left], left), (left, after[left])):
+            if a >= 0 and b < count and free[b] and (d := far(a, b)) <= tolerance:
+                heapq.heappush(queue, (d, a, b, version[a], version[b]))
+    starts = np.flatnonzero(np.asarray(alive, dtype=bool))
+    return np.repeat(starts, np.diff(np.append(starts, count))) if count else np.arange(0)
+
+
 def _border(first: np.ndarray, second: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Whether numbers agree with the ones before them, and their relative distance; NaN stands for no number."""
     none = np.isnan(first) & np.isnan(second)
@@ -72,8 +116,8 @@ def _number(values: pa.Array) -> np.ndarray:
     return values.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
-def _runs(keys: pa.Array, rows: pa.Array, block: pa.Array | None, numbers: int, flags: int, tolerance: float, max_gap: int | None) -> dict:
-    """Runs of a batch of sequences, or of the blocks or edge runs of sequences."""
+def _runs(keys: pa.Array, rows: pa.Array, block: pa.Array, numbers: int, flags: int, tolerance: float, max_gap: int | None, by_run: bool) -> dict:
+    """Runs of a batch of blocks of events, or of groups of blocks given by their edge runs."""
     lengths = rows.value_lengths().to_numpy(zero_copy_only=False)
     flat = rows.flatten()
     owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -84,13 +128,13 @@ def _runs(keys: pa.Array, rows: pa.Array, block: pa.Array | None, numbers: int,
     distance = np.zeros(n)
     if n > 1:
         same = owner[1:] == owner[:-1]
-        if block is None:
+        if "block" in column:
             parts = column["block"].to_numpy(zero_copy_only=False)
             same &= parts[1:] != parts[:-1]
         for i in range(flags):
             same &= _number(column[f"fv{i}"])[1:] == _number(column[f"lv{i}"])[:-1]
         far = np.zeros(n - 1)
-        for i in range(numbers):
+        for i in range(0 if by_run else numbers):
             near, gap = _border(_number(column[f"ln{i}"])[:-1], _number(column[f"fn{i}"])[1:], tolerance)
             same &= near
             far += gap
@@ -98,7 +142,12 @@ def _runs(keys: pa.Array, rows: pa.Array, block: pa.Array | None, numbers: int,
             begin, end = whole["t_min"][1:], whole["t_max"][:-1]
             same &= (begin == _NO_TIME) | (end == _NO_TIME) | (begin - end <= max_gap)
         alike[1:], distance[1:] = same, far
-    head = agglomerate(alike, distance)
+    if by_run:
+        held = [_number(column[f"s{i}"]) for i in range(numbers)]
+        sums = np.column_stack(held) if held else np.zeros((n, 0))
+        head = agglomerate_runs(alike, sums, whole["n"], tolerance)
+    else:
+        head = agglomerate(alike, distance)
     first = np.flatnonzero(head == np.arange(n))
     last = np.append(first[1:], n)[: len(first)] - 1
     out = {
@@ -116,8 +165,9 @@ def _runs(keys: pa.Array, rows: pa.Array, block: pa.Array | None, numbers: int,
         out[f"fv{i}"], out[f"lv{i}"] = column[f"fv{i}"].take(pa.array(first)), column[f"lv{i}"].take(pa.array(last))
     for i in range(numbers):
         out[f"fn{i}"], out[f"ln{i}"] = column[f"fn{i}"].take(pa.array(first)), column[f"ln{i}"].take(pa.array(last))
-    if block is not None:
-        out["block"] = block.take(pa.array(owner[first]))
+        if by_run:
+            out[f"s{i}"] = np.add.reduceat(_number(column[f"s{i}"]), first) if n else np.empty(0)
+    out["block"] = block.take(pa.array(owner[first]))
     count = np.bincount(owner[first], minlength=len(lengths))
     ends = np.cumsum(count)
     edge = np.zeros(len(first), dtype=bool)
@@ -139,6 +189,8 @@ def collapse_runs(
     max_gap_s: float | None = None,
     block: int = BLOCK,
     at_least: int = 1,
+    likeness: str = "event",
+    level: int = LEVEL,
 ) -> DataFrame:
     """One row per longest stretch of events of an entity in which each agrees with the one before it.
 
@@ -151,11 +203,19 @@ def collapse_runs(
     the latest by `latest_by`. Events without entity or position are left out.
     Stretches shorter than `at_least` are dropped at the end. Empty tables give none.
 
+    With `likeness` "run" neighbouring runs are compared as wholes: the most similar two
+    are merged, again and again, while flags agree, numbers are missing in both or in
+    neither, the gap allows, and their means differ by at most tolerance * max(1, |the
+    earlier's|); so a slow drift ends a run, which it doesn't among events.
+
     A sequence is cut into blocks of `block` positions, so that no task holds a whole
-    one; runs within a block are merged by `agglomerate`, and then the first and last
-    runs of an entity's blocks among themselves. Positions are 32-bit numbers, so an
-    entity has at most 2**32 / block blocks: the second step is bounded too.
+    one; runs within a block are merged, then the first and last runs of `level` blocks
+    among themselves, then those of `level` such groups, until one is left. Among events
+    the cuts can't change the result; among runs, one that touches no cut is final.
     """
+    if likeness not in ("event", "run"):
+        raise ValueError(likeness)
+    by_run = likeness == "run"
     marks = [f if isinstance(f, Column) else F.col(f) for f in flags]
     at = F.lit(0) if latest_by is None else F.coalesce(F.unix_micros(F.col(latest_by).cast("timestamp")), F.lit(_NO_TIME))
     moment = F.lit(_NO_TIME) if time is None else F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(_NO_TIME))
@@ -177,23 +237,24 @@ def collapse_runs(
         F.col("__pl_t").alias("t_max"),
         *[F.col(f"n{i}").alias(f"{s}n{i}") for i in range(len(numbers)) for s in "fl"],
         *[F.col(f"v{i}").alias(f"{s}v{i}") for i in range(len(marks)) for s in "fl"],
+        *[F.col(f"n{i}").alias(f"s{i}") for i in range(len(numbers)) if by_run],
     )
     kind = df.schema[entity].dataType.simpleString()
     run = _EDGE + "".join(f", {s}n{i} double" for i in range(len(numbers)) for s in "fl") + "".join(f", {s}v{i} int" for i in range(len(marks)) for s in "fl")
+    run += "".join(f", s{i} double" for i in range(len(numbers)) if by_run)
     fields = [f.split(" ")[0] for f in run.split(", ")]
     gap = None if max_gap_s is None else round(max_gap_s * 1e6)
     n_numbers, n_flags = len(numbers), len(marks)
 
-    def kernel(out: Sequence[str], second: bool):
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = _runs(batch.column(0), batch.column(1), None if second else batch.column(2), n_numbers, n_flags, tolerance, gap)
-                keep = (found["n"] >= at_least) if second else (found["edge"] | (found["n"] >= at_least))
-                mask = pa.array(keep)
-                arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in (found[c] for c in out)]
-                yield pa.RecordBatch.from_arrays([a.filter(mask) for a in arrays], names=["entity" if c == "keys" else c for c in out])
+    names_out = ["entity", "block", "edge", *fields]
+    schema = f"entity {kind}, block int, edge boolean, {run}"
 
-        return merge
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _runs(batch.column(0), batch.column(1), batch.column(2), n_numbers, n_flags, tolerance, gap, by_run)
+            mask = pa.array(found["edge"] | (found["n"] >= at_least))
+            arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in (found["keys" if c == "entity" else c] for c in names_out)]
+            yield pa.RecordBatch.from_arrays([a.filter(mask) for a in arrays], names=names_out)
 
     blocks = (
         once.withColumn("block", F.floor(F.col("__pl_p") / block).cast("int"))
@@ -201,13 +262,24 @@ def collapse_runs(
         .agg(F.sort_array(F.collect_list(event)).alias("events"))
         .select("__pl_e", "events", "block")
     )
-    first = stage(blocks.mapInArrow(kernel(["keys", "block", "edge", *fields], False), f"entity {kind}, block int, edge boolean, {run}"), "runs")
-    edges = first.where("edge").groupBy("entity").agg(F.sort_array(F.collect_list(F.struct(*fields, "block"))).alias("events"))
-    short = ["keys", "first_pos", "last_pos", "n", "t_min", "t_max"]
-    merged = edges.mapInArrow(kernel(short, True), f"entity {kind}, {_EDGE}")
-    inner = first.where(~F.col("edge") & (F.col("n") >= at_least)).select("entity", "first_pos", "last_pos", "n", "t_min", "t_max")
+    held = stage(blocks.mapInArrow(merge, schema), "runs")
+    ends = held.agg(F.min("block"), F.max("block")).first()
+    lowest, span = ends[0] or 0, (ends[1] or 0) - (ends[0] or 0) + 1
+    short = ["entity", "first_pos", "last_pos", "n", "t_min", "t_max"]
+    done = None
+    while True:
+        inner = held.where((~F.col("edge") if span > 1 else F.lit(True)) & (F.col("n") >= at_least)).select(*short)
+        done = inner if done is None else done.unionByName(inner)
+        if span <= 1:
+            break
+        up = F.floor((F.col("block") - lowest) / level).cast("int")
+        edges = held.where("edge").groupBy("entity", up.alias("up")).agg(F.sort_array(F.collect_list(F.struct(*fields, "block"))).alias("events")).select("entity", "events", "up")
+        lowest, span = 0, -(-span // level)
+        held = edges.mapInArrow(merge, schema)
+        if span > 1:
+            held = stage(held, "runs")
     known = F.col("t_min") != _NO_TIME
-    return inner.unionByName(merged).select(
+    return done.select(
         F.col("entity").alias(entity),
         F.col("first_pos").cast("int").alias("first_pos"),
         F.col("last_pos").cast("int").alias("last_pos"),

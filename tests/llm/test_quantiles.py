@@ -71,7 +71,7 @@ def test_tables(spark):
         rows.append(("hot" if i % 3 else None if i % 2 else "b", i % 10, v, -1.0 if i % 5 else None, i))
     df = spark.createDataFrame(rows, "algo string, day int, a double, b double, n int").repartition(6)
     daily = summarise(df, ["algo", "day"], ["a", "b"], 64)
-    for whole in (combine(daily, ["algo"], 64), combine(daily, ["algo"], 64, spread="day")):
+    for whole in (combine(daily, ["algo"], 64), combine(summarise(df, ["algo", "day"], ["a", "b"], 64, held=10), ["algo"], 64)):
         for r in percentiles(whole).collect():
             v = np.sort([x[2 if r["measure"] == "a" else 3] for x in rows if x[0] == r["algo"] and x[2 if r["measure"] == "a" else 3] is not None and not np.isnan(x[2 if r["measure"] == "a" else 3])])
             assert r["n"] == len(v)
@@ -86,3 +86,30 @@ def test_nothing_to_summarise(spark):
     nulls = spark.createDataFrame([("x", 1, None), ("x", 1, float("nan")), ("y", None, 2.0)], "algo string, day int, a double")
     rows = percentiles(summarise(nulls, ["algo", "day"], ["a"])).collect()
     assert [(r["algo"], r["day"], r["n"], r["p50"], r["p99"]) for r in rows] == [("y", None, 1, 2.0, 2.0)]
+
+
+def test_a_key_in_more_tasks_than_a_merge_takes(spark):
+    """300 tasks, a few numbers at a time, whatever the session says of shuffle partitions: no merge takes more than the fan-in, and the bound holds."""
+    from pyspark.sql import functions as F
+
+    from pointloom.llm.quantiles import FAN_IN, _merged, _partial
+
+    df = spark.range(0, 60_000, 1, 300).select(F.lit("k").alias("algo"), F.pmod(F.col("id") * 7919, F.lit(60_000)).cast("double").alias("a"))
+    parts = _partial(df, ["algo"], ["a"], 64, 50)
+    assert parts.select("__pl_part").distinct().count() == parts.count() > 2 * FAN_IN
+    seen = []
+    import pointloom.llm.quantiles as q
+
+    def counted(df, keys, buffer):
+        seen.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return _merged(df, keys, buffer)
+
+    q._merged = counted
+    try:
+        r = percentiles(summarise(df, ["algo"], ["a"], 64, held=50)).first()
+    finally:
+        q._merged = _merged
+    assert len(seen) > 1 and max(seen) <= FAN_IN
+    assert r["n"] == 60_000 and r["rank_error"] < 0.2 * 60_000
+    for p, name in ((0.5, "p50"), (0.99, "p99")):
+        assert abs(r[name] + 1 - p * 60_000) <= r["rank_error"] + 1

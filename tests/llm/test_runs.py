@@ -65,6 +65,54 @@ def test_against_a_loop(spark, block, at_least):
     assert all(r["duration_s"] == 10.0 * (r["last_pos"] - r["first_pos"]) for r in got)
 
 
+@pytest.mark.parametrize("level", [2, 3])
+def test_levels_of_blocks(spark, level):
+    from pyspark.sql import functions as F
+
+    rows = _rows(21) + [("long", i, 5.0 if i < 700 else float(i), 0.0, True, T0 + timedelta(seconds=10 * i), T0, i) for i in range(-300, 1200)]
+    ok = F.coalesce(F.col("ok"), F.lit(True))
+    got = collapse_runs(spark.createDataFrame(rows, SCHEMA), "run", "pos", ["cost", "delta"], [ok], "at", "seen", block=2, level=level, at_least=2).collect()
+    assert sorted((r["run"], r["first_pos"], r["last_pos"], r["n"]) for r in got) == _want(rows, 2)
+
+
+def _closest_first(values, free, tolerance):
+    """Runs of (sum, n, first, last) merged by trying all neighbours again and again."""
+    runs = [[v, 1, i, i] for i, v in enumerate(values)]
+    while True:
+        best = None
+        for k in range(1, len(runs)):
+            a, b = runs[k - 1], runs[k]
+            if free[b[2]]:
+                d = abs(b[0] / b[1] - a[0] / a[1]) / max(1.0, abs(a[0] / a[1]))
+                if d <= tolerance and (best is None or d < best[0]):
+                    best = (d, k)
+        if best is None:
+            return [r[2] for r in runs]
+        k = best[1]
+        a, b = runs[k - 1], runs.pop(k)
+        runs[k - 1] = [a[0] + b[0], a[1] + b[1], a[2], b[3]]
+
+
+def test_runs_by_likeness_of_runs():
+    from pointloom.llm.runs import agglomerate_runs
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(rng.integers(1, 40))
+        values, free = np.cumsum(rng.normal(0, 0.05, n)), rng.random(n) < 0.9
+        head = agglomerate_runs(free, values[:, None], np.ones(n), 0.1)
+        assert np.unique(head).tolist() == _closest_first(values, free, 0.1)
+
+
+def test_a_drift_ends_a_run_and_a_gap_too(spark):
+    rows = [("a", i, i * 0.04, 0.0, True, T0 + timedelta(seconds=i if i < 60 else 5000 + i), T0, i) for i in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    by_event = collapse_runs(df, "run", "pos", ["cost"], ["ok"], "at", "seen", tolerance=0.05).collect()
+    by_run = collapse_runs(df, "run", "pos", ["cost"], ["ok"], "at", "seen", tolerance=0.05, max_gap_s=60, likeness="run").collect()
+    assert len(by_event) == 1 and len(by_run) > 5 and sum(r["n"] for r in by_run) == 100
+    assert 59 in {r["last_pos"] for r in by_run}
+
+
 def test_gap_limit(spark):
     from pyspark.sql import functions as F
 

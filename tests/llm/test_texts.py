@@ -82,6 +82,32 @@ def test_leaks_in_disguise(spark):
     assert kept[10][0].startswith("before it. ") and kept[10][0].endswith(" after it")
 
 
+def test_cuts_do_not_depend_on_the_number_of_passes(spark):
+    """One document, three overlapping items: however many passes find them, one cut takes all."""
+    said = [f"word{i}x" for i in range(60)]
+    items = [(1, " ".join(said[5:20])), (2, " ".join(said[10:25])), (3, " ".join(said[18:40])), (4, None)]
+    docs = spark.createDataFrame([(1, " ".join(said)), (1, " ".join(said[:8])), (2, None), (3, "")], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    results = [sorted(map(str, remove_leaks(docs, "doc_id", "text", table, "item_id", "text", max_bytes=m).collect())) for m in (1 << 30, 3000, 1)]
+    assert results[0] == results[1] == results[2]
+    assert any("word4x" in r and "word40x" in r and "word39x" not in r and "n_removed=1" in r for r in results[0])
+
+
+def test_a_text_without_exact_places_keeps_its_other_words():
+    from pointloom.llm.leaks import _without
+
+    assert _without("&amp;lt;b&amp;gt; x", [[0, 0]]) != ""
+
+
+def test_index_is_of_bounded_bytes():
+    from pointloom.llm.leaks import BYTES_A_BYTE
+
+    rng = random.Random(3)
+    items = [(i, " ".join(f"{rng.choice('abcdef')}{rng.randrange(3000)}" for _ in range(300))) for i in range(300)]
+    text = sum(len(t) for _, t in items)
+    assert Index(items).size < 2 * BYTES_A_BYTE * text
+
+
 def test_leaks_against_brute_force():
     rng = random.Random(0)
     vocabulary = [f"w{i}" for i in range(12)]

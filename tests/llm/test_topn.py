@@ -39,6 +39,16 @@ def test_against_sorting(spark, n, most):
     assert len(got) == len(set(got)) and set(got) == _want(rows, n)
 
 
+@pytest.mark.parametrize(("most", "slots"), [(1, 4), (1, 1 << 18), (5, 16)])
+def test_shared_thresholds(spark, most, slots):
+    """Groups without a threshold of their own have one all the same, and none loses a row by it."""
+    rng = random.Random(slots)
+    rows = _rows(1500, 7) + [(f"few{i}", 1, rng.random(), "a", 10_000 + i * 50 + k, "x") for i in range(200) for k in range(rng.randrange(1, 50))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = [(r["id"], r["rank"]) for r in top_n_per_group(df, ["g", "s"], "v", 3, ["algo", "id"], most, slots).collect()]
+    assert len(got) == len(set(got)) and set(got) == _want(rows, 3)
+
+
 def test_a_group_of_equal_rows_and_an_empty_table(spark):
     rows = [("one", 1, 0.5, "a", i, "") for i in range(3000)]
     got = [r["id"] for r in top_n_per_group(spark.createDataFrame(rows, SCHEMA), ["g", "s"], "v", 3, ["algo", "id"]).collect()]
