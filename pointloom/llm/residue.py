@@ -251,8 +251,8 @@ def evidence(text: str) -> str | None:
 
 def _line_keys(text: Column) -> Column:
     """The lines of a text in the form in which they are counted: no case, white space as single blanks, none at the ends."""
-    blank = F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")
-    single = F.when(F.contains(blank, F.lit("  ")), F.regexp_replace(blank, " {2,}", " ")).otherwise(blank)
+    small = F.lower(text)
+    single = F.when(small.rlike(r"[\t\x0B\f\r]|  "), F.regexp_replace(small, r"[ \t\x0B\f\r]+", " ")).otherwise(small)
     return F.transform(F.split(single, "\n"), lambda x: F.trim(x))
 
 
@@ -264,12 +264,12 @@ def boilerplate_lines(docs: DataFrame, text: str, host: str, recurrent: int = RE
     more by the lower bound of its Wilson interval; so a message that stands for the
     content is none, however often a host repeats it. Lines without a letter are not counted. Null is a host of its own.
     """
-    lines = F.array_distinct(_line_keys(F.col(text)))
+    lines = F.transform(F.array_distinct(_line_keys(F.col(text))), lambda x: F.struct(x.alias("key"), _is_content(x).cast("int").alias("real")))
     held = docs.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), lines.alias("lines"))
-    counted = held.withColumn("content", F.size(F.filter("lines", _is_content)))
-    each = counted.select("host", "content", F.explode("lines").alias("key")).where(F.col("key").rlike(r"\p{L}"))
-    other = F.when(F.col("content") > F.when(_is_content(F.col("key")), 1).otherwise(0), 1).otherwise(0)
-    sums = each.groupBy("host", F.xxhash64("key").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.sum(other).alias("amid"))
+    counted = held.withColumn("content", F.aggregate("lines", F.lit(0), lambda n, x: n + x["real"]))
+    each = counted.select("host", "content", F.explode("lines").alias("at")).where(F.col("at.key").rlike(r"\p{L}"))
+    other = F.when(F.col("content") > F.col("at.real"), 1).otherwise(0)
+    sums = each.groupBy("host", F.xxhash64("at.key").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.sum(other).alias("amid"))
     n, part, z = F.col("n").cast("double"), F.col("amid") / F.col("n"), SURE
     surely = (part + z * z / (2 * n) - z * F.sqrt(part * (1 - part) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     whole = held.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("docs"))
@@ -281,7 +281,7 @@ def _is_content(key: Column) -> Column:
     """Whether a line has the words of real content, or as much in a script that doesn't part words."""
     words = F.length(key) - F.length(F.replace(key, F.lit(" "))) + 1
     dense = F.length(F.regexp_replace(key, r"[^\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]", ""))
-    return (words >= CONTENT_WORDS) | ((F.octet_length(key) > F.length(key)) & (dense >= 2 * CONTENT_WORDS))
+    return (words >= CONTENT_WORDS) | ((F.octet_length(key) > 1.8 * F.length(key)) & (dense >= 2 * CONTENT_WORDS))
 
 
 def find_residue(docs: DataFrame, doc: str, text: str, host: str, recurrent: int = RECURRENT, beside: float = BESIDE, max_lines: int = MAX_LINES) -> DataFrame:
