@@ -9,9 +9,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.operators.neighbors import components
 from pointloom.operators.skew import join_by_weight
 from pointloom.operators.staging import stage
 
@@ -115,6 +116,7 @@ def balanced_bins(groups: DataFrame, group: str, weight: str, bins: int = BINS,
         return pd.DataFrame({"bucket": pdf["bucket"], "slot": pdf["slot"], "up": pdf["up"], "new": slots[at, pdf["slot"]], "weight": pdf["weight"]})
 
     hashed = groups.select(group, F.col(weight).cast("long").alias(weight), F.pmod(F.xxhash64(group), F.lit(buckets)).cast("int").alias("bucket"))
+    hashed = hashed.repartition(min(10_000, buckets), "bucket")  # few bytes, much work: left to itself the engine would put all buckets into one task
     dealt = stage(hashed.groupBy("bucket").applyInPandas(balance, f"`{group}` {kind}, bucket int, slot long, weight long"), "dealt")
     place = dealt.groupBy("bucket", "slot").agg(F.sum("weight").alias("weight")).withColumn("at", F.col("slot")).withColumn("home", F.col("bucket"))
     place = place.select("home", F.col("slot").alias("from_slot"), "bucket", F.col("at").alias("slot"), "weight")
@@ -158,24 +160,71 @@ def allocate(weights: dict[int, int], shares: dict[str, float]) -> dict[int, str
     return out
 
 
-def assign_splits(df: DataFrame, record: str, together: Sequence[str], shares: dict[str, float], bins: int = BINS) -> DataFrame:
-    """(`record`, `first`, `split`): records that agree in all columns `together` get one split.
+#: A list of columns, or several.
+Links = Sequence[str] | Sequence[Sequence[str]]
 
-    `first` is the smallest record of the group. Groups (a null value is a value of
-    its own) are weighed, dealt into `bins` nearly equal bins, and whole bins are
+
+def _links(together: Links) -> list[Sequence[str]]:
+    return [together] if all(isinstance(c, str) for c in together) else list(together)
+
+
+def _node(columns: Sequence[str], turn: int, alone: bool) -> Column:
+    """The node of a link's values; if there are other links, null where all of them are null."""
+    node = F.xxhash64(F.lit(turn), *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns])
+    return node if alone else F.when(F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(1)) for c in columns]).isNotNull(), node)
+
+
+def related(df: DataFrame, record: str, together: Links) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Records that are bound together: those that agree in all columns of a link, or are bound to a common third.
+
+    `together` is one link, a list of columns, or a list of links. The values of a link are the nodes of a graph, a record ties its nodes, and the
+    connected components of the graph are the groups; with one link every node is a
+    component. Returns the records (`__pl_r`, `node`), the nodes (`node`, `component`,
+    `first`: the component's smallest record, `weight`: the node's records), the
+    components (`component`, `weight`) and the number of records. Nodes are 64-bit
+    hashes: of a billion values a pair coincides with a chance of 3 %, and binds what
+    it needn't. A record without any link is a group of its own.
+    """
+    links = _links(together)
+    nodes = [_node(link, i, len(links) == 1) for i, link in enumerate(links)]
+    own = F.xxhash64(F.lit(-1), F.col(record))
+    rows = df.select(F.col(record).alias("__pl_r"), F.coalesce(*nodes, own).alias("node"), *[n.alias(f"n{i}") for i, n in enumerate(nodes)])
+    rows = stage(rows, "records")
+    sized = stage(rows.groupBy("node").agg(F.min("__pl_r").alias("first"), F.count(F.lit(1)).alias("weight")), "nodes")
+    if len(links) == 1:
+        named = sized.withColumn("component", F.col("node"))
+    else:
+        ties = rows.select(F.col("node").alias("i"), F.explode(F.array(*[F.col(f"n{i}") for i in range(len(links))])).alias("j")).where("j is not null and i <> j").distinct()
+        ties = stage(ties, "ties")
+        every = sized.select("node").unionByName(ties.select(F.col("j").alias("node"))).distinct()
+        named = stage(sized.join(components(ties, every), "node"), "bound")
+    groups = stage(named.groupBy("component").agg(F.min("first").alias("first"), F.sum("weight").alias("weight")), "groups")
+    keyed = named.drop("first").join(groups.select("component", "first"), "component")
+    total = groups.agg(F.sum("weight")).first()[0] or 0
+    return rows.select("__pl_r", "node"), keyed, groups.select("component", "weight"), total
+
+
+def related_records(df: DataFrame, record: str, together: Links) -> DataFrame:
+    """(`record`, `first`): every record with the smallest of its group; the groups that `assign_splits` deals."""
+    rows, keyed, _, total = related(df, record, together)
+    return join_by_weight(rows, stage(keyed, "keyed"), ["node"], "weight", total).select(F.col("__pl_r").alias(record), "first")
+
+
+def assign_splits(df: DataFrame, record: str, together: Links, shares: dict[str, float], bins: int = BINS) -> DataFrame:
+    """(`record`, `first`, `split`): records that agree in all columns `together`, or in those of one of several links, directly or through others, get one split.
+
+    `first` is the smallest record of the group. Groups are the components of
+    `related`; a null value is a value of its own, but of several links one of nothing
+    but nulls binds nothing. They are weighed, dealt into `bins` nearly equal bins, and whole bins are
     given to the splits of `shares` by what each lacks; a group larger than a bin has
     a bin of its own. The split of a record depends on the table only. Rows with equal
     or null records keep their number; no record means no `first`. Shares need not
     sum to 1; those of 0 or less get nothing. An empty table gives an empty table.
     """
-    keys = [f"__pl_t{i}" for i in range(len(together))]
-    rows = stage(df.select(F.col(record).alias("__pl_r"), *[F.col(c).alias(k) for c, k in zip(together, keys, strict=True)]), "records")
-    hashed = F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys])
-    groups = stage(rows.groupBy(*keys).agg(F.min("__pl_r").alias("first"), F.count(F.lit(1)).alias("weight")).withColumn("group", hashed), "groups")
-    total = groups.agg(F.sum("weight")).first()[0] or 0
-    named = stage(balanced_bins(groups.groupBy("group").agg(F.sum("weight").alias("weight")), "group", "weight", bins), "named")
+    rows, keyed, groups, total = related(df, record, together)
+    named = stage(balanced_bins(groups, "component", "weight", bins), "named")
     held = {r["bin"]: r["weight"] for r in named.groupBy("bin").agg(F.sum("weight").alias("weight")).collect()}  # at most `bins` rows
     of = allocate(held, shares)
     split = F.create_map(*[F.lit(x) for pair in of.items() for x in pair]) if of else F.create_map(F.lit(0), F.lit(""))
-    keyed = groups.join(named.select("group", "bin"), "group").select(*keys, "first", "weight", split[F.col("bin")].alias("split"))
-    return join_by_weight(rows, stage(keyed, "keyed"), keys, "weight", total).select(F.col("__pl_r").alias(record), "first", "split")
+    dealt = keyed.join(named.select("component", split[F.col("bin")].alias("split")), "component")
+    return join_by_weight(rows, stage(dealt, "keyed"), ["node"], "weight", total).select(F.col("__pl_r").alias(record), "first", "split")

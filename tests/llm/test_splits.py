@@ -95,3 +95,31 @@ def test_columns_named_like_results(spark):
     df = spark.createDataFrame([(i, i % 3, i % 2, 7) for i in range(30)], "first long, split int, weight int, bin int")
     rows = assign_splits(df.withColumnRenamed("first", "group"), "group", ["split", "weight"], SHARES).collect()
     assert len(rows) == 30 and all(r["first"] == r["group"] % 6 for r in rows)
+
+
+def test_records_that_share_an_author_or_a_source(spark):
+    """Components of records that agree in either of two links, against a loop; null binds nothing."""
+    from pointloom.llm.splits import related_records
+
+    rng = random.Random(4)
+    rows = [(i, f"a{rng.randrange(150)}" if rng.random() < 0.7 else None, rng.randrange(200) if rng.random() < 0.7 else None, "hot" if i % 3 == 0 and i < 90 else None, "y", "z") for i in range(400)]
+    home = list(range(400))
+
+    def root(i):
+        while home[i] != i:
+            i = home[i]
+        return i
+
+    seen: dict = {}
+    for r in rows:
+        for link, value in (("d", r[1]), ("s", r[2]), ("split", r[3])):
+            if value is not None:
+                a, b = root(seen.setdefault((link, value), r[0])), root(r[0])
+                home[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    links = [["d"], ["s"], ["split"]]
+    assert {r["id"]: r["first"] for r in related_records(df, "id", links).collect()} == {i: root(i) for i in range(400)}
+    got = {r["id"]: (r["first"], r["split"]) for r in assign_splits(df, "id", links, SHARES, bins=20).collect()}
+    assert {i: f for i, (f, _) in got.items()} == {i: root(i) for i in range(400)}
+    assert all(got[i][1] == got[got[i][0]][1] for i in got)
+    assert related_records(df.limit(0), "id", links).count() == 0
