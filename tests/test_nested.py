@@ -124,3 +124,31 @@ def test_queries_take_the_latest_delivery(spark, tmp_path):
     spark.createDataFrame(rows, "traj_id long, steps string, ingested_at long").write.parquet(f"{tmp_path}/trajectories.parquet")
     assert sorted(tuple(r) for r in p2_found(spark, str(tmp_path)).collect()) == [(1, "0"), (1, "1")]
     assert QUERIES["p2_members"](spark, str(tmp_path)).count() == 0
+
+
+ODD = [
+    '[],"x":1', "[],[]", '[{"x":NaN}]', '[{"x":Infinity}]', '[{"action":{"moves":[]},"x":Inf}]', "null", "", " ", "[null,{}]", '[{"state":{"clusters":[{"members":[{},null,5]}]}}]', '[{"state":null,"action":{"moves":null}}]',
+    '{"steps":[{"action":{"moves":[{"points":[{},{}]}]}}]}', '{"steps":null}', '{"steps":5}', '{"other":[{}]}', '{"steps":[{}],"steps":[{},{}]}', '[{"state":{"clusters":[{"children":[{"children":[{"members":[{}]}]}]}]}}]',
+    '[{"state":{"clusters":' + '[{"children":' * 12 + "[{}]" + "}]" * 12 + "}}]", '{"steps":[{}]}x', '[{"action":"{\\"moves\\":[{}]}"}]', '[{"x":"a\tb"}]', '[{"x":"\\ud800"}]', '[{"x":1e999}]', '[{"act\\u0069on":{"moves":[{}]}}]',
+    '[{"x":"}"},{"x":"{"}]', "[" * 3000 + "]" * 3000, '{"0":{},"2":{}}', "{}", "[{}]\n", '\n[{}]', '{"steps":{"1":{"action":{"moves":{"from":1}}}}}',
+]
+
+
+def test_regular_and_odd_records_alike(monkeypatch):
+    """Whatever Arrow's reader takes in bulk gives the rows that decoding record by record gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pointloom.operators import nested as N
+
+    keys, texts = pa.array(range(len(ODD))), pa.array([t.encode() for t in ODD])
+
+    def rows():
+        found = [c for c in N._flatten(keys, texts, N.TRAJECTORY, None)]
+        return sorted(map(str, zip(*[sum((c[j].to_pylist() for c in found), []) for j in range(6)], strict=True)))
+
+    whole = rows()
+    regular, rest = N._split(texts, N.TRAJECTORY)
+    assert sum(len(at) for at, _ in regular) >= 6 and len(rest) > 10
+    monkeypatch.setattr(N, "_split", lambda texts, shape: ([], np.arange(len(texts))))
+    assert rows() == whole
