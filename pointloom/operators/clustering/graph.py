@@ -9,8 +9,8 @@ from pointloom.operators.clustering.base import Fit, Step, register
 
 
 @register("spectral")
-def spectral(x, k, rng, k_nn=10, most=1000, **_):
-    """k-means of the lowest Laplacian vectors of the neighbour graph."""
+def spectral(x, k, rng, k_nn=10, most=None, **_):
+    """k-means of the lowest Laplacian vectors of the neighbour graph of all points, or of `most` landmarks."""
     k = max(1, min(k or 8, len(x) - 1))
     e = U.embed(x, k, min(k_nn, len(x) - 1), rng, most, drop_trivial=False)
     return Fit(U.lloyd(U.unit_rows(e), k, rng)[0])
@@ -105,47 +105,56 @@ def s5c(x, k, rng, sample=500, sparsity=5, **_):
     return Fit(full, {"n_sample": m}, steps)
 
 
-def modularity(w: np.ndarray, label: np.ndarray) -> float:
+def modularity(w: np.ndarray | U.Links, label: np.ndarray) -> float:
     """Newman's modularity of a weighted graph without loops."""
-    m2 = w.sum()
+    if isinstance(w, U.Links):
+        m2 = w.w.sum()
+        inside = w.w[label[w.rows] == label[w.to]].sum()
+        degree = w.degree()
+    else:
+        m2 = w.sum()
+        inside = w[label[:, None] == label[None, :]].sum()
+        degree = w.sum(axis=1)
     if m2 <= 0:
         return 0.0
-    h = np.eye(label.max() + 1)[label]
-    inside = np.einsum("ij,ik,kj->", h, w, h)
-    deg = h.T @ w.sum(axis=1)
+    deg = np.bincount(label, weights=degree)
     return float((inside - (deg**2).sum() / m2) / m2)
 
 
-def louvain(w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def louvain(w: U.Links, rng: np.random.Generator) -> np.ndarray:
     """Communities by moves of single nodes, then of communities, while modularity rises."""
-    home = np.arange(len(w))
-    graph = w.copy()
+    home = np.arange(w.n)
+    graph = w
     while True:
-        n, m2, deg = len(graph), graph.sum(), graph.sum(axis=1)
+        n, m2, deg = graph.n, graph.w.sum(), graph.degree()
         if m2 <= 0:
             return home
         com, total = np.arange(n), deg.copy()
+        beside = [(graph.to[a:b][own], graph.w[a:b][own]) for i, (a, b) in enumerate(zip(graph.ptr[:-1], graph.ptr[1:], strict=True)) for own in [graph.to[a:b] != i]]
         moved = True
         while moved:
             moved = False
-            for i in rng.permutation(n):
-                total[com[i]] -= deg[i]
-                link = np.bincount(com, weights=np.where(np.arange(n) == i, 0.0, graph[i]), minlength=n)
-                gain = link - total * deg[i] / m2
+            for i in rng.permutation(n).tolist():
+                to, weight = beside[i]
+                if not len(to):
+                    continue
+                here = com[i]
+                total[here] -= deg[i]
+                names, at = np.unique(np.append(com[to], here), return_inverse=True)
+                gain = np.bincount(at[:-1], weights=weight, minlength=len(names)) - total[names] * deg[i] / m2
                 best = int(gain.argmax())
-                if gain[best] > gain[com[i]] + 1e-12:
-                    com[i], moved = best, True
+                if gain[best] > gain[at[-1]] + 1e-12:
+                    com[i], moved = names[best], True
                 total[com[i]] += deg[i]
         names, com = np.unique(com, return_inverse=True)
         home = com[home]
         if len(names) == n:
             return home
-        h = np.eye(len(names))[com]
-        graph = h.T @ graph @ h
+        graph = U.Links(len(names), com[graph.rows], com[graph.to], graph.w)
 
 
 @register("louvain_knn")
-def louvain_knn(x, k, rng, most=1000, **_):
+def louvain_knn(x, k, rng, most=None, **_):
     """Communities of the neighbour graph, merged or split until there are `k`."""
     n = len(x)
     if n < 8:
@@ -154,12 +163,13 @@ def louvain_knn(x, k, rng, most=1000, **_):
     z = U.unit_rows(x) if sd.max() > 5 * max(sd[sd > 0].min(initial=1e-12), 1e-12) else x
     chosen, near = U.landmarks(z, most, rng)
     kk = int(np.clip(round(2 * np.log2(n)), 3, 15))
-    w = U.knn_affinity(z[chosen], kk)
+    w = U.knn_links(z[chosen], kk)
     label = louvain(w, rng)
     steps = [Step(-modularity(w, label), {"type": "louvain", "communities": int(label.max() + 1)})]
     while k and label.max() + 1 > k:
         small = int(np.bincount(label).argmin())
-        tie = np.bincount(label, weights=w[label == small].sum(axis=0), minlength=label.max() + 1)
+        own = label[w.rows] == small
+        tie = np.bincount(label[w.to[own]], weights=w.w[own], minlength=label.max() + 1)
         tie[small] = -1
         label[label == small] = int(tie.argmax())
         label = np.unique(label, return_inverse=True)[1]
@@ -168,7 +178,7 @@ def louvain_knn(x, k, rng, most=1000, **_):
         big = np.flatnonzero(label == np.bincount(label).argmax())
         if len(big) < 2:
             break
-        _, v = U.laplacian_vectors(w[np.ix_(big, big)], 2)
+        _, v = U.laplacian_vectors(w.among(big), 2)
         half = v[:, 1] > np.median(v[:, 1])
         label[big[half if half.any() and not half.all() else np.arange(len(big)) < len(big) // 2]] = label.max() + 1
         steps.append(Step(-modularity(w, label), {"type": "split"}))

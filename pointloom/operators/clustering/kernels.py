@@ -48,8 +48,66 @@ def means(x: np.ndarray, labels: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], before)
 
 
+#: Numbers in the distances of all starts that are iterated together.
+TOGETHER = 20_000_000
+
+
+def _starts(x: np.ndarray, k: int, rng: np.random.Generator, count: int) -> np.ndarray:
+    """Centres of `count` starts chosen by k-means++ side by side."""
+    k, n = min(k, len(x)), len(x)
+    chosen = np.empty((count, k), dtype=np.int64)
+    chosen[:, 0] = rng.integers(n, size=count)
+    near = sq_dists(x[chosen[:, 0]], x)
+    for j in range(1, k):
+        upto = near.cumsum(axis=1)
+        u = rng.random(count) * upto[:, -1]
+        at = np.where(upto[:, -1] > 0, (upto <= u[:, None]).sum(axis=1), rng.integers(n, size=count))
+        chosen[:, j] = np.minimum(at, n - 1)
+        near = np.minimum(near, sq_dists(x[chosen[:, j]], x))
+    return x[chosen]
+
+
+def _lloyd_side_by_side(x: np.ndarray, c: np.ndarray, max_iter: int, tol: float) -> list[tuple[np.ndarray, list[float]]]:
+    """Centres and trace of each start, all being moved in the same passes until each has settled."""
+    n, (count, k, d) = len(x), c.shape
+    c, live = c.copy(), np.arange(count)
+    traces: list[list[float]] = [[] for _ in range(count)]
+    for _ in range(max_iter):
+        dist = sq_dists(x, c[live].reshape(-1, d)).reshape(n, len(live), k)
+        label = dist.argmin(axis=2)
+        cost = np.take_along_axis(dist, label[:, :, None], axis=2)[:, :, 0].sum(axis=0)
+        flat = (label + np.arange(len(live)) * k).ravel()
+        size = np.bincount(flat, minlength=len(live) * k)
+        sums = np.stack([np.bincount(flat, weights=np.repeat(x[:, f], len(live)), minlength=len(live) * k) for f in range(d)], axis=1)
+        old = c[live].reshape(-1, d)
+        new = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], old)
+        shift = np.sqrt(((new - old) ** 2).sum(axis=1)).reshape(len(live), k).max(axis=1)
+        c[live] = new.reshape(len(live), k, d)
+        still = []
+        for i, at in enumerate(live.tolist()):
+            traces[at].append(float(cost[i]))
+            if not (shift[i] < tol or (len(traces[at]) > 1 and abs(traces[at][-2] - traces[at][-1]) < tol)):
+                still.append(at)
+        live = np.array(still, dtype=np.int64)
+        if not len(live):
+            break
+    return list(zip(c, traces, strict=True))
+
+
 def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4, trim: float = 0.0, start: np.ndarray | None = None):
     """(labels, centres, inertia, trace of inertias): the best of `n_init` starts."""
+    if start is None and trim <= 0 and n_init > 1:
+        side, fits = max(1, TOGETHER // max(1, len(x) * k)), []
+        for at in range(0, n_init, side):
+            fits += _lloyd_side_by_side(x, _starts(x, k, rng, min(side, n_init - at)), max_iter, tol)
+        best = None
+        for c, trace in fits:
+            d = sq_dists(x, c)
+            label = d.argmin(axis=1)
+            inertia = float(d[np.arange(len(x)), label].sum())
+            if best is None or inertia < best[2]:
+                best = (label, c, inertia, trace)
+        return best
     best = None
     for _ in range(1 if start is not None else n_init):
         c = start.copy() if start is not None else x[kpp(x, k, rng)]
@@ -268,12 +326,91 @@ def knn_affinity(x: np.ndarray, k: int) -> np.ndarray:
     return 0.5 * (w + w.T)
 
 
-def laplacian_vectors(w: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest `m` eigenvalues and vectors of the normalised Laplacian of a graph."""
-    deg = np.maximum(w.sum(axis=1), 1e-12)
+class Links:
+    """A symmetric graph by rows: node i's neighbours are `to[ptr[i]:ptr[i + 1]]` with weights `w`."""
+
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray):
+        key, back = np.unique(a.astype(np.int64) * n + b, return_inverse=True)
+        self.n, self.to = n, key % n
+        self.w = np.bincount(back, weights=w, minlength=len(key)).astype(float)
+        self.rows = key // n
+        self.ptr = np.searchsorted(self.rows, np.arange(n + 1))
+
+    def degree(self) -> np.ndarray:
+        """Sum of each node's weights."""
+        return np.bincount(self.rows, weights=self.w, minlength=self.n)
+
+    def times(self, q: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """diag(left) W diag(right) q."""
+        if not len(self.to):
+            return np.zeros_like(q)
+        part = np.add.reduceat(np.vstack([(self.w * right[self.to])[:, None] * q[self.to], np.zeros((1, q.shape[1]))]), self.ptr[:-1], axis=0)
+        part[self.ptr[:-1] == self.ptr[1:]] = 0.0
+        return part * left[:, None]
+
+    def dense(self) -> np.ndarray:
+        """The matrix of the weights."""
+        out = np.zeros((self.n, self.n))
+        out[self.rows, self.to] = self.w
+        return out
+
+    def among(self, nodes: np.ndarray) -> Links:
+        """The graph of some of the nodes, numbered anew."""
+        place = np.full(self.n, -1)
+        place[nodes] = np.arange(len(nodes))
+        held = (place[self.rows] >= 0) & (place[self.to] >= 0)
+        return Links(len(nodes), place[self.rows[held]], place[self.to[held]], self.w[held])
+
+
+def knn_links(x: np.ndarray, k: int) -> Links:
+    """The graph of `knn_affinity` by rows."""
+    _, index = neighbours(x, k)
+    a, b = np.repeat(np.arange(len(x)), index.shape[1]), index.ravel()
+    return Links(len(x), np.concatenate([a, b]), np.concatenate([b, a]), np.full(2 * len(a), 0.5))
+
+
+#: Nodes up to which a graph's Laplacian is decomposed whole.
+WHOLE = 500
+
+
+def laplacian_vectors(w: np.ndarray | Links, m: int, tol: float = 1e-6, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest `m` eigenvalues and vectors of the normalised Laplacian of a graph.
+
+    Of a larger graph given by rows they are found by a block Krylov method that is
+    started again from its best vectors until all `m` are eigenvectors within `tol`.
+    """
+    if isinstance(w, Links) and (w.n <= WHOLE or m > w.n // 10):
+        w = w.dense()
+    if not isinstance(w, Links):
+        deg = np.maximum(w.sum(axis=1), 1e-12)
+        s = 1.0 / np.sqrt(deg)
+        value, vector = np.linalg.eigh(np.eye(len(w)) - w * s[:, None] * s[None, :])
+        return value[:m], vector[:, :m]
+    deg = np.maximum(w.degree(), 1e-12)
     s = 1.0 / np.sqrt(deg)
-    value, vector = np.linalg.eigh(np.eye(len(w)) - w * s[:, None] * s[None, :])
-    return value[:m], vector[:, :m]
+    half = lambda q: 0.5 * (q + w.times(q, s, s))  # noqa: E731  largest where the Laplacian is lowest
+    wide = m + max(4, m // 2)
+    q = np.random.default_rng(0).standard_normal((w.n, wide))
+    q[:, 0] = np.sqrt(deg)
+    q = np.linalg.qr(q)[0]
+    for _ in range(rounds):
+        basis, image = q, half(q)
+        block = image
+        for _ in range(7):
+            for _ in range(2):
+                block = block - basis @ (basis.T @ block)
+            block = np.linalg.qr(block)[0]
+            basis = np.hstack([basis, block])
+            block = half(block)
+            image = np.hstack([image, block])
+        inner = basis.T @ image
+        value, y = np.linalg.eigh((inner + inner.T) / 2)
+        y = y[:, ::-1][:, :wide]
+        q, moved, value = basis @ y, image @ y, value[::-1][:wide]
+        if np.linalg.norm(moved[:, :m] - q[:, :m] * value[:m], axis=0).max() < tol:
+            break
+        q = np.linalg.qr(q)[0]
+    return np.maximum(2.0 - 2.0 * value[:m], 0.0), q[:, :m]
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -281,18 +418,18 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def landmarks(x: np.ndarray, most: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray | None]:
-    """At most `most` rows, and for each row the five landmarks nearest to it if any were left out."""
-    if len(x) <= most:
+def landmarks(x: np.ndarray, most: int | None, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray | None]:
+    """At most `most` rows (all of them without it), and for each row the five landmarks nearest to it if any were left out."""
+    if most is None or len(x) <= most:
         return np.arange(len(x)), None
     chosen = np.sort(rng.choice(len(x), most, replace=False))
     return chosen, neighbours(x, 5, x[chosen])[1]
 
 
-def embed(x: np.ndarray, m: int, k_nn: int, rng: np.random.Generator, most: int = 1000, drop_trivial: bool = True) -> np.ndarray:
+def embed(x: np.ndarray, m: int, k_nn: int, rng: np.random.Generator, most: int | None = None, drop_trivial: bool = True) -> np.ndarray:
     """Laplacian embedding; rows beyond the landmarks get the mean of the nearest landmarks' vectors."""
     chosen, near = landmarks(x, most, rng)
-    value, v = laplacian_vectors(knn_affinity(x[chosen], k_nn), m + drop_trivial)
+    value, v = laplacian_vectors(knn_links(x[chosen], k_nn), m + drop_trivial)
     if drop_trivial:
         v = v[:, 1:]
     return v if near is None else v[near].mean(axis=1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from pointloom.operators.clustering import kernels as U
@@ -118,8 +120,12 @@ def fourier(x: np.ndarray, frequencies: int, scales: int, rng: np.random.Generat
     return np.hstack([np.cos(z), np.sin(z)]), np.concatenate([sq, sq])
 
 
-def _fmm_once(x, k, rng, frequencies, scales, name):
-    phi, penalty = fourier(x, frequencies, scales, rng)
+#: A user's basis: (points, k, stream) -> (a row of features per point, the penalty of each feature).
+Basis = Callable[[np.ndarray, int, np.random.Generator], tuple[np.ndarray, np.ndarray]]
+
+
+def _fmm_once(x, k, rng, frequencies, scales, name, basis: Basis | None = None):
+    phi, penalty = basis(x, k, rng) if basis else fourier(x, frequencies, scales, rng)
     start = U.lloyd(x, k, rng, n_init=3)[0]
     r, trace, extra = basis_mixture(phi, k, rng, start, penalty)
     steps = [Step(0.0, {"type": name, "feature_dim": phi.shape[1]}), Step(0.0, {"type": "kmeans_init"})]
@@ -128,26 +134,26 @@ def _fmm_once(x, k, rng, frequencies, scales, name):
 
 
 @register("fmm")
-def fmm(x, k, rng, frequencies=24, scales=3, k_search=None, n_basis_samples=1, **_):
-    """Mixture whose log densities are Fourier series; `k_search` (lo, hi) picks k by the effective BIC over several bases."""
+def fmm(x, k, rng, frequencies=24, scales=3, k_search=None, n_basis_samples=1, basis=None, **_):
+    """Mixture whose log densities are Fourier series, or series over a user's `basis`; `k_search` (lo, hi) picks k by the effective BIC over several bases."""
     if k_search:
         profile = {}
         for kk in range(k_search[0], k_search[1] + 1):
-            fits = [_fmm_once(x, kk, rng, frequencies, scales, "fourier_basis") for _ in range(n_basis_samples)]
+            fits = [_fmm_once(x, kk, rng, frequencies, scales, "fourier_basis", basis) for _ in range(n_basis_samples)]
             profile[kk] = (float(np.mean([f.extra["bic_eff"] for f in fits])), fits[0])
         best = min(profile, key=lambda kk: profile[kk][0])
         fit = profile[best][1]
         fit.extra |= {"selected_k": best, "bic_profile": {kk: v for kk, (v, _) in profile.items()}}
         fit.steps = [Step(profile[best][0], {"type": "k_search", "selected": best})]
         return fit
-    return _fmm_once(x, max(1, min(k or 3, len(x))), rng, frequencies, scales, "fourier_basis")
+    return _fmm_once(x, max(1, min(k or 3, len(x))), rng, frequencies, scales, "user_basis" if basis else "fourier_basis", basis)
 
 
 @register("lmm")
-def lmm(x, k, rng, k_nn=10, most=1000, **_):
-    """The same mixture over the lowest Laplacian vectors, started from the rotation of them that is nearest to a partition."""
+def lmm(x, k, rng, k_nn=10, most=None, basis=None, **_):
+    """The same mixture over the lowest Laplacian vectors of all points (or of `most` landmarks, or a user's `basis`), started from the rotation of them that is nearest to a partition."""
     k = max(2, min(k or 3, len(x) - 1))
-    e = U.embed(x, k, min(k_nn, len(x) - 1), rng, most, drop_trivial=False)
+    e = basis(x, k, rng)[0] if basis else U.embed(x, k, min(k_nn, len(x) - 1), rng, most, drop_trivial=False)
     z = U.unit_rows(e)
     first = [int(rng.integers(len(z)))]
     c = np.zeros(len(z))
@@ -195,11 +201,11 @@ def autoencoder(x: np.ndarray, width: int, hidden: int, rng: np.random.Generator
 
 
 @register("amm")
-def amm(x, k, rng, width=None, hidden=32, **_):
-    """The same mixture over the bottleneck of an autoencoder."""
+def amm(x, k, rng, width=None, hidden=128, basis=None, **_):
+    """The same mixture over the bottleneck of an autoencoder, or over a user's `basis`."""
     k = max(1, min(k or 3, len(x)))
     z = U.zscore(x)
-    code = autoencoder(z, width or min(8, max(4, x.shape[1] // 4)), hidden, rng)
+    code = basis(z, k, rng)[0] if basis else autoencoder(z, width or min(8, max(4, x.shape[1] // 4)), hidden, rng)
     start = U.lloyd(code, k, rng, n_init=3)[0]
     r, trace, extra = basis_mixture(U.zscore(code), k, rng, start, np.zeros(code.shape[1]))
     return Fit(r.argmax(axis=1), extra, [Step(0.0, {"type": "autoencoder_basis"})] + [Step(-t, {"type": "newton_step"}) for t in trace])

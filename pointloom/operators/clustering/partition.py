@@ -137,9 +137,9 @@ def birch(x, k, rng, threshold=1.5, **_):
 
 
 @register("agglomerative")
-def agglomerative(x, k, rng, linkage="ward", most=3000, **_):
-    """Merges of the closest clusters; above `most` rows Ward's are found without a matrix of distances."""
-    if len(x) > most and linkage == "ward":
+def agglomerative(x, k, rng, linkage="ward", **_):
+    """Merges of the closest clusters; Ward's are found without a matrix of distances."""
+    if linkage == "ward":
         return Fit(U.ward_chain(x, _k(x, k, 2)))
     return Fit(U.merge_tree(np.sqrt(U.sq_dists(x, x)), _k(x, k, 2), linkage))
 
@@ -157,32 +157,105 @@ def dbscan_auto(x, k, rng, min_samples=5, **_):
     return Fit(U.density_clusters(x, eps, min_samples), {"eps": eps})
 
 
-@register("optics")
-def optics(x, k, rng, min_samples=5, xi=0.05, **_):
-    """Reachability order; clusters are the valleys between rises by more than 1 / (1 - xi) to a peak above the knee."""
+def reachability(x: np.ndarray, min_samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, reachability in that order, place in the order of each one's predecessor): always the nearest to what was reached is next."""
     n = len(x)
     d = np.sqrt(U.sq_dists(x, x))
-    core = np.sort(d, axis=1)[:, min(min_samples - 1, n - 1)]
-    reach, done, order = np.full(n, np.inf), np.zeros(n, dtype=bool), []
-    for _ in range(n):
-        i = int(np.where(done, np.inf, np.where(np.isfinite(reach), reach, 1e300)).argmin())
-        done[i] = True
-        order.append(i)
-        reach = np.where(done, reach, np.minimum(reach, np.maximum(core[i], d[i])))
-    r = reach[order]
-    finite = r[np.isfinite(r)]
-    cut = U.knee(finite) if len(finite) else np.inf
-    label, current, run = np.full(n, -1), -1, 0
-    for at, i in enumerate(order):
-        if not np.isfinite(r[at]) or r[at] * (1 - xi) > cut:
-            current += 1
-        label[i] = current
-    for c in range(current + 1):
-        if (label == c).sum() < min_samples:
-            label[label == c] = -1
-    named = label >= 0
-    label[named] = np.unique(label[named], return_inverse=True)[1]
-    return Fit(label, {"cut": float(cut), "run": run})
+    core = np.partition(d, min(min_samples, n) - 1, axis=1)[:, min(min_samples, n) - 1]
+    reach, from_, open_ = np.full(n, np.inf), np.full(n, -1), np.ones(n, dtype=bool)
+    order = np.empty(n, dtype=int)
+    for at in range(n):
+        left = np.flatnonzero(open_)
+        i = int(left[reach[left].argmin()])
+        order[at], open_[i] = i, False
+        left = left[left != i]
+        new = np.maximum(core[i], d[i, left])
+        closer = new < reach[left]
+        reach[left[closer]] = new[closer]
+        from_[left[closer]] = i
+    place = np.empty(n, dtype=int)
+    place[order] = np.arange(n)
+    return order, reach[order], np.where(from_[order] >= 0, place[from_[order]], -1)
+
+
+def _area(steep: np.ndarray, against: np.ndarray, at: int, patience: int) -> int:
+    """End of the steep area that starts at `at`: no step against it, and not more than `patience` flat ones in a row."""
+    end, flat = at, 0
+    for i in range(at, len(steep)):
+        if steep[i]:
+            end, flat = i, 0
+        elif against[i]:
+            break
+        else:
+            flat += 1
+            if flat > patience:
+                break
+    return end
+
+
+def xi_valleys(r: np.ndarray, before: np.ndarray, xi: float, min_samples: int, min_size: int) -> list[tuple[int, int]]:
+    """(first, last) of the valleys of a reachability plot between steep falls and steep rises, inner ones first.
+
+    A step is steep if it changes the height by the part `xi`. Every rise is matched
+    with the falls before it whose walls are higher than all in between; the wall that
+    is higher by `xi` is cut to the other's height, a valley's end that was reached from
+    outside is left off, and what is shorter than `min_size` is none.
+    """
+    r = np.append(r, np.inf)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        ratio = r[:-1] / r[1:]
+    down, up = ratio >= 1 / (1 - xi), ratio <= 1 - xi
+    falling, rising = ratio > 1, ratio < 1
+    falls: list[list] = []  # start, end, height of what lies between its end and here
+    found: list[tuple[int, int]] = []
+    at, between = 0, 0.0
+    for i in np.flatnonzero(down | up).tolist():
+        if i < at:
+            continue
+        between = max(between, float(r[at : i + 1].max()))
+        falls = [[a, b, max(h, between)] for a, b, h in falls if r[a] * (1 - xi) >= between]
+        if down[i]:
+            end = _area(down, rising, i, min_samples)
+            falls.append([i, end, 0.0])
+            at, between = end + 1, float(r[end + 1]) if end + 1 < len(r) else 0.0
+            continue
+        end = _area(up, falling, i, min_samples)
+        at, between = end + 1, float(r[end + 1]) if end + 1 < len(r) else 0.0
+        inner: list[tuple[int, int]] = []
+        for a, b, high in falls:
+            first, last = a, end
+            if r[end + 1] * (1 - xi) < high:
+                continue
+            if r[a] * (1 - xi) >= r[end + 1]:
+                while first < b and r[first + 1] > r[end + 1]:
+                    first += 1
+            elif r[end + 1] * (1 - xi) >= r[a]:
+                while last > i and r[last - 1] > r[a]:
+                    last -= 1
+            while last > first and not (r[first] > r[last] or first <= before[last] < last):
+                last -= 1
+            if last - first + 1 >= min_size and first <= b and last >= i:
+                inner.append((first, last))
+        found += inner[::-1]
+    return found
+
+
+@register("optics")
+def optics(x, k, rng, min_samples=5, xi=0.05, min_cluster_size=None, **_):
+    """Reachability order; clusters are its smallest valleys between steep falls and steep rises, all else is noise."""
+    n = len(x)
+    if n < 2:
+        return Fit(np.full(n, -1))
+    order, r, before = reachability(x, min_samples)
+    label, used = np.full(n, -1), 0
+    valleys = xi_valleys(r, before, xi, min_samples, min_cluster_size or min_samples)
+    for first, last in valleys:
+        if (label[first : last + 1] < 0).all():
+            label[first : last + 1] = used
+            used += 1
+    out = np.empty(n, dtype=int)
+    out[order] = label
+    return Fit(out, {"valleys": len(valleys)}, [Step(float(np.where(np.isfinite(r), r, 0.0).mean()), {"type": "reachability"})])
 
 
 def bandwidth(x: np.ndarray, rng: np.random.Generator, quantile: float = 0.2, trim: float | None = None, most: int = 500) -> float:

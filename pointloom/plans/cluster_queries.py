@@ -86,9 +86,9 @@ def separated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Kernels that may leave points of a group out as noise.
-_NOISY = ("dbscan", "dbscan_auto", "optics", "learned_router_v6", "learned_router_v6b", "learned_router_v6c")
-#: Kernels that don't look for round groups apart: linear subspaces, communities of a graph, an embedding that a graph in parts leaves open, or modes at a width narrower than the groups.
-_OTHER = ("s5c", "louvain_knn", "aura_v2", "aura_v3", "meanshift_robust")
+_NOISY = ("dbscan", "dbscan_auto", "learned_router_v6", "learned_router_v6b", "learned_router_v6c")
+#: Kernels that don't look for round groups apart: linear subspaces, communities of a graph, an embedding that a graph in parts leaves open, modes at a width narrower than the groups, or the smallest valleys of all.
+_OTHER = ("s5c", "louvain_knn", "aura_v2", "aura_v3", "meanshift_robust", "optics")
 
 
 def _separated_query(algo: str):
