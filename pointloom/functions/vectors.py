@@ -97,3 +97,9 @@ def fourier_magnitude(x: str, k: int) -> Column:
     re = F.aggregate(F.transform(x, lambda v, i: v * F.cos(turn(i))), F.lit(0.0), lambda s, v: s + v)
     im = F.aggregate(F.transform(x, lambda v, i: v * F.sin(turn(i))), F.lit(0.0), lambda s, v: s + v)
     return F.when(k <= F.floor(n / 2), F.sqrt(re * re + im * im)).otherwise(0.0)
+
+
+def nan_to_num(x: str | Column, fill: float = 0.0) -> Column:
+    """A vector with NaN, infinities and nulls as `fill`."""
+    inf = float("inf")
+    return F.transform(x, lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == inf), F.lit(fill)).otherwise(v))

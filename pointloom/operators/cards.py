@@ -46,6 +46,44 @@ AXES = {
 SPANS = {"log_n": 2.0, "d": 200.0, "k": 20.0, "eff_dim_ratio": 1.0, "conv_cv": 1.0, "outlier_frac": 0.2, "density_skew": 1.0}
 
 
+# What is known of a generated or public dataset without drawing it: conv_cv and eff_dim over the dimensions.
+PRIORS = {
+    "mdcgen": (0.30, 1.00),
+    "blobs": (0.30, 1.00),
+    "mixed": (0.45, 0.50),
+    "anisotropic": (0.50, 1.00),
+    "moons": (0.85, 0.50),
+    "circles": (0.90, 0.50),
+    "spiral": (0.85, 0.50),
+    "swiss_roll": (0.80, 0.50),
+    "s_curve": (0.70, 0.50),
+    "rings": (0.85, 0.50),
+    "varying_density": (0.60, 1.00),
+    "imbalanced": (0.55, 1.00),
+    "mixed_shapes": (0.75, 0.70),
+    "extreme_outliers": (0.55, 1.00),
+    "inverse_pca": (0.40, 0.10),
+    "iris": (0.50, 1.00),
+    "wine": (0.60, 0.85),
+    "breast_cancer": (0.50, 0.50),
+    "digits": (0.65, 0.40),
+    "olivetti_faces": (0.75, 0.05),
+    "glass": (0.65, 0.80),
+    "vehicle": (0.60, 0.80),
+    "segment": (0.55, 0.50),
+    "yeast": (0.65, 1.00),
+    "ecoli": (0.60, 0.85),
+    "text20news": (0.60, 0.20),
+}
+# Parts of a dataset's name that speak of shapes that aren't convex.
+SHAPE_NAMES = ("shape", "ring", "spiral", "moon", "graves", "fcps", "wut", "sipu")
+
+
+def priors(spark, known: Mapping[str, tuple[float, float]] = PRIORS) -> DataFrame:
+    """(`dataset`, `conv_cv`, `eff_dim_ratio`) as a table."""
+    return spark.createDataFrame([(k, *v) for k, v in known.items()], "dataset string, conv_cv double, eff_dim_ratio double")
+
+
 def formula(cards: DataFrame, column: str) -> Column:
     """The value of each row's cost formula over its columns n, d and k."""
     texts = [r[0] for r in cards.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_FORMULAS + 1).collect()]
@@ -76,6 +114,13 @@ def calibrate(tasks: DataFrame, cards: DataFrame, algo: str = "algo", wall: str
     return got.select(algo, F.coalesce("time_cal", F.lit(DEFAULT_TIME)).alias("time_cal"), F.coalesce("mem_cal", F.lit(DEFAULT_MEMORY)).alias("mem_cal"))
 
 
+def extremes(df: DataFrame, name: str, value: str, most: int) -> DataFrame:
+    """The `most` lowest and the `most` highest rows by `value`, ties by name, each once, with the `side` they are on."""
+    low = df.orderBy(F.asc_nulls_last(value), name).limit(most).withColumn("side", F.lit("lowest"))
+    high = df.orderBy(F.desc_nulls_last(value), F.desc(name)).limit(most).withColumn("side", F.lit("highest"))
+    return low.unionByName(high.join(low.select(name), name, "left_anti"))
+
+
 def row_fingerprint(tasks: DataFrame, priors: DataFrame | None = None, dataset: str = "dataset") -> DataFrame:
     """The fingerprint that a task's parameters alone give, with priors of its dataset (conv_cv, eff_dim_ratio; 0.5 and 1 if unknown)."""
     t = tasks if priors is None else tasks.join(priors, dataset, "left")
@@ -91,6 +136,23 @@ def row_fingerprint(tasks: DataFrame, priors: DataFrame | None = None, dataset:
     ).withColumn("eff_dim", F.col("d") * F.col("eff_dim_ratio"))
 
 
+def mutator_fingerprint(tasks: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Add the other fingerprint that a task's parameters give, by which mutated cards are scored.
+
+    `conv_cv` rises with words for shapes in the dataset's name, with low compactness
+    and with noise; `outlier_frac` with outliers and low compactness, both within 0..1;
+    `eff_dim` is at most twice k and four; `log_n` is a fifth of the decimal logarithm.
+    """
+    or_else = lambda c, d: F.when(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) == 0, F.lit(d)).otherwise(F.col(c).cast("double"))
+    n, d, k, o, c, noise = (or_else(*p) for p in (("n_samples", 1.0), ("n_features", 1.0), ("k_target", 2.0), ("outliers", 0.0), ("compactness", 1.0), ("noise", 0.0)))
+    name = F.lower(F.coalesce(F.col(dataset), F.lit("")))
+    hints = sum((F.when(F.contains(name, F.lit(w)), 0.25).otherwise(0.0) for w in SHAPE_NAMES), F.lit(0.0))
+    bent = hints + F.greatest(F.lit(0.0), 1.0 - c) * 0.5 + F.least(F.lit(0.4), noise * 2.0)
+    unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    made = {"conv_cv": unit(bent), "outlier_frac": unit(o + 0.5 * (1.0 - c)), "eff_dim": F.least(d, k * 2.0 + 4.0), "log_n": F.log10(F.greatest(n, F.lit(10.0))) / 5.0}
+    return tasks.withColumns({**made, "d": d, "n": n, "k": k})
+
+
 def ari_bounds(fingerprints: DataFrame, cards: DataFrame, key: str, rules: Sequence[tuple[str, str, str, float]] = BIAS_RULES) -> DataFrame:
     """(`key`, `algo`, `bound`): 0.5 and the weights of the card's biases that a fingerprint's signals match, within 0..1.
 

@@ -1,8 +1,8 @@
 """Kernels that choose another by what it did on past tasks or does on a sample.
 
 History is a bounded table of tasks: a list of (features by name, score by
-algorithm), as `router_history` makes from results. Without any the routers fall
-back to a fixed kernel.
+algorithm), as `plans.history.router_history` makes from results. Without any the
+routers fall back to a fixed kernel.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pointloom.operators.clustering.trees import Boosted, Forest
 
 History = Sequence[tuple[dict[str, float], dict[str, float]]]
 FALLBACK = "pwcc_diverse"
+#: Parts of the past tasks of which each is foretold from the others.
+FOLDS = 5
 PROBED = ("kmeans", "gmm", "spectral", "agglomerative", "dbscan_auto")
 
 
@@ -94,15 +96,18 @@ def learned_router_v3(x, k, rng, history: History = (), meta=None, **_):
     return _delegate(_pick_v3(x, k, rng, history, meta)[0], x, k, rng, "regression")
 
 
-def _boosted(history, version, fp):
-    names = P.VERSIONS[version]
-    score = {}
+def _boosted_models(history, names):
+    models = {}
     for algo in sorted({a for _, s in history for a in s}):
         own = [(f, s[algo]) for f, s in history if algo in s]
         if algo in REGISTRY and not algo.startswith("learned_router") and len(own) >= 5:
-            model = Boosted().fit(np.array([[f.get(n, 0.0) for n in names] for f, _ in own]), np.array([s for _, s in own]))
-            score[algo] = float(model.predict(np.array([[fp[n] for n in names]]))[0])
-    return score
+            models[algo] = Boosted().fit(np.array([[f.get(n, 0.0) for n in names] for f, _ in own]), np.array([s for _, s in own]))
+    return models
+
+
+def _boosted(history, version, fp):
+    names = P.VERSIONS[version]
+    return {a: float(m.predict(np.array([[fp[n] for n in names]]))[0]) for a, m in _boosted_models(history, names).items()}
 
 
 def _pick_v4(x, k, rng, history, meta):
@@ -126,19 +131,20 @@ def learned_router_v5(x, k, rng, history: History = (), meta=None, **_):
     """A forest that says whether version 4 or version 3 chooses better, learned on the past tasks themselves."""
     if not history:
         return _delegate(FALLBACK, x, k, rng, "no_training_data")
-    names = P.VERSIONS[3]
+    names, wide = P.VERSIONS[3], P.VERSIONS[4]
     rows, better = [], []
-    for i, (f, s) in enumerate(history):
-        rest = [h for j, h in enumerate(history) if j != i]
-        full = {n: f.get(n, 0.0) for n in P.VERSIONS[4]}
-        a, b = by_regression(rest, names, full), {}
-        if len(rest) >= 5:
-            b = _boosted(rest, 1, full)
-        if a and b:
-            pa, pb = max(sorted(a), key=a.get), max(sorted(b), key=b.get)
-            if pa in s and pb in s:
-                rows.append([full[n] for n in names])
-                better.append(float(s[pb] > s[pa]))
+    for fold in range(min(FOLDS, len(history))):  # what either version says of tasks that it hasn't seen
+        rest = [h for j, h in enumerate(history) if j % FOLDS != fold]
+        models = _boosted_models(rest, wide)
+        for f, s in history[fold::FOLDS]:
+            full = {n: f.get(n, 0.0) for n in wide}
+            a = by_regression(rest, names, full)
+            b = {algo: float(m.predict(np.array([[full[n] for n in wide]]))[0]) for algo, m in models.items()}
+            if a and b:
+                pa, pb = max(sorted(a), key=a.get), max(sorted(b), key=b.get)
+                if pa in s and pb in s:
+                    rows.append([full[n] for n in names])
+                    better.append(float(s[pb] > s[pa]))
     use4 = False
     if len(set(better)) > 1:
         fp = P.fingerprint(x, k, rng, 3, meta)

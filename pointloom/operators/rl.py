@@ -42,18 +42,32 @@ class State:
         return float(np.nan_to_num(U.silhouette(self.embedding, self.labels, 300), nan=0.0))
 
     def features(self) -> np.ndarray:
-        """Twenty numbers, in fixed order."""
-        n, d = self.x.shape
-        counts = np.bincount(self.labels[self.labels >= 0], minlength=1)
-        counts = counts[counts > 0] if (self.labels >= 0).any() else np.array([0])
-        sd = self.embedding.std(axis=0)
-        onehot = [float(self.step_idx > 0), float(self.centers is not None), float(self.embedded)]
+        """Twenty numbers in the order that a policy is trained on; what is undefined is 0.
+
+        Step, k, clusters, clusters over k, share of noise, silhouette, cost over the
+        first, whether there are centres, dimensions of the embedding, relative spread
+        of sizes, least over greatest size, mean distance within, mean and least
+        distance between centroids, greatest range, whether there are as many, more or
+        fewer clusters than k, points, dimensions.
+        """
+        inside = self.labels >= 0
+        names, code, counts = np.unique(self.labels[inside], return_inverse=True, return_counts=True)
+        found, k = len(names), max(1.0, float(self.k))
+        within = between = nearest = 0.0
+        if found >= 2 and len(self.labels) <= 2000:
+            held = self.embedding[inside]
+            c = np.array([held[code == i].mean(axis=0) for i in range(found)])
+            far = np.linalg.norm(held - c[code], axis=1)
+            several = counts >= 2
+            within = float((np.bincount(code, weights=far) / counts)[several].mean()) if several.any() else 0.0
+            pairs = np.sqrt(U.sq_dists(c, c))[np.triu_indices(found, 1)]
+            between, nearest = float(pairs.mean()), float(pairs.min())
         f = [
-            np.log10(n + 1), np.log10(d + 1), self.k / 10, self.step_idx / 20, self.cost / max(self.cost_initial, 1e-12), self.silhouette, len(counts) / max(self.k, 1),
-            (self.labels < 0).mean(), counts.std() / max(counts.mean(), 1e-12), counts.min() / n, counts.max() / n, *onehot,
-            sd.mean(), sd.std(), np.log1p(abs(self.cost)), np.log1p(abs(self.cost_initial)), float(len(counts) == self.k), float(len(counts) > self.k),
+            self.step_idx, self.k, found, found / k, 1.0 - inside.mean() if len(inside) else 0.0, self.silhouette, self.cost / (self.cost_initial if self.cost_initial > 0 else 1.0), self.centers is not None, self.embedding.shape[1],
+            counts.std() / counts.mean() if found else 0.0, counts.min() / counts.max() if found else 0.0, within, between, nearest, np.ptp(self.embedding) if self.embedding.size else 0.0,
+            found == self.k, found > self.k, found < self.k, len(self.labels), self.x.shape[1],
         ]
-        return np.nan_to_num(np.array(f, dtype=np.float32))
+        return np.nan_to_num(np.array(f, dtype=np.float32), posinf=0.0, neginf=0.0)
 
 
 def inertia(x: np.ndarray, labels: np.ndarray, centers: np.ndarray | None = None) -> float:

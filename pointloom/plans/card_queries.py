@@ -68,15 +68,38 @@ def prediction_ratio(spark, folder):
     return p.groupBy("algo").agg(even(F.median(F.col("wall_time_s") / F.col("wall_pred_s")), 6).alias("ratio"), F.count(F.lit(1)).alias("n"))
 
 
-_FP_SQL = """fp AS (SELECT *, log10(greatest(2.0::DOUBLE, n_samples::DOUBLE)) AS log_n, n_features::DOUBLE AS fd, coalesce(k_target, 1)::DOUBLE AS fk, 1.0::DOUBLE AS eff_dim_ratio, 0.5::DOUBLE AS conv_cv, coalesce(outliers, 0)::DOUBLE / greatest(1.0::DOUBLE, n_samples::DOUBLE + coalesce(outliers, 0)) AS outlier_frac,
-least(1.0::DOUBLE, 1.0::DOUBLE - coalesce(density, 1.0::DOUBLE)) + CASE WHEN coalesce(noise, 0) > 0 THEN 0.1::DOUBLE ELSE 0 END AS density_skew FROM {src})"""
+@query(f"{_CAL_SQL}, r AS (SELECT o.algo, round(median(o.wall_time_s) / median(greatest(1e-6, c.time_cal * o.ops)) + 1e-10, 6) AS ratio FROM ops o JOIN cal c USING (algo) WHERE o.wall_time_s IS NOT NULL GROUP BY o.algo), p AS (SELECT *, row_number() OVER (ORDER BY ratio, algo) AS up, row_number() OVER (ORDER BY ratio DESC, algo DESC) AS down FROM r) SELECT algo, ratio, CASE WHEN up <= 5 THEN 'lowest' ELSE 'highest' END AS side FROM p WHERE up <= 5 OR down <= 5")
+def prediction_extremes(spark, folder):
+    """The five algorithms whose runs took least, and the five whose took most, of what was predicted, by medians."""
+    tasks = _tasks(spark, folder)
+    cal = stage(C.calibrate(tasks, _cards(spark, folder)), "calibration")
+    p = C.with_costs(tasks.join(cal, "algo"), _cards(spark, folder), time="time_cal", memory="mem_cal").where("wall_time_s is not null")
+    return C.extremes(p.groupBy("algo").agg(even(F.median("wall_time_s") / F.median("wall_pred_s"), 6).alias("ratio")), "algo", "ratio", 5)
+
+
+_HINTS_SQL = " + ".join(f"(CASE WHEN contains(lower(dataset), '{w}') THEN 0.25::DOUBLE ELSE 0 END)" for w in C.SHAPE_NAMES)
+
+
+@query(f"""{RUNS_SQL}, m AS (SELECT *, CASE WHEN coalesce(compactness, 0) = 0 THEN 1.0::DOUBLE ELSE compactness END AS c, CASE WHEN coalesce(k_target, 0) = 0 THEN 2.0::DOUBLE ELSE k_target::DOUBLE END AS fk FROM runs)
+SELECT result_id, round(greatest(0, least(1, {_HINTS_SQL} + greatest(0, 1 - c) * 0.5::DOUBLE + least(0.4::DOUBLE, coalesce(noise, 0) * 2.0::DOUBLE))) + 1e-10, 6) AS conv_cv, round(greatest(0, least(1, coalesce(outliers, 0)::DOUBLE + 0.5::DOUBLE * (1 - c))) + 1e-10, 6) AS outlier_frac,
+least(n_features::DOUBLE, fk * 2 + 4) AS eff_dim, round(log10(greatest(n_samples::DOUBLE, 10.0::DOUBLE)) / 5 + 1e-10, 6) AS log_n FROM m""")
+def mutator_fingerprints(spark, folder):
+    """The fingerprint by which mutated cards are scored, of every run."""
+    df = runs(spark, folder, "dataset", "n_samples", "n_features", "k_target", "compactness", "outliers", "noise")
+    fp = C.mutator_fingerprint(df)
+    return fp.select("result_id", even("conv_cv", 6).alias("conv_cv"), even("outlier_frac", 6).alias("outlier_frac"), "eff_dim", even("log_n", 6).alias("log_n"))
+
+
+_PRIORS_SQL = "priors(dataset, prior_cv, prior_ratio) AS (VALUES " + ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in C.PRIORS.items()) + ")"
+_FP_SQL = """fp AS (SELECT *, log10(greatest(2.0::DOUBLE, n_samples::DOUBLE)) AS log_n, n_features::DOUBLE AS fd, coalesce(k_target, 1)::DOUBLE AS fk, coalesce(prior_ratio, 1.0::DOUBLE) AS eff_dim_ratio, coalesce(prior_cv, 0.5::DOUBLE) AS conv_cv, coalesce(outliers, 0)::DOUBLE / greatest(1.0::DOUBLE, n_samples::DOUBLE + coalesce(outliers, 0)) AS outlier_frac,
+least(1.0::DOUBLE, 1.0::DOUBLE - coalesce(density, 1.0::DOUBLE)) + CASE WHEN coalesce(noise, 0) > 0 THEN 0.1::DOUBLE ELSE 0 END AS density_skew FROM {src} LEFT JOIN priors USING (dataset))"""
 
 
-@query(f"{RUNS_SQL}, {_FP_SQL.format(src='runs')} SELECT result_id, round(log_n, 6) AS log_n, round(outlier_frac + 1e-10, 6) AS outlier_frac, round(density_skew + 1e-10, 6) AS density_skew, fd * eff_dim_ratio AS eff_dim FROM fp")
+@query(f"{RUNS_SQL}, {_PRIORS_SQL}, {_FP_SQL.format(src='runs')} SELECT result_id, round(log_n, 6) AS log_n, round(outlier_frac + 1e-10, 6) AS outlier_frac, round(density_skew + 1e-10, 6) AS density_skew, fd * eff_dim_ratio AS eff_dim, conv_cv FROM fp")
 def row_fingerprints(spark, folder):
     """Fingerprint of every run from its parameters."""
     df = runs(spark, folder, "dataset", "n_samples", "n_features", "k_target", "outliers", "noise", "density")
-    return C.row_fingerprint(df).select("result_id", F.round("log_n", 6).alias("log_n"), even("outlier_frac", 6).alias("outlier_frac"), even("density_skew", 6).alias("density_skew"), "eff_dim")
+    return C.row_fingerprint(df, C.priors(spark)).select("result_id", F.round("log_n", 6).alias("log_n"), even("outlier_frac", 6).alias("outlier_frac"), even("density_skew", 6).alias("density_skew"), "eff_dim", "conv_cv")
 
 
 _RULES_SQL = "rules(bias, signal, mode, w) AS (VALUES " + ", ".join(f"('{b}', '{s}', '{m}', {w}::DOUBLE)" for b, s, m, w in C.BIAS_RULES) + ")"
@@ -122,7 +145,7 @@ def fingerprint_grid(spark, folder):
     return C.fingerprint_grid(spark)
 
 
-_GAP_SQL = f"""{RUNS_SQL}, {_FP_SQL.format(src='runs')}, ex AS (SELECT min(result_id) AS id, log_n, fd, fk, eff_dim_ratio, conv_cv, outlier_frac, density_skew FROM fp GROUP BY ALL), {_grid_sql()}, {_bound_sql('grid', 'row_number')},
+_GAP_SQL = f"""{RUNS_SQL}, {_PRIORS_SQL}, {_FP_SQL.format(src='runs')}, ex AS (SELECT min(result_id) AS id, log_n, fd, fk, eff_dim_ratio, conv_cv, outlier_frac, density_skew FROM fp GROUP BY ALL), {_grid_sql()}, {_bound_sql('grid', 'row_number')},
 best AS (SELECT row_number, max(bound) AS best FROM bounds GROUP BY row_number),
 dist AS (SELECT g.row_number, min(round(sqrt(pow((g.log_n - e.log_n) / 2, 2) + pow((g.d - e.fd) / 200, 2) + pow((g.k - e.fk) / 20, 2) + pow(g.eff_dim_ratio - e.eff_dim_ratio, 2) + pow(g.conv_cv - e.conv_cv, 2) + pow((g.outlier_frac - e.outlier_frac) / 0.2, 2) + pow(g.density_skew - e.density_skew, 2)), 9)) AS distance FROM grid g, ex e GROUP BY g.row_number),
 gaps AS (SELECT g.*, b.best, x.distance, round((1 - b.best) * exp(-x.distance), 4) AS interest FROM grid g JOIN best b USING (row_number) JOIN dist x USING (row_number) WHERE b.best < 0.75 ORDER BY interest DESC, row_number LIMIT 20)"""
@@ -131,7 +154,7 @@ gaps AS (SELECT g.*, b.best, x.distance, round((1 - b.best) * exp(-x.distance),
 def _gaps(spark, folder) -> DataFrame:
     df = runs(spark, folder, "dataset", "n_samples", "n_features", "k_target", "outliers", "noise", "density")
     axes = list(C.SPANS)
-    known = C.row_fingerprint(df).groupBy(*axes).agg(F.min("result_id").alias("id"))
+    known = C.row_fingerprint(df, C.priors(spark)).groupBy(*axes).agg(F.min("result_id").alias("id"))
     return C.gaps(C.fingerprint_grid(spark), _cards(spark, folder), stage(known, "known"), "id", 0.75, 20)
 
 

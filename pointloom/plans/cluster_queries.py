@@ -15,6 +15,7 @@ from pointloom.operators import rl
 from pointloom.operators.clustering import REGISTRY, cluster
 from pointloom.operators.staging import stage
 from pointloom.plans.base import RUNS_SQL, runs
+from pointloom.plans.history import router_history
 from pointloom.plans.point_queries import _EDGES, _edges, points
 from pointloom.plans.relational_queries import even
 from pointloom.plans.runner import Algorithm, expand, run_grid
@@ -28,9 +29,10 @@ SQL: dict[str, str] = {}
 
 def _cluster_query(algo: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return cluster(points(spark, folder).select("point_id", "x"), algo, 5, 1).labels
+        learned = {"history": router_history(spark, folder)} if algo.startswith("learned_router") else {}
+        return cluster(points(spark, folder).select("point_id", "x"), algo, 5, 1, **learned).labels
 
-    query.__doc__ = f"Labels of the embeddings by {algo}."
+    query.__doc__ = f"Labels of the embeddings by {algo}" + (", which has learned from the results." if algo.startswith("learned_router") else ".")
     return query
 
 

@@ -6,6 +6,7 @@ import json
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,41 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.parquet(path)
 
 
+def read_results(spark: SparkSession, folder: str, name: str = "results") -> DataFrame:
+    """A run directory's table: the parquet one, or the csv one where that is missing or can't be read."""
+    try:
+        return spark.read.parquet(f"{folder}/{name}.parquet")
+    except (AnalysisException, PySparkException):
+        return read_table(spark, f"{folder}/{name}.csv")
+
+
+def read_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The rows of a JSON file that must hold an array of objects; anything else is an error."""
+    first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1)).first()
+    if first is None or first[0] != "[":
+        raise ValueError(f"{path} doesn't hold an array")
+    return read_table(spark, path, schema)
+
+
+def write_metrics(df: DataFrame, folder: str, run: str = "run_id") -> None:
+    """The measures of each run as a JSON object of its own, in a folder per run."""
+    df.write.mode("overwrite").partitionBy(run).json(f"{folder}/metrics.json")
+
+
+def write_report(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, most: int = 10_000) -> None:
+    """A JSON report of small tables (gaps, suggested mutations, calibrations, diagnostics) by name, rows as objects.
+
+    A table of more than `most` rows isn't a report and is refused.
+    """
+    held = {}
+    for name, df in tables.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows")
+        held[name] = [r.asDict(recursive=True) for r in rows]
+    write_json(spark, held, path)
+
+
 def write_results(df: DataFrame, folder: str) -> None:
     """Results as parquet and as csv."""
     df.write.mode("overwrite").parquet(f"{folder}/results.parquet")
@@ -36,8 +72,12 @@ def write_results(df: DataFrame, folder: str) -> None:
 
 
 def write_trajectories(df: DataFrame, folder: str) -> None:
-    """Step records, a folder per algorithm."""
-    df.write.mode("overwrite").partitionBy("algo").parquet(f"{folder}/trajectories.parquet")
+    """Step records, a folder per algorithm; as csv where parquet can't hold them."""
+    try:
+        df.write.mode("overwrite").partitionBy("algo").parquet(f"{folder}/trajectories.parquet")
+    except AnalysisException:
+        flat = [F.to_json(c).alias(c) if t.startswith(("struct", "map", "array")) else F.col(c).cast("string").alias(c) for c, t in df.dtypes]
+        df.select(*flat).write.mode("overwrite").partitionBy("algo").csv(f"{folder}/trajectories.csv", header=True)
 
 
 def write_errors(df: DataFrame, folder: str) -> None:
