@@ -5,6 +5,13 @@ block: points are packed into blocks of bounded size, every block visits every o
 one as a single row holding both matrices, and what leaves a visit is already reduced
 (the k best of each point, the neighbours within the radius). No pair of points is
 ever a row of a shuffle unless it is a result.
+
+Where only near points matter, blocks are made of points that lie near each other
+(around pivots, in shells of like distance), and a block visits those blocks only that
+the triangle inequality lets hold a point within its reach. In few dimensions or in
+clustered data that leaves a number of visits that hardly grows with the table; where
+all points are about as far from each other it leaves them all, and the result is the
+same.
 """
 
 from __future__ import annotations
@@ -44,6 +51,77 @@ def visits(queries: DataFrame, points: DataFrame | None = None, block: int = BLO
     return asked.repartition(tasks, "b").join(right.repartition(tasks, "b"), "b").select("q_ids", "q_xs", "ids", "xs")
 
 
+#: Points that cells are made around at most, and shells of a cell at most before it is split by hash.
+MAX_PIVOTS, SHELLS = 2000, 64
+#: Blocks that a table is cut into at most; more points make larger blocks.
+MAX_BLOCKS = 100_000
+
+
+class Cells:
+    """Points in blocks that lie near each other.
+
+    `table` has a row per block: `b`, `ids`, `xs`, `c` (its pivot), `r_min` and `r_max`
+    (least and greatest distance from the pivot). `pivots` are `MAX_PIVOTS` rows at most.
+    The first `skip` coordinates are carried along and don't count.
+    """
+
+    def __init__(self, points: DataFrame, block: int = BLOCK, skip: int = 0):
+        spark = points.sparkSession
+        n = points.count()
+        block = max(block, math.ceil(n / MAX_BLOCKS))
+        wanted = min(MAX_PIVOTS, max(1, math.ceil(n / block)))
+        chosen = points.select("x", "point_id").orderBy(F.xxhash64("point_id"), "point_id").limit(wanted).collect()
+        self.pivots = _matrix([r["x"] for r in chosen])[:, skip:] if chosen else np.zeros((1, 0))
+        around = spark.sparkContext.broadcast(self.pivots)
+
+        def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    d = distances(_matrix(frame["x"])[:, skip:], around.value)
+                    c = d.argmin(axis=1)
+                    yield frame.assign(c=c.astype(np.int32), r=d[np.arange(len(c)), c])
+
+        placed = stage(points.select("point_id", "x").mapInPandas(assign, "point_id long, x array<double>, c int, r double"), "placed")
+        cuts = [i / SHELLS for i in range(1, SHELLS)]
+        cells = placed.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.percentile_approx("r", F.array(*[F.lit(q) for q in cuts]), 1000).alias("cuts"))
+        rank = F.size(F.filter("cuts", lambda q: q < F.col("r")))
+        shells = F.least(F.lit(SHELLS), F.ceil(F.col("size") / block))
+        shelled = placed.join(F.broadcast(cells), "c").withColumn("shell", F.floor(rank * shells / SHELLS).cast("int")).drop("cuts", "size")
+        full = shelled.groupBy("c", "shell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # a row per shell of a cell
+        at = F.struct("c", "shell", F.pmod(F.xxhash64("point_id"), F.col("parts")).cast("int").alias("part"))
+        rows = shelled.join(F.broadcast(full), ["c", "shell"]).groupBy(F.xxhash64(at).alias("b"), "c").agg(
+            F.sort_array(F.collect_list(F.struct("point_id", "x"))).alias("ps"), F.min("r").alias("r_min"), F.max("r").alias("r_max")
+        )
+        self.table = stage(rows.select("b", "c", "r_min", "r_max", F.col("ps.point_id").alias("ids"), F.col("ps.x").alias("xs")), "blocks")
+
+    def visits(self, reach: float | DataFrame) -> DataFrame:
+        """Each block with each block that may hold a point within its reach: `q_ids`, `q_xs`, `ids`, `xs`.
+
+        `reach` is a distance, or a table (`b`, `reach`) of one per block.
+        """
+        spark = self.table.sparkSession
+        known = self.table.select("b", "c", "r_min", "r_max").toPandas()  # `MAX_BLOCKS` rows, and some, at most
+        gap = distances(self.pivots, self.pivots)
+        held = spark.sparkContext.broadcast((known["b"].to_numpy(), known["c"].to_numpy(), known["r_min"].to_numpy(), known["r_max"].to_numpy(), gap))
+
+        def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            b, c, low, high, gap = held.value
+            for frame in frames:
+                found = []
+                for q_c, q_low, q_high, q_reach in zip(frame["c"], frame["r_min"], frame["r_max"], frame["reach"], strict=True):
+                    far = np.where(c == q_c, np.maximum(low - q_high, q_low - high), np.maximum(gap[q_c][c] - q_high - high, np.maximum(low - gap[q_c][c] - q_high, q_low - gap[q_c][c] - high)))
+                    found.append(b[far <= q_reach * (1 + 1e-9) + 1e-8])
+                yield pd.DataFrame({"q_b": frame["b"], "near": found})
+
+        asked = self.table.select("b", "c", "r_min", "r_max")
+        asked = asked.withColumn("reach", F.lit(float(reach))) if not isinstance(reach, DataFrame) else asked.join(reach, "b")
+        pairs = asked.mapInPandas(near, "q_b long, near array<long>").select("q_b", F.explode("near").alias("b"))
+        tasks = min(10_000, 2 * max(1, len(known)))  # few bytes, much work: left to itself the engine would put all visits into one task
+        left = self.table.select(F.col("b").alias("q_b"), F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"))
+        both = pairs.repartition(tasks, "q_b").join(left.repartition(tasks, "q_b"), "q_b")
+        return both.repartition(tasks, "b").join(self.table.select("b", "ids", "xs").repartition(tasks, "b"), "b").select("q_ids", "q_xs", "ids", "xs")
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of rows, by differences (no cancellation), a dimension at a time."""
     out = np.zeros((len(a), len(b)))
@@ -63,7 +141,11 @@ def _matrix(column) -> np.ndarray:
 
 
 def knn(points: DataFrame, k: int, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """(`i`, `j`, `d`, `rk`): the `k` nearest points of each query, itself aside, ties by id; distances to nine places."""
+    """(`i`, `j`, `d`, `rk`): the `k` nearest points of each query, itself aside, ties by id; distances to nine places.
+
+    Without `queries` the points ask for each other: the k-th nearest within a point's
+    own block bounds how far it need look.
+    """
     itself = queries is None
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,7 +162,20 @@ def knn(points: DataFrame, k: int, queries: DataFrame | None = None, block: int
                 keep = (place < k) & np.isfinite(d[rows, cols])
                 yield pd.DataFrame({"i": q_ids[rows[keep]], "j": ids[cols[keep]], "d": d[rows[keep], cols[keep]]})
 
-    found = visits(points if itself else queries, points, block).mapInPandas(visit, "i long, j long, d double")
+    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            far = []
+            for xs in frame["xs"]:
+                x = _matrix(xs)
+                far.append(float(np.partition(distances(x, x), k, axis=1)[:, k].max()) if len(x) > k else np.inf)
+            yield pd.DataFrame({"b": frame["b"], "reach": far})
+
+    if itself:
+        cells = Cells(points, block)
+        met = cells.visits(cells.table.select("b", "xs").mapInPandas(own, "b long, reach double"))
+    else:
+        met = visits(queries, points, block)
+    found = met.mapInPandas(visit, "i long, j long, d double")
     best = F.slice(F.sort_array(F.collect_list(F.struct("d", "j"))), 1, k)
     ranked = found.groupBy("i").agg(best.alias("near")).select("i", F.posexplode("near").alias("at", "n"))
     return ranked.select("i", F.col("n.j").alias("j"), F.col("n.d").alias("d"), (F.col("at") + 1).alias("rk"))
@@ -98,7 +193,7 @@ def within(points: DataFrame, eps: float, block: int = BLOCK) -> DataFrame:
                 a, b = np.nonzero(near)
                 yield pd.DataFrame({"i": q_ids[a], "j": ids[b]})
 
-    return visits(points, None, block).mapInPandas(visit, "i long, j long")
+    return Cells(points, block).visits(eps).mapInPandas(visit, "i long, j long")
 
 
 def local_outlier_factor(near: DataFrame) -> DataFrame:
@@ -110,15 +205,37 @@ def local_outlier_factor(near: DataFrame) -> DataFrame:
     return near.select("i", "j").join(theirs, "j").groupBy("i").agg(F.avg("lrd_j").alias("m")).join(lrd, "i").select("i", (F.col("m") / F.col("lrd")).alias("lof"))
 
 
+#: Values of a curve that one task looks at.
+CURVE = 1_000_000
+
+
 def knee(curve: DataFrame, value: str, fallback: float = 1e-6) -> DataFrame:
-    """(`eps`): the value of a sorted curve farthest below its chord after both axes are scaled to 0..1; the median plus `fallback` if the curve is flat."""
-    w = Window.orderBy(value, "i")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    lo, hi = F.min(value).over(Window.partitionBy()), F.max(value).over(Window.partitionBy())
-    y = (F.col(value) - lo) / (hi - lo)
-    x = (F.row_number().over(w) - 1) / (n - 1)
-    bent = curve.withColumn("gap", F.when(hi > lo, F.round(F.abs(y - x), 9))).withColumn("pos", F.row_number().over(w))
-    return bent.agg(F.coalesce(F.min_by(value, F.when(F.col("gap").isNotNull(), F.struct(-F.col("gap"), "pos"))), F.median(value) + fallback).alias("eps"))
+    """(`eps`): the value of a sorted curve farthest below its chord after both axes are scaled to 0..1; the median plus `fallback` if the curve is flat.
+
+    The curve (`i`, `value`) is sorted by ranges; how many values lie before a range
+    gives each value its place, and every range its farthest one.
+    """
+    n, lo, hi, middle = curve.agg(F.count(value), F.min(value), F.max(value), F.median(value)).first()
+    spark = curve.sparkSession
+    if not n or not hi > lo:
+        return spark.createDataFrame([(None if middle is None else float(middle) + fallback,)], "eps double")
+    ranges = max(1, math.ceil(n / CURVE))
+    v = F.col(value).cast("double")
+    placed = stage(curve.select(v.alias("v"), F.col("i").cast("long").alias("i")).where("v is not null").repartitionByRange(ranges, "v", "i").withColumn("part", F.spark_partition_id()), "curve")
+    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # a row per range
+    before, at = {}, 0
+    for part in sorted(sizes):
+        before[part], at = at, at + sizes[part]
+
+    def bent(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["v", "i"], kind="stable")
+        place = before[int(frame["part"].iloc[0])] + np.arange(len(frame))
+        gap = np.round(np.abs((frame["v"].to_numpy() - lo) / (hi - lo) - place / (n - 1)), 9)
+        best = int(gap.argmax())
+        return pd.DataFrame({"gap": [gap[best]], "place": [int(place[best])], "v": [float(frame["v"].iloc[best])]})
+
+    far = placed.groupBy("part").applyInPandas(bent, "gap double, place long, v double")
+    return far.agg(F.max_by("v", F.struct("gap", -F.col("place"))).alias("eps"))
 
 
 def one_nn(points: DataFrame, labelled: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -127,7 +244,7 @@ def one_nn(points: DataFrame, labelled: DataFrame, block: int = BLOCK) -> DataFr
     return near.join(labelled.select(F.col("point_id").alias("j"), "label"), "j").select(F.col("i").alias("point_id"), "label")
 
 
-def neighbour_counts(points: DataFrame, eps: float, block: int = BLOCK) -> DataFrame:
+def neighbour_counts(points: DataFrame, eps: float, block: int = BLOCK, cells: Cells | None = None) -> DataFrame:
     """(`node`, `n`): other points at most `eps` away."""
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +255,7 @@ def neighbour_counts(points: DataFrame, eps: float, block: int = BLOCK) -> DataF
                 near &= q_ids[:, None] != ids[None, :]
                 yield pd.DataFrame({"node": q_ids, "n": near.sum(axis=1)})
 
-    return visits(points, None, block).mapInPandas(visit, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return (cells or Cells(points, block)).visits(eps).mapInPandas(visit, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -217,7 +334,7 @@ def _links(points: DataFrame, eps: float, block: int) -> DataFrame:
                 beside = [int(ids[near[e]].min()) for e in edge]
                 yield pd.DataFrame({"i": [p for p, _ in kept] + q_ids[edge].tolist(), "j": [q for _, q in kept] + beside, "inner": [True] * len(kept) + [False] * len(edge)})
 
-    return visits(points, None, block).mapInPandas(visit, "i long, j long, inner boolean")
+    return Cells(points, block, 1).visits(eps).mapInPandas(visit, "i long, j long, inner boolean")
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int = 5, block: int = BLOCK) -> DataFrame:

@@ -18,6 +18,8 @@ from pointloom.sources.tables import table
 
 #: Tasks that a router learns from at most: those with the most algorithms, ties by hash. A documented bound on a labelled sample.
 MAX_TASKS = 200
+#: What tells one past task from another: runs that differ in other parameters only are draws of one task.
+KEY = ("dataset", "n_samples", "n_features", "k_target")
 #: Generators that stand in for listed datasets which have none, by domain; others are drawn as `OTHERWISE`.
 STAND_INS = {"tabular": "mdcgen", "shapes": "moons", "time-series": "ts_synth", "timeseries": "ts_synth", "graph": "graph_sbm", "image": "digits", "text": "text20news"}
 OTHERWISE = "varying_density"
@@ -52,11 +54,14 @@ def task_history(tasks: DataFrame, generator: str = "generator", seed: int = 0)
 def router_history(spark: SparkSession, folder: str, most: int = MAX_TASKS, stand_ins: Mapping[str, str] = STAND_INS) -> History:
     """(features, score of each algorithm) of past tasks: mean `ari` of the current results by task, and the task's fingerprint.
 
-    A dataset that is a generator is drawn by it, another by the one that stands in for
-    its domain. The `most` tasks with the most algorithms are kept, a bounded sample.
+    A task is told by `KEY`, its other parameters are those of its first draw. A dataset
+    that is a generator is drawn by it, another by the one that stands in for its
+    domain. The `most` tasks with the most algorithms are kept, a bounded sample.
     """
-    scored = runs(spark, folder, *TASK, "ari").where("ari is not null").groupBy(*TASK, "algo").agg(F.avg("ari").alias("ari"))
-    tasks = scored.groupBy(*TASK).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("algo", "ari")))).alias("scores")).withColumn("task", F.xxhash64(*TASK))
+    rest = [c for c in TASK if c not in KEY]
+    scored = runs(spark, folder, *TASK, "ari").where("ari is not null").groupBy(*KEY, "algo").agg(F.avg("ari").alias("ari"), F.min(F.struct(*rest)).alias("draw"))
+    tasks = scored.groupBy(*KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("algo", "ari")))).alias("scores"), F.min("draw").alias("draw"))
+    tasks = tasks.select(*KEY, "draw.*", "scores", F.xxhash64(*KEY).alias("task"))
     kept = stage(tasks.orderBy(F.desc(F.size("scores")), "task").limit(most), "tasks")
     listed = table(spark, folder, "dataset_metadata").select(F.col("name").alias("dataset"), "source", "domain")
     known = F.col("dataset").isin(*GENERATORS)
