@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 from operator import eq
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -186,22 +187,73 @@ def _is_repeated(words: list[str]) -> bool:
     return False
 
 
+def _kind(word: str) -> int:
+    """1: a word of invented Latin, 2: one typed on a row of keys, 3: both, 0: neither."""
+    bare = word.strip(".,;:!?")
+    return (1 if _LATIN.fullmatch(bare) else 0) | (2 if _KEYS.fullmatch(bare) else 0) if len(bare) <= 64 else 0
+
+
+_STRETCH = re.compile(rb"[\x01\x03]{%d}|[\x02\x03]{%d}" % (LATIN_WORDS, KEY_WORDS))
+
+
 def _is_invented(words: list[str]) -> bool:
     """Whether a text has a stretch of invented Latin or of words typed on one row of keys."""
-    latin = keys = 0
-    known = _kinds.get
-    for word in words:
-        kind = known(word)
-        if kind is None:
-            if len(_kinds) > 300_000:
-                _kinds.clear()
-            bare = word.strip(".,;:!?")
-            kind = _kinds[word] = (1 if _LATIN.fullmatch(bare) else 0) | (2 if _KEYS.fullmatch(bare) else 0) if len(bare) <= 64 else 0
-        latin = latin + 1 if kind & 1 else 0
-        keys = keys + 1 if kind & 2 else 0
-        if latin >= LATIN_WORDS or keys >= KEY_WORDS:
-            return True
-    return False
+    try:
+        kinds = bytes(map(_kinds.__getitem__, words))
+    except KeyError:
+        if len(_kinds) > 300_000:
+            _kinds.clear()
+        for word in words:
+            if word not in _kinds:
+                _kinds[word] = _kind(word)
+        kinds = bytes(map(_kinds.__getitem__, words))
+    return _STRETCH.search(kinds) is not None
+
+
+def _needed(sequence) -> frozenset[str] | None:
+    """Literals of which every match of a parsed pattern holds one, as long as can be; None if it needs none."""
+    best, run = None, ""
+
+    def offer(found: frozenset[str] | None) -> None:
+        nonlocal best
+        if found and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for op, held in [*sequence, (None, None)]:
+        if str(op) == "LITERAL":
+            run += chr(held)
+            continue
+        if run:
+            offer(frozenset([run]))
+            run = ""
+        if str(op) == "BRANCH":
+            each = [_needed(b) for b in held[1]]
+            offer(frozenset().union(*each) if all(each) else None)
+        elif str(op) == "SUBPATTERN":
+            offer(_needed(held[-1]))
+        elif str(op) in ("MAX_REPEAT", "MIN_REPEAT") and held[0] > 0:
+            offer(_needed(held[2]))
+    return best
+
+
+def _sign() -> ahocorasick.Automaton | None:
+    """Finds what every error, notice or filler has one of, whatever its pattern; None if a pattern has no such literal."""
+    found = ahocorasick.Automaton()
+    for pattern in (*_ERRORS, *_WALLS, *_FILLERS):
+        literals = _needed(re._parser.parse(pattern))
+        if not literals:
+            return None
+        for word in literals:
+            found.add_word(word, True)
+    found.make_automaton()
+    return found
+
+
+_SIGN = _sign()
+
+
+def _has_sign(text: str) -> bool:
+    return _SIGN is None or next(_SIGN.iter(text), None) is not None
 
 
 def evidence(text: str) -> str | None:
@@ -232,17 +284,17 @@ def evidence(text: str) -> str | None:
     lines = [" ".join(x.split()) for x in shown.splitlines()]
     lines = [x for x in lines if x]
     joined = _SPOKEN.sub(" ", " ".join(lines))
-    sentences = [s for x in lines for s in _BREAK.split(x)]
-    if len(lines) > 1:  # those that run over the end of a line
+    signs = [x for x in lines if _has_sign(x)]
+    sentences = [s for x in signs for s in _BREAK.split(x)]
+    if len(lines) > 1 and (signs or _has_sign(joined)):  # those that run over the end of a line
         known = set(sentences)
         sentences += [s for s in _BREAK.split(joined) if s not in known]
     for sentence in sentences:
-        if m := _START_RE.match(sentence):
+        if _has_sign(sentence) and (m := _START_RE.match(sentence)):
             return next(name for name, group in zip(("error", "script", "filler"), m.groups(), strict=True) if group is not None)
     if any(_PLAIN_LINE.fullmatch(x) for x in lines if len(x) < 20):
         return "error"
-    words = joined.split()
-    if _is_repeated([w.strip(".,;") for w in words]) or _is_invented(words):
+    if _is_repeated(joined.replace(",", "").replace(".", "").replace(";", "").split()) or _is_invented(joined.split()):
         return "filler"
     if any(_EMPTY_LINE.fullmatch(x) and x != "n/a" for x in lines) or (lines and _NOTHING.fullmatch(" ".join(lines))):
         return "empty"
