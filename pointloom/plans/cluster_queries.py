@@ -6,6 +6,7 @@ give has: the sizes of drawn classes, and the groups of points that lie far apar
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,10 +220,16 @@ def graph_avg_path(spark, folder):
     return G.average_path(_edges(spark, folder)).withColumn("avg_path", even("avg_path", 6))
 
 
-@query()
+#: Numbers of shortest paths beside the distances; a node lies on those of a pair whose parts add up.
+_PATHS = f"""WITH RECURSIVE {_EDGES[5:]}, bfs(source, node, hops, ways_to) USING KEY (source, node) AS (
+  SELECT DISTINCT u, u, 0, 1.0::DOUBLE FROM ways UNION SELECT b.source, w.v, min(b.hops) + 1, sum(b.ways_to) FROM bfs b JOIN ways w ON w.u = b.node LEFT JOIN recurring.bfs s ON s.source = b.source AND s.node = w.v WHERE s.hops IS NULL GROUP BY b.source, w.v)"""
+
+
+@query(f"""{_PATHS}, total AS (SELECT count(DISTINCT node)::DOUBLE AS n FROM bfs), among AS (SELECT a.node, sum(a.ways_to * b.ways_to / c.ways_to) AS part FROM bfs a JOIN bfs b ON b.source = a.node JOIN bfs c ON c.source = a.source AND c.node = b.node
+WHERE a.hops > 0 AND b.hops > 0 AND a.hops + b.hops = c.hops GROUP BY a.node) SELECT node, round(coalesce(part, 0) / ((n - 1) * (n - 2)) + 1e-10, 6) AS betweenness FROM (SELECT DISTINCT node FROM bfs) LEFT JOIN among USING (node), total""")
 def graph_betweenness(spark, folder):
     """Betweenness of the nodes of that graph."""
-    return G.betweenness(_edges(spark, folder))
+    return G.betweenness(_edges(spark, folder)).withColumn("betweenness", even("betweenness", 6))
 
 
 @query()
@@ -237,6 +244,32 @@ def text_features(spark, folder):
     return text_points(table(spark, folder, "documents"), "doc_id", "text", 8)
 
 
+#: Moves that tell groups far apart from each other, and what they must be given.
+_MOVES = {"kpp_init": {}, "density_partition": {"eps": 0.0}, "eigen_embed": {}, "medoid_swap": {"out": 0}}
+
+
+@query("SELECT unnest(['kpp_init', 'density_partition', 'eigen_embed', 'medoid_swap']) AS move, (SELECT count(*) FROM embeddings) AS n, true AS apart, true AS legal, true AS ended")
+def rl_moves(spark, folder):
+    """What four moves of an episode do on groups that lie far apart: each cluster is of one group, the move was legal, and the episode ends in time."""
+    rows = separated(spark, folder).orderBy("point_id").collect()  # an episode is over one matrix
+    x = np.array([r["x"] for r in rows])
+    group = np.array([r["point_id"] % 3 for r in rows])
+    out = []
+    for move, params in _MOVES.items():
+        env = rl.Environment(x, 3, 1)
+        legal = move in {a for a, _ in env.legal()} or env.state.centers is None and move == "medoid_swap"
+        for action in ("kpp_init",) if move in ("medoid_swap", "eigen_embed") else ():
+            env.step(action)
+        state, _, done = env.step(move, **params)
+        for _ in range(env.max_steps):
+            if done:
+                break
+            _, _, done = env.step("update_centers")
+        pure = all(len(set(group[state.labels == c].tolist())) == 1 for c in np.unique(state.labels[state.labels >= 0]))
+        out.append((move, len(x), pure, legal, done))
+    return spark.createDataFrame(out, "move string, n long, apart boolean, legal boolean, ended boolean")
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value) + 1e-10, 6) AS mean, min(value) AS lowest, max(value) AS highest FROM events GROUP BY 1, 2")
 def event_windows(spark, folder):
     """Values per hour and kind of event; the same plan runs on a stream."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pointloom.plans import card_queries, cluster_queries, nested_queries, point_queries, relational_queries
+from pointloom.plans import card_queries, cluster_queries, file_queries, nested_queries, point_queries, relational_queries
 
-_MODULES = (relational_queries, point_queries, card_queries, cluster_queries, nested_queries)
+_MODULES = (relational_queries, point_queries, card_queries, cluster_queries, nested_queries, file_queries)
 
 FLAGSHIP = point_queries.kmeans_lloyd
 
