@@ -252,7 +252,8 @@ def discounted_to_go(df: DataFrame, keys: Sequence[str], order: str, reward: str
 
 def group_split(df: DataFrame, group: str, share: float, seed: int = 0) -> DataFrame:
     """`held_out`: whether the row's group is in the held-out share; groups are placed by a hash of group and seed."""
-    bucket = F.pmod(F.crc32(F.concat_ws("|", F.col(group).cast("string"), F.lit(str(seed)))), F.lit(10_000))
+    digest = F.md5(F.concat_ws("|", F.col(group).cast("string"), F.lit(str(seed))))
+    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(10_000))
     return df.withColumn("held_out", bucket < round(share * 10_000))
 
 

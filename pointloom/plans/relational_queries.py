@@ -150,11 +150,18 @@ def rank_test(spark, folder):
     return R.friedman(_cells(spark, folder), "wall_time_s", ["dataset"], higher=False, ties=False).withColumn("statistic", even("statistic", 6))
 
 
-@query()
+#: Upper tail of the chi-square distribution by the series of the incomplete gamma function.
+_TAIL_SQL = _chi("ari", "DESC", True).replace("WITH latest", "WITH RECURSIVE latest", 1).replace("FROM sums)\nSELECT n, k,", "FROM sums), stat AS (SELECT n, k,", 1)
+_TAIL_SQL += """), half AS (SELECT (k - 1) / 2.0::DOUBLE AS a, statistic / 2 AS x FROM stat),
+series(i, term, total) AS (SELECT 0, 1 / a, 1 / a FROM half UNION ALL SELECT i + 1, term * x / (a + i + 1), total + term * x / (a + i + 1) FROM series, half WHERE i < 2000)
+SELECT n, k, statistic, k - 1 AS freedom, round(greatest(0, 1 - exp(-x + a * ln(x) - lgamma(a)) * total) + 1e-10, 6) AS p FROM stat, half, series WHERE i = 2000"""
+
+
+@query(_TAIL_SQL)
 def friedman_test(spark, folder):
     """Friedman's statistic with its p-value."""
     tested = R.friedman(_cells(spark, folder), "ari", ["dataset"]).withColumn("freedom", F.col("k") - 1)
-    return R.with_chi_square_p(tested, "statistic", "freedom")
+    return R.with_chi_square_p(tested, "statistic", "freedom").withColumns({"statistic": even("statistic", 6), "p": even("p", 6)})
 
 
 @query(f"""{RUNS_SQL}, {_RANKED.format(t=_TASK, m='ari', d='DESC', f='runs')}, won AS (SELECT *, (ari = max(ari) OVER (PARTITION BY {_TASK}))::INT AS w FROM ranked)
@@ -313,7 +320,7 @@ def delta_cost(spark, folder):
     return _steps(spark, folder).select("run_id", "step_idx", F.round(F.col("cost") - F.lag("cost").over(w), 9).alias("change"))
 
 
-@query()
+@query("SELECT run_id, ('0x' || left(md5(run_id || '|0'), 8))::BIGINT % 10000 < 2000 AS held_out, count(*) AS n FROM step_records GROUP BY 1, 2")
 def group_split(spark, folder):
     """A fifth of the runs of step_records held out, whole runs at a time."""
     return R.group_split(table(spark, folder, "step_records"), "run_id", 0.2).groupBy("run_id", "held_out").agg(F.count(F.lit(1)).alias("n"))
