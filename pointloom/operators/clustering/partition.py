@@ -102,38 +102,92 @@ def clarans_pp(x, k, rng, numlocal=3, maxneigh=80, stop_on_first_reject=True, **
     return _medoids(x, _k(x, k), rng, numlocal, maxneigh, True, stop_on_first_reject)
 
 
-def leaders(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(centroids, sizes, leader of each row): summaries of count and sum that absorb rows while their radius stays within `threshold`."""
-    sums, squares, n, home = [], [], [], np.empty(len(x), dtype=int)
-    cents = np.empty((0, x.shape[1]))
-    for i, row in enumerate(x):
-        if len(cents):
-            j = int(((cents - row) ** 2).sum(axis=1).argmin())
-            s, q, c = sums[j] + row, squares[j] + row @ row, n[j] + 1
-            if q / c - (s / c) @ (s / c) <= threshold**2:
-                sums[j], squares[j], n[j] = s, q, c
-                cents[j] = s / c
-                home[i] = j
-                continue
-        sums.append(row.copy())
-        squares.append(float(row @ row))
-        n.append(1)
-        cents = np.vstack([cents, row])
-        home[i] = len(n) - 1
-    return cents, np.array(n), home
+class _Branch:
+    """A node of a tree of summaries: count, sum and sum of squares of each entry, and what each stands for (nothing in a leaf)."""
+
+    def __init__(self, d: int, room: int, leaf: bool):
+        self.n, self.ls, self.ss, self.below = np.zeros(room + 1), np.zeros((room + 1, d)), np.zeros(room + 1), None if leaf else []
+        self.size = 0
+
+    def add(self, n: float, ls: np.ndarray, ss: float, below: _Branch | None = None) -> None:
+        self.n[self.size], self.ls[self.size], self.ss[self.size] = n, ls, ss
+        if self.below is not None:
+            self.below.append(below)
+        self.size += 1
+
+    def centers(self) -> np.ndarray:
+        return self.ls[: self.size] / self.n[: self.size, None]
+
+    def halves(self) -> tuple[_Branch, _Branch]:
+        """Two nodes around the entries that are farthest apart."""
+        c = self.centers()
+        d = U.sq_dists(c, c)
+        i, j = np.unravel_index(int(d.argmax()), d.shape)
+        to_first = d[i] < d[j]
+        to_first[i], to_first[j] = True, False
+        out = []
+        for side in (True, False):
+            part = _Branch(self.ls.shape[1], len(self.n) - 1, self.below is None)
+            for e in np.flatnonzero(to_first == side).tolist():
+                part.add(self.n[e], self.ls[e], self.ss[e], None if self.below is None else self.below[e])
+            out.append(part)
+        return out[0], out[1]
+
+    def whole(self) -> tuple[float, np.ndarray, float]:
+        return float(self.n[: self.size].sum()), self.ls[: self.size].sum(axis=0), float(self.ss[: self.size].sum())
+
+    def insert(self, x: np.ndarray, sq: float, limit: float) -> tuple[_Branch, _Branch] | None:
+        """Put a row into the nearest summary that stays within the limit, or a new one; the halves of a node that is too full."""
+        i = int(((self.ls[: self.size] / self.n[: self.size, None] - x) ** 2).sum(axis=1).argmin()) if self.size else -1
+        if self.below is not None:
+            parts = self.below[i].insert(x, sq, limit)
+            if parts is None:
+                self.n[i] += 1
+                self.ls[i] += x
+                self.ss[i] += sq
+                return None
+            self.n[i], self.ls[i], self.ss[i] = parts[0].whole()
+            self.below[i] = parts[0]
+            self.add(*parts[1].whole(), parts[1])
+        else:
+            if i >= 0:
+                n, ls, ss = self.n[i] + 1, self.ls[i] + x, self.ss[i] + sq
+                if ss / n - float(ls @ ls) / (n * n) <= limit:
+                    self.n[i], self.ls[i], self.ss[i] = n, ls, ss
+                    return None
+            self.add(1.0, x, sq)
+        return self.halves() if self.size == len(self.n) else None
+
+    def leaves(self) -> list[_Branch]:
+        return [self] if self.below is None else [leaf for b in self.below for leaf in b.leaves()]
+
+
+def summaries(x: np.ndarray, threshold: float, branching: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, sizes) of the leaf entries of a height-balanced tree whose summaries keep a radius within `threshold`."""
+    root = _Branch(x.shape[1], branching, True)
+    shift = x.mean(axis=0)  # squares are taken about the mean, lest they cancel
+    for row in x - shift:
+        parts = root.insert(row, float(row @ row), threshold**2)
+        if parts is not None:
+            root = _Branch(x.shape[1], branching, False)
+            for part in parts:
+                root.add(*part.whole(), part)
+    leaves = root.leaves()
+    return np.vstack([leaf.centers() for leaf in leaves]) + shift, np.concatenate([leaf.n[: leaf.size] for leaf in leaves])
 
 
 @register("birch_algo")
-def birch(x, k, rng, threshold=1.5, **_):
-    """Mergeable summaries (count, sum, squares), then Ward over their centroids; the threshold shrinks until there are `k`."""
+def birch(x, k, rng, threshold=1.5, branching=50, **_):
+    """A tree of mergeable summaries, then Ward over its leaf entries; the threshold shrinks until there are `k`."""
     k = _k(x, k)
     while True:
-        c, n, home = leaders(x, threshold)
+        c, n = summaries(x, threshold, branching)
         if len(c) >= k or threshold < 1e-6:
             break
         threshold *= 0.7
     part = U.ward_chain(c, k, n)
-    return Fit(part[home], {"n_summaries": len(c)})
+    home = U.neighbours(x, 1, c)[1][:, 0]
+    return Fit(part[home], {"n_summaries": len(c), "threshold": threshold})
 
 
 @register("agglomerative")

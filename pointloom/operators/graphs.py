@@ -103,17 +103,21 @@ def eigenvector_centrality(edges: DataFrame, rounds: int = 200, tol: float = 1e-
 
 
 def hop_distances(edges: DataFrame, max_hops: int = 1000) -> DataFrame:
-    """(`source`, `node`, `hops`) for all reachable pairs: a frontier per round, until none is new."""
+    """(`source`, `node`, `hops`) for all reachable pairs: a frontier per round, until none is new.
+
+    A neighbour of a node at some distance is as far, one nearer or one farther; so what
+    a round reaches is compared with the last two frontiers, not with all that was seen.
+    """
     links = stage(both_ways(edges), "links")
-    frontier = links.select(F.col("u").alias("source"), F.col("u").alias("node")).distinct().withColumn("hops", F.lit(0))
-    seen = stage(frontier, "seen")
+    front = stage(links.select(F.col("u").alias("source"), F.col("u").alias("node")).distinct().withColumn("hops", F.lit(0)), "front")
+    last, seen = None, front
     for hop in range(1, max_hops):
-        front = seen.where(F.col("hops") == hop - 1)
         step = front.join(links, front["node"] == links["u"]).select("source", F.col("v").alias("node")).distinct()
-        new = stage(step.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)), "front")
+        near = front if last is None else front.unionByName(last)
+        new = stage(step.join(near, ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)), "front")
         if new.isEmpty():
             break
-        seen = seen.unionByName(new)
+        last, front, seen = front, new, seen.unionByName(new)
     return seen
 
 

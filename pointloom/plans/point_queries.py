@@ -13,6 +13,7 @@ from pointloom.operators import graphs as G
 from pointloom.operators import kmeans as K
 from pointloom.operators import metrics as M
 from pointloom.operators import neighbors as N
+from pointloom.operators import series as T
 from pointloom.operators.staging import stage
 from pointloom.plans.relational_queries import even
 from pointloom.sources.tables import table
@@ -91,10 +92,11 @@ def lof_scores(spark, folder):
     return N.local_outlier_factor(_knn(spark, folder)).select("i", even("lof", 6).alias("lof"))
 
 
-@query(f"{_LOF} SELECT round(avg((lof > 1.05)::INT) + 1e-10, 6) AS share FROM lof")
+@query(f"{_LOF.replace(f'rk <= {NEAR}', 'rk <= 20')} SELECT round(avg((lof > 1.5)::INT) + 1e-10, 6) AS share, round(avg((lof > 1.05)::INT) + 1e-10, 6) AS mild FROM lof")
 def outlier_frac(spark, folder):
-    """Share of points whose factor exceeds a bound."""
-    return N.local_outlier_factor(_knn(spark, folder)).agg(even(F.avg((F.col("lof") > 1.05).cast("int")), 6).alias("share"))
+    """Share of points whose factor over twenty neighbours exceeds 1.5, and 1.05."""
+    over = lambda b: even(F.avg((F.col("lof") > b).cast("int")), 6)
+    return N.local_outlier_factor(_knn(spark, folder, 20)).agg(over(1.5).alias("share"), over(1.05).alias("mild"))
 
 
 @query(f"{_LOF} SELECT i AS point_id, CASE WHEN row_number() OVER (ORDER BY round(lof, 9) DESC, i) <= (SELECT greatest(1, floor(count(*) * 0.05))::INT FROM lof) THEN -1 ELSE 0 END AS label FROM lof")
@@ -368,17 +370,15 @@ _SERIES = "WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x FRO
 
 
 def _series(spark, folder) -> DataFrame:
-    ev = table(spark, folder, "events").where("value is not null")
-    return ev.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s")).select("user_id", F.col("s.value").alias("x"))
+    return T.positioned(table(spark, folder, "events"), "user_id", ["ts", "event_id"], "value")
 
 
 @query(f"""{_SERIES}, k AS (SELECT *, CASE WHEN var > 1e-12 THEN sqrt(var) ELSE 1.0 END AS sd FROM v) SELECT user_id, round(mean + 1e-10, 5) AS mean, round(sqrt(var) + 1e-10, 5) AS std, list_min(x) AS min, list_max(x) AS max, round(list_max(x) - list_min(x) + 1e-10, 5) AS range,
 round(list_sum(list_transform(y, lambda a: a * a * a)) / n / pow(sd, 3) + 1e-10, 5) + 0.0::DOUBLE AS skew, round(list_sum(list_transform(y, lambda a: a * a * a * a)) / n / pow(sd, 4) - 3 + 1e-10, 5) + 0.0::DOUBLE AS kurtosis, round(list_sum(list_transform(y, lambda a: abs(a))) / n + 1e-10, 5) AS mad FROM k""")
 def ts_stats(spark, folder):
     """Eight statistics of every user's series of values."""
-    s = V.ts_statistics("x")
-    df = _series(spark, folder).withColumn("__pl_mean", s["__pl_mean"]).withColumn("__pl_var", s["__pl_var"])
-    return df.select("user_id", *[(even(c, 5) if k not in ("min", "max") else c).alias(k) for k, c in s.items() if not k.startswith("__")])
+    df = T.statistics(_series(spark, folder), "user_id")
+    return df.select("user_id", *[(even(c, 5) if c not in ("min", "max") else F.col(c)).alias(c) for c in df.columns[1:]])
 
 
 _LAGS = (1, 2, 5, 10)
@@ -387,16 +387,16 @@ _LAGS = (1, 2, 5, 10)
 @query(f"{_SERIES} SELECT user_id, " + ", ".join(f"round(CASE WHEN n <= {g} OR sqrt(list_sum(list_transform(y[1:n - {g}], lambda a: a * a)) / (n - {g})) * sqrt(list_sum(list_transform(y[{g + 1}:n], lambda a: a * a)) / (n - {g})) <= 1e-12 THEN 0 ELSE list_inner_product(y[1:n - {g}], y[{g + 1}:n]) / sqrt(list_sum(list_transform(y[1:n - {g}], lambda a: a * a)) * list_sum(list_transform(y[{g + 1}:n], lambda a: a * a))) END + 1e-10, 5) + 0.0::DOUBLE AS ac{g}" for g in _LAGS) + " FROM v")
 def ts_autocorr(spark, folder):
     """Autocorrelation of every user's series at four lags."""
-    df = _series(spark, folder).withColumn("__pl_mean", V.total("x") / F.size("x"))
-    return df.select("user_id", *[even(V.autocorrelation("x", g), 5).alias(f"ac{g}") for g in _LAGS])
+    df = T.autocorrelations(_series(spark, folder), "user_id", _LAGS)
+    return df.select("user_id", *[even(f"ac{g}", 5).alias(f"ac{g}") for g in _LAGS])
 
 
 @query(f"""{_SERIES}, t AS (SELECT *, CASE WHEN n > 1 THEN list_sum(list_transform(x, lambda v, i: (i - 1 - (n - 1) / 2.0::DOUBLE) * v)) / (n * (n::DOUBLE * n - 1) / 12) ELSE 0 END AS slope FROM v), r AS (SELECT user_id, n, list_transform(x, lambda v, i: v - mean - slope * (i - 1 - (n - 1) / 2.0::DOUBLE)) AS z FROM t)
 SELECT user_id, """ + ", ".join(f"round(CASE WHEN {k} <= n // 2 THEN sqrt(pow(list_sum(list_transform(z, lambda v, i: v * cos(2 * pi() * {k} * (i - 1) / n))), 2) + pow(list_sum(list_transform(z, lambda v, i: v * sin(2 * pi() * {k} * (i - 1) / n))), 2)) ELSE 0 END + 1e-10, 4) AS f{k}" for k in range(4)) + " FROM r")
 def ts_spectral(spark, folder):
     """First four Fourier magnitudes of every user's detrended series."""
-    df = _series(spark, folder).withColumn("__pl_mean", V.total("x") / F.size("x")).withColumn("z", V.detrended("x"))
-    return df.select("user_id", *[even(V.fourier_magnitude("z", k), 4).alias(f"f{k}") for k in range(4)])
+    df = T.spectrum(_series(spark, folder), "user_id", 4)
+    return df.select("user_id", *[even(f"f{k}", 4).alias(f"f{k}") for k in range(4)])
 
 
 @query(f"""WITH {_P}, dims AS (SELECT unnest(x) AS v, unnest(range({D})) AS k FROM pts), sd AS (SELECT k, stddev_pop(v) AS sd FROM dims GROUP BY k) SELECT count(*) AS effective_rank FROM sd WHERE sd > 0.1 * (SELECT max(sd) FROM sd)""")
