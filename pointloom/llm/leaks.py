@@ -68,7 +68,8 @@ class Index:
         n = self.n
         if len(tokens) < n or not len(self.hashes):
             return []
-        ids = np.fromiter((self.word.get(t, -1) for t in tokens), dtype=np.int32, count=len(tokens))
+        get = self.word.get
+        ids = np.array([get(t, -1) for t in tokens], dtype=np.int32)
         unknown = np.flatnonzero(ids < 0)
         bounds = np.concatenate([[-1], unknown, [len(ids)]])
         out = []
@@ -80,8 +81,8 @@ class Index:
                 places = self.places[low[i] : high[i]]
                 same = places[(self.text[places[:, None] + np.arange(n)] == stretch[i : i + n]).all(axis=1)]
                 if len(same):
-                    held = np.unique(np.searchsorted(self.starts, same, side="right") - 1)
-                    out.append((start + i, [self.names[j] for j in held.tolist()]))
+                    held = (np.searchsorted(self.starts, same, side="right") - 1).tolist()
+                    out.append((start + i, [self.names[j] for j in (sorted(set(held)) if len(held) > 1 else held)]))
         return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import regex
@@ -15,6 +16,8 @@ _LINK = regex.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]*\)")
 #: Format characters, fillers and selectors that are not seen; control characters that are not white space.
 _UNSEEN = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵ㅤﾠ︀-️\U000e0100-\U000e01ef\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
+#: The same for text of ASCII in lower case, by the standard engine.
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
 
 
 def without_markup(text: str) -> str:
@@ -38,7 +41,8 @@ def plain(text: str) -> str:
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits of the plain form without markup."""
-    return _WORD.findall(plain(without_markup(text)))
+    shown = plain(without_markup(text))
+    return (_ASCII_WORD if shown.isascii() else _WORD).findall(shown)
 
 
 def word_spans(text: str) -> list[tuple[str, int, int]]:
