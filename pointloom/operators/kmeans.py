@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.staging import stage
+from pointloom.operators.staging import discard, stage
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -46,52 +46,80 @@ def assign(points: DataFrame, centers: np.ndarray) -> DataFrame:
     return points.select("point_id", "x").mapInArrow(run, "point_id long, x array<double>, label int, sq double")
 
 
-def nearest_share(assigned: DataFrame, trim: float, bins: int = 4096) -> DataFrame:
-    """The members of each label but the farthest `trim` of them (at least one stays), ties by id.
+def _bin(sq: np.ndarray) -> np.ndarray:
+    """A bin of each squared distance that never falls with it: exponent and eight binary places, so no range need be known."""
+    return (np.ascontiguousarray(sq, dtype=np.float64).view(np.int64) >> 44).astype(np.int32)
 
-    A histogram of distances tells in which bin the cut of each label lies; whole
-    bins below are kept as they are and only that bin's members are ranked.
-    """
-    top = assigned.agg(F.max("sq")).first()[0] or 0.0
-    binned = assigned.withColumn("__pl_b", F.least(F.floor(F.col("sq") / F.lit(top or 1.0) * bins), F.lit(bins - 1)).cast("int"))
-    hist = binned.groupBy("label", "__pl_b").agg(F.count(F.lit(1)).alias("n"))
-    up = Window.partitionBy("label").orderBy("__pl_b")
-    whole = F.sum("n").over(Window.partitionBy("label"))
-    keep = F.greatest(F.lit(1), F.floor(whole * F.lit(1.0 - trim)))
+
+def _batches(batches: Iterator[pa.RecordBatch], centers: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        if batch.num_rows:
+            x = matrix(batch.column(1))
+            yield batch, x, *nearest_center(x, centers)
+
+
+def _cuts(points: DataFrame, centers: np.ndarray, trim: float) -> dict[int, tuple[int, int]]:
+    """Of each label the bin in which its nearest share ends, and how many members of that bin are in it: one pass, a row per label and bin."""
+    k = len(centers)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for _, _, label, sq in _batches(batches, centers):
+            key, n = np.unique(label.astype(np.int64) << 32 | _bin(sq), return_counts=True)
+            for at, m in zip(key.tolist(), n.tolist(), strict=True):
+                seen[at] = seen.get(at, 0) + m
+        at = np.fromiter(seen, dtype=np.int64, count=len(seen))
+        yield pa.RecordBatch.from_arrays([pa.array((at >> 32).astype(np.int32)), pa.array((at & 0xFFFFFFFF).astype(np.int32)), pa.array(list(seen.values()), type=pa.int64())], names=["label", "b", "n"])
+
+    hist = points.select("point_id", "x").mapInArrow(count, "label int, b int, n long").groupBy("label", "b").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy("label").orderBy("b")
+    keep = F.greatest(F.lit(1), F.floor(F.sum("n").over(Window.partitionBy("label")) * F.lit(1.0 - trim)))
     upto = hist.withColumn("keep", keep).withColumn("before", F.sum("n").over(up) - F.col("n"))
-    cut = upto.where((F.col("before") < F.col("keep")) & (F.col("before") + F.col("n") >= F.col("keep"))).select("label", F.col("__pl_b").alias("__pl_cut"), (F.col("keep") - F.col("before")).alias("__pl_more"))
-    marked = binned.join(F.broadcast(cut), "label")  # a row per label
-    inner = marked.where("__pl_b < __pl_cut")
-    edge = marked.where("__pl_b = __pl_cut").withColumn("__pl_r", F.row_number().over(Window.partitionBy("label").orderBy("sq", "point_id"))).where("__pl_r <= __pl_more")
-    return inner.select(*assigned.columns).unionByName(edge.select(*assigned.columns))
+    cut = upto.where((F.col("before") < F.col("keep")) & (F.col("before") + F.col("n") >= F.col("keep"))).select("label", "b", (F.col("keep") - F.col("before")).alias("more"))
+    return {r["label"]: (r["b"], r["more"]) for r in cut.limit(k).collect()}  # k rows
 
 
-def _sums(members: DataFrame, k: int, d: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sum and number of each label's members, and the sum of their squared distances: a row per label and task, then per label."""
+def _means(points: DataFrame, before: np.ndarray, cuts: dict[int, tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean and size of each label's members and the inertia of all points; a label without any keeps its centre.
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Points are assigned and added up in one pass, a row per label and task. With
+    `cuts`, members of farther bins are left out, and those of the bin of the cut are
+    rows of their own, of which the nearest are added.
+    """
+    k, d = before.shape
+    bound = np.full(k, np.iinfo(np.int32).max, dtype=np.int64)
+    for label, (b, _) in (cuts or {}).items():
+        bound[label] = b
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts, squares = np.zeros((k, d)), np.zeros(k, dtype=np.int64), np.zeros(k)
-        for batch in batches:
-            if batch.num_rows:
-                label = batch.column(0).to_numpy()
-                np.add.at(sums, label, matrix(batch.column(1)))
-                counts += np.bincount(label, minlength=k)
-                squares += np.bincount(label, weights=batch.column(2).to_numpy(), minlength=k)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(sums[at]), type=pa.list_(pa.float64())), pa.array(counts[at]), pa.array(squares[at])], names=["label", "s", "n", "sq"])
-
-    parts = members.select("label", "x", "sq").mapInArrow(partial, "label int, s array<double>, n long, sq double")
-    rows = parts.groupBy("label").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s"), F.sum("n").alias("n"), F.sum("sq").alias("sq")).collect()  # k rows
+        names = ["label", "s", "n", "sq", "point_id"]
+        for batch, x, label, sq in _batches(batches, before):
+            squares += np.bincount(label, weights=sq, minlength=k)
+            at = _bin(sq)
+            inner = at < bound[label]
+            np.add.at(sums, label[inner], x[inner])
+            counts += np.bincount(label[inner], minlength=k)
+            edge = np.flatnonzero(at == bound[label])
+            if len(edge):
+                yield pa.RecordBatch.from_arrays([pa.array(label[edge].astype(np.int32)), pa.array(list(x[edge]), type=pa.list_(pa.float64())), pa.array(np.ones(len(edge), dtype=np.int64)), pa.array(sq[edge]), batch.column(0).take(pa.array(edge))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(list(sums), type=pa.list_(pa.float64())), pa.array(counts), pa.array(squares), pa.nulls(k, pa.int64())], names=names)
+
+    parts = points.select("point_id", "x").mapInArrow(add, "label int, s array<double>, n long, sq double, point_id long")
+    total = [F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s"), F.sum("n").alias("n")]
+    if cuts is None:
+        rows = parts.groupBy("label").agg(*total, F.sum("sq").alias("sq")).collect()  # k rows
+    else:
+        parts = stage(parts, "parts")
+        more = F.create_map(*[F.lit(v) for label, (_, m) in cuts.items() for v in (label, m)])
+        near = F.row_number().over(Window.partitionBy("label").orderBy("sq", "point_id"))
+        edge = parts.where("point_id is not null").withColumn("turn", near).where(F.col("turn") <= more[F.col("label")]).select("label", "s", "n", F.lit(0.0).alias("sq"))
+        rows = parts.where("point_id is null").select("label", "s", "n", "sq").unionByName(edge).groupBy("label").agg(*total, F.sum("sq").alias("sq")).collect()  # k rows
+        discard(parts)
     sums, sizes = np.zeros((k, d)), np.zeros(k, dtype=np.int64)
     for r in rows:
         sums[r["label"]], sizes[r["label"]] = r["s"], r["n"]
-    return sums, sizes, float(sum(r["sq"] for r in rows))
-
-
-def _means(members: DataFrame, d: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Mean and size of each label's members and their inertia; a label without any keeps its centre."""
-    sums, sizes, inertia = _sums(members, len(before), d)
-    return np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], before), sizes, inertia
+    return np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], before), sizes, float(sum(r["sq"] for r in rows))
 
 
 @dataclass
@@ -107,13 +135,8 @@ def lloyd(points: DataFrame, centers: np.ndarray, max_iter: int = 100, tol: floa
     out = Lloyd(np.asarray(centers, dtype=np.float64))
     last = None
     for i in range(max_iter):
-        assigned = assign(points, out.centers)
-        if trim > 0:  # the assignment is read several times
-            assigned = stage(assigned, "assigned")
-            inertia = float(assigned.agg(F.sum("sq")).first()[0] or 0.0)
-            moved, _, _ = _means(nearest_share(assigned, trim), out.centers.shape[1], out.centers)
-        else:
-            moved, _, inertia = _means(assigned, out.centers.shape[1], out.centers)
+        cuts = _cuts(points, out.centers, trim) if trim > 0 else None
+        moved, _, inertia = _means(points, out.centers, cuts)
         shift = float(np.sqrt(((moved - out.centers) ** 2).sum(axis=1)).max())
         out.trace.append((i, inertia, shift))
         out.centers = moved

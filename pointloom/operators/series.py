@@ -19,13 +19,13 @@ from pointloom.operators.staging import stage
 RANGE = 1_000_000
 
 
-def positioned(df: DataFrame, key: str, order: Sequence[str], value: str, rows: int = RANGE) -> DataFrame:
-    """(`key`, `pos` from 0, `v`): the rows of each series numbered by `order`; rows without a value are left out, null is a series of its own.
+def positioned(df: DataFrame, key: str, order: Sequence[str], value: str, rows: int = RANGE, keep: Sequence[str] = ()) -> DataFrame:
+    """(`key`, `pos` from 0, `v`, columns to `keep`): the rows of each series numbered by `order`; rows without a value are left out, null is a series of its own.
 
     The table is sorted by ranges; a row's position is that within its range and the
     rows of its series in the ranges before.
     """
-    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(key).alias("k"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("v"))
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(key).alias("k"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("v"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
     ranges = max(1, math.ceil(known.count() / rows))
     by = ["k", *[f"o{i}" for i in range(len(order))]]
     ranged = stage(known.repartitionByRange(ranges, *by).withColumn("part", F.spark_partition_id()), "ranges")
@@ -34,7 +34,7 @@ def positioned(df: DataFrame, key: str, order: Sequence[str], value: str, rows:
     starts = counts.select(F.col("k").alias("of"), F.col("part").alias("at"), F.coalesce(before, F.lit(0)).alias("start"))
     local = F.row_number().over(Window.partitionBy("part", "k").orderBy(*by[1:])) - 1
     placed = ranged.withColumn("local", local).join(starts, F.col("k").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
-    return stage(placed.select(F.col("k").alias(key), (F.col("start") + F.col("local")).alias("pos"), "v"), "series")
+    return stage(placed.select(F.col("k").alias(key), (F.col("start") + F.col("local")).alias("pos"), "v", *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]), "series")
 
 
 def _moments(series: DataFrame, key: str) -> DataFrame:

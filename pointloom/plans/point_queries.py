@@ -68,9 +68,8 @@ _CURVE = f"WITH {_KNN}, curve AS (SELECT i, d FROM knn WHERE rk = 4)"
 @query(f"{_CURVE} SELECT row_number() OVER (ORDER BY d, i) AS place, round(d, 6) AS d FROM curve")
 def knn_distance_curve(spark, folder):
     """Sorted distances to the fourth neighbour."""
-    from pyspark.sql import Window
-
-    return _knn(spark, folder).where("rk = 4").select(F.row_number().over(Window.orderBy("d", "i")).cast("long").alias("place"), F.round("d", 6).alias("d"))
+    curve = T.positioned(_knn(spark, folder).where("rk = 4").select(F.lit(0).alias("all"), "d", "i"), "all", ["d", "i"], "d")
+    return curve.select((F.col("pos") + 1).cast("long").alias("place"), F.round("v", 6).alias("d"))
 
 
 _KNEE = f"""{_CURVE}, bent AS (SELECT d, row_number() OVER (ORDER BY d, i) AS pos, round(abs((d - min(d) OVER ()) / (max(d) OVER () - min(d) OVER ()) - (row_number() OVER (ORDER BY d, i) - 1)::DOUBLE / (count(*) OVER () - 1)), 9) AS gap FROM curve)"""
@@ -101,11 +100,11 @@ def outlier_frac(spark, folder):
 
 @query(f"{_LOF} SELECT i AS point_id, CASE WHEN row_number() OVER (ORDER BY round(lof, 9) DESC, i) <= (SELECT greatest(1, floor(count(*) * 0.05))::INT FROM lof) THEN -1 ELSE 0 END AS label FROM lof")
 def outlier_trim(spark, folder):
-    """The twentieth of the points with the highest factors as noise: found by a top-k, not a global sort."""
-    lof = stage(N.local_outlier_factor(_knn(spark, folder)).select("i", F.round("lof", 9).alias("lof")), "lof")
-    cut = max(1, int(lof.count() * 0.05))
-    top = lof.orderBy(F.desc("lof"), "i").limit(cut).select("i", F.lit(-1).alias("label"))
-    return lof.join(top, "i", "left").select(F.col("i").alias("point_id"), F.coalesce("label", F.lit(0)).alias("label"))
+    """The twentieth of the points with the highest factors as noise, by their places in ranges of the sorted table."""
+    lof = N.local_outlier_factor(_knn(spark, folder)).select(F.lit(0).alias("all"), "i", (-F.round("lof", 9)).alias("low"))
+    placed = T.positioned(lof, "all", ["low", "i"], "low", keep=["i"])
+    cut = max(1, int(placed.count() * 0.05))
+    return placed.select(F.col("i").alias("point_id"), F.when(F.col("pos") < cut, -1).otherwise(0).alias("label"))
 
 
 @query(f"WITH {_KNN}, m AS (SELECT i, avg(d) AS m FROM knn GROUP BY i) SELECT {_R.format('stddev_pop(m) / avg(m)')} AS density_skew FROM m")

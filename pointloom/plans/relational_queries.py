@@ -154,7 +154,7 @@ def rank_test(spark, folder):
 _TAIL_SQL = _chi("ari", "DESC", True).replace("WITH latest", "WITH RECURSIVE latest", 1).replace("FROM sums)\nSELECT n, k,", "FROM sums), stat AS (SELECT n, k,", 1)
 _TAIL_SQL += """), half AS (SELECT (k - 1) / 2.0::DOUBLE AS a, statistic / 2 AS x FROM stat),
 series(i, term, total) AS (SELECT 0, 1 / a, 1 / a FROM half UNION ALL SELECT i + 1, term * x / (a + i + 1), total + term * x / (a + i + 1) FROM series, half WHERE i < 2000)
-SELECT n, k, statistic, k - 1 AS freedom, round(greatest(0, 1 - exp(-x + a * ln(x) - lgamma(a)) * total) + 1e-10, 6) AS p FROM stat, half, series WHERE i = 2000"""
+SELECT n, k, statistic, k - 1 AS freedom, CASE WHEN statistic IS NOT NULL THEN round(greatest(0, 1 - exp(-x + a * ln(x) - lgamma(a)) * total) + 1e-10, 6) END AS p FROM stat, half, series WHERE i = 2000"""
 
 
 @query(_TAIL_SQL)

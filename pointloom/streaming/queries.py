@@ -28,7 +28,7 @@ class OnlineKMeans:
 
     def update(self, points: DataFrame) -> None:
         """Take in a batch: one pass of partial sums over it."""
-        moved, n, _ = K._means(K.assign(points, self.centers), self.centers.shape[1], self.centers)
+        moved, n, _ = K._means(points, self.centers)
         self.seen = self.seen * self.decay + n
         rate = np.where(self.seen > 0, n / np.maximum(self.seen, 1e-12), 0.0)
         self.centers = self.centers + rate[:, None] * (moved - self.centers)
