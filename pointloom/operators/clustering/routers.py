@@ -153,7 +153,7 @@ def learned_router_v5(x, k, rng, history: History = (), meta=None, **_):
     return _delegate(pick, x, k, rng, "stacked", {"used_v4": bool(use4)})
 
 
-def probe_metrics(x: np.ndarray, label: np.ndarray, purity: bool = True) -> dict[str, float]:
+def probe_metrics(x: np.ndarray, label: np.ndarray, purity: bool = True, most: int = 2000) -> dict[str, float]:
     """Silhouette, Calinski-Harabasz, inverse Davies-Bouldin and, if asked for, neighbour purity of a labelling, noise aside."""
     keep = label >= 0
     s, code = x[keep], np.unique(label[keep], return_inverse=True)[1] if keep.any() else np.empty(0, int)
@@ -170,7 +170,7 @@ def probe_metrics(x: np.ndarray, label: np.ndarray, purity: bool = True) -> dict
     db = float(((spread[:, None] + spread[None, :]) / np.maximum(d, 1e-12)).max(axis=1).mean())
     near = U.neighbours(x, max(3, min(10, len(x) // 20)))[1] if purity else None
     pure = float((label[near[keep]] == label[keep][:, None]).mean()) if purity else nan
-    return {"silhouette": U.silhouette(x, label), "calinski_harabasz": between / (k - 1) / max(sq.sum() / (len(s) - k), 1e-12), "db_inverse": 1 / (1 + db), "purity": pure}
+    return {"silhouette": U.silhouette(x, label, most), "calinski_harabasz": between / (k - 1) / max(sq.sum() / (len(s) - k), 1e-12), "db_inverse": 1 / (1 + db), "purity": pure}
 
 
 def aggregate(scores: dict[str, dict[str, float]], weights: dict[str, float]) -> dict[str, float]:

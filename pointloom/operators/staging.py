@@ -12,6 +12,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,4 +75,17 @@ def release(spark: SparkSession | None = None) -> None:
     _staged[:] = keep
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what was staged in it: for sessions that run many queries and keep none of their frames."""
+    before = {path for _, path in _staged}
+    try:
+        yield
+    finally:
+        for session, path in list(_staged):
+            if session is spark and path not in before:
+                _delete(session, path)
+        _staged[:] = [(s, p) for s, p in _staged if s is not spark or p in before]
+
+
 atexit.register(release)

@@ -37,6 +37,10 @@ STEP = "array<struct<step_idx: int, cost: double, delta_cost: double, accepted:
 RUN = f"run_id string, algo string, {TASK}, {MEASURES}, labels array<int>, steps {STEP}, error_type string, error_message string"
 
 
+#: Points of a cluster that Dunn's index of a run takes, and of a run that its silhouette takes.
+DUNN_ROWS, SILHOUETTE_ROWS = 2000, 5000
+
+
 @dataclass(frozen=True)
 class Algorithm:
     """A registered kernel, or with `entry` an external program."""
@@ -89,13 +93,18 @@ def score(x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> dict[str, float |
     outer = np.outer(pa, pb)
     mi = float((p[p > 0] * np.log(p[p > 0] / outer[p > 0])).sum())
     h = float(-(pa[pa > 0] * np.log(pa[pa > 0])).sum() - (pb[pb > 0] * np.log(pb[pb > 0])).sum()) / 2
-    probe = probe_metrics(x, np.unique(labels, return_inverse=True)[1], purity=False)
+    probe = probe_metrics(x, np.unique(labels, return_inverse=True)[1], purity=False, most=SILHOUETTE_ROWS)
     dunn = None
-    if 1 < len(names) <= 200:
+    if len(names) > 1:
         rng = np.random.default_rng(0)
-        some = [x[r if len(r) <= 500 else rng.choice(r, 500, replace=False)] for r in (np.flatnonzero(labels == v) for v in names)]
-        wide = max(float(U.sq_dists(s, s).max()) for s in some)
-        near = min(float(U.sq_dists(a, b).min()) for a, b in itertools.combinations(some, 2))
+        rows = np.concatenate([r if len(r) <= DUNN_ROWS else rng.choice(r, DUNN_ROWS, replace=False) for r in (np.flatnonzero(labels == v) for v in names)])
+        held, own = x[rows], labels[rows]
+        near, wide = np.inf, 0.0
+        for at in range(0, len(rows), 1000):
+            d = U.sq_dists(held[at : at + 1000], held)
+            same = own[at : at + 1000, None] == own[None, :]
+            near = min(near, float(np.min(d, initial=np.inf, where=~same)))
+            wide = max(wide, float(np.max(d, initial=0.0, where=same)))
         dunn = float(np.sqrt(near / wide)) if wide > 0 else None
     sep = float(U.sq_dists(c, c)[np.triu_indices(len(c), 1)].mean()) if len(c) > 1 else None
     db = probe["db_inverse"]

@@ -179,3 +179,17 @@ def test_staging_refuses_a_folder_of_one_machine():
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(Session)
+
+
+def test_a_scope_leaves_nothing_behind(spark):
+    from pathlib import Path
+
+    from pointloom.operators.staging import scope, stage
+
+    kept = stage(spark.range(3), "kept")
+    with scope(spark):
+        gone = stage(spark.range(5), "gone")
+        assert gone.count() == 5
+    assert kept.count() == 3
+    folder = Path(kept._pl_path.removeprefix("file://")).parent
+    assert not Path(gone._pl_path.removeprefix("file://")).exists() and any(folder.iterdir())
