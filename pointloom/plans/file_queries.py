@@ -81,6 +81,16 @@ def metrics_json(spark, folder):
     return back.groupBy("algo").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ari"), 6).alias("ari"))
 
 
+_SHOWN = ("ari", "nmi", "silhouette", "davies_bouldin", "dunn", "wall_time_s", "rss_delta_mb", "cpu_user_s", "cpu_system_s", "density", "outlier_extremity", "compactness")
+_AS_IS = ("algo", "dataset_id", "n_samples", "n_features", "k_target", "seed", "outliers", "noise", "n_clusters_found", "n_steps", "dataset_source", "dataset_domain")
+
+
+@query(f"SELECT result_id, {', '.join(_AS_IS)}, {', '.join(f'{finite_sql(c)} AS {c}' for c in _SHOWN)} FROM results")
+def dashboard_rows(spark, folder):
+    """Every result as a dashboard shows it, with its id."""
+    return sinks.dashboard(table(spark, folder, "results"), ["result_id"])
+
+
 @query("SELECT name, family, handles_k_directly FROM cards")
 def cards_json_array(spark, folder):
     """Cards written as one JSON array and read back as rows."""

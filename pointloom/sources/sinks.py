@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +108,42 @@ def nested_runs(runs: DataFrame, steps: DataFrame) -> DataFrame:
     return runs.join(each, "run_id", "left").withColumn("steps", F.coalesce("steps", empty)).withColumn("n_steps", F.size("steps"))
 
 
+# The columns that a dashboard shows of a result, in order; the experiment's compactness comes last.
+DASHBOARD = (
+    "algo", "dataset_id", "n_samples", "n_features", "k_target", "seed", "outliers", "noise", "density", "ari", "nmi", "silhouette", "davies_bouldin", "dunn", "wall_time_s", "rss_delta_mb", "cpu_user_s", "cpu_system_s",
+    "n_clusters_found", "n_steps", "theoretical_wall_time_s", "theoretical_rss_mb", "theoretical_ari_upper_bound", "dataset_source", "dataset_domain", "outlier_extremity",
+)
+
+
+def dashboard(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Columns `also` and the dashboard's columns that `df` has, NaN and infinities as null, and compactness as a number (null if it is none)."""
+    shown = [c for c in dict.fromkeys((*also, *DASHBOARD, "compactness")) if c in df.columns]
+    kinds = dict(df.dtypes)
+    inf = float("inf")
+
+    def plain(c: str):
+        if c == "compactness" and kinds[c] == "string":
+            return F.col(c).try_cast("double").alias(c)
+        if kinds[c] in ("double", "float"):
+            return F.when(~F.isnan(c) & (F.abs(c) != inf), F.col(c)).alias(c)
+        return F.col(c)
+
+    return df.select(*[plain(c) for c in shown])
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(`path`, `point_id`, `x`): the rows of matrices in `.npy` files, a file a task; a vector is a matrix of one column."""
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.load(io.BytesIO(raw), allow_pickle=False)
+                x = np.asarray(x, dtype=np.float64).reshape(len(x), -1)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), type=pa.string()), pa.array(np.arange(len(x))), pa.array(list(x), type=pa.list_(pa.float64()))], names=["path", "point_id", "x"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(load, "path string, point_id long, x array<double>")
+
+
 def append_runs(existing: DataFrame, new: DataFrame, keys: list[str], folder: str) -> dict[str, int]:
     """Merge new runs into existing ones by `keys`, write the result, and count what happened."""
     merged = stage(upsert(existing, new, keys), "merged")

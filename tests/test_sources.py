@@ -193,3 +193,12 @@ def test_a_scope_leaves_nothing_behind(spark):
     assert kept.count() == 3
     folder = Path(kept._pl_path.removeprefix("file://")).parent
     assert not Path(gone._pl_path.removeprefix("file://")).exists() and any(folder.iterdir())
+
+
+def test_matrices_and_the_dashboard(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.arange(6.0).reshape(3, 2))
+    np.save(tmp_path / "b.npy", np.arange(4))
+    got = {(r["path"][-5:], r["point_id"]): list(r["x"]) for r in sinks.read_matrix(spark, f"{tmp_path}/*.npy").collect()}
+    assert got["a.npy", 2] == [4.0, 5.0] and got["b.npy", 3] == [3.0] and len(got) == 7
+    df = spark.createDataFrame([("kmeans", float("nan"), "1.5", 9), ("gmm", 0.5, "none", 9)], "algo string, ari double, compactness string, other int")
+    assert sorted(map(tuple, sinks.dashboard(df).collect())) == [("gmm", 0.5, None), ("kmeans", None, 1.5)]
