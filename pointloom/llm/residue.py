@@ -84,42 +84,115 @@ _ERRORS = [
     r"(?:the |this |that )?(?:page|content|resource|document|file|article)(?: that)? (?:you (?:asked|are looking|were looking|requested)(?: for)? )?(?:was |could |can ?)?not (?:be )?found\b",
     rf"(?:the |this |that )?requested (?:url|uri|page|resource|file|document|address|content)\b[^.!?]{{0,80}}? {_LACKS}",
     r"(?:oops|whoops|uh-oh)(?:\s*(?:$|[!.…,:–—-]+\s*$)|[!.…,:–—-]*\s*(?:(?:something|that page|this page|the page|we (?:can|could|were|are|hit|ran|have|broke)|it (?:looks|seems)|looks like|page|an? (?:unexpected )?error|there (?:was|is|has)|sorry|nothing|your )))",
-    rf"{_SORRY}(?:but )?something (?:has gone|went|is) (?:terribly |horribly )?wrong\b", r"access (?:was |is )?denied\s*(?:$|[.!])", r"your (?:ip )?address has been blocked",
+    rf"{_SORRY}(?:but )?something (?:has gone|went|is) (?:terribly |horribly )?wrong\b",
+    r"access (?:was |is )?denied\s*(?:$|[.!])",
+    r"your (?:ip )?address has been blocked",
     r"sorry[,.!:]* (?:this|the|that) (?:page|content|site) (?:isn.?t|is not|is no longer) available", r"your session has (?:expired|timed out)",
-    r"upstream connect error", r"you have (?:reached|exceeded) (?:the|your) (?:\w+ )?(?:limit|quota)", r"too many requests", r"(?:the )?connection (?:has )?(?:timed out|was reset)", r"(?:we are|we.re|the (?:site|service|server) is|this site is) (?:currently )?(?:down|offline|closed) for (?:scheduled |planned )?maintenance", r"application error: a (?:server|client).side exception", r"the request could not be completed",
-    rf"{_SORRY}an? (?:unexpected |internal |unknown )?(?:server )?error (?:has )?occurred", r"this (?:site|page) can.?t be reached", r"you (?:do(?: not|n.?t) have|lack) (?:the )?permissions? to (?:view|access)",
+    r"upstream connect error",
+    r"you have (?:reached|exceeded) (?:the|your) (?:\w+ )?(?:limit|quota)",
+    r"too many requests",
+    r"(?:the )?connection (?:has )?(?:timed out|was reset)",
+    r"(?:we are|we.re|the (?:site|service|server) is|this site is) (?:currently )?(?:down|offline|closed) for (?:scheduled |planned )?maintenance",
+    r"application error: a (?:server|client).side exception",
+    r"the request could not be completed",
+    rf"{_SORRY}an? (?:unexpected |internal |unknown )?(?:server )?error (?:has )?occurred",
+    r"this (?:site|page) can.?t be reached",
+    r"you (?:do(?: not|n.?t) have|lack) (?:the )?permissions? to (?:view|access)",
     rf"{_SORRY}(?:we|the server) (?:can.?t|cannot|can not|could ?n.?t|could not|were unable to|are unable to|was unable to) (?:find|locate|load|display|complete|process) (?:the|that|this|your) (?:page|request|resource|content|file)",
-    r"(?:la )?page (?:demandée )?(?:est )?introuvable", r"seite (?:wurde )?nicht gefunden", r"(?:no se encontró la )?página (?:solicitada )?no (?:se ha )?encontrada",
-    r"no se encontró la página", r"zugriff verweigert", r"accès (?:refusé|interdit)", r"acceso denegado", r"ページが見つかりません", r"アクセスが拒否", r"页面未找到|找不到页面|抱歉，您访问的页面不存在|您访问的页面",
-    r"(?:запрашиваемая |запрошенная )?страница не (?:найдена|существует)", r"доступ (?:запрещ[её]н|закрыт)", r"что-то пошло не так", r"произошла (?:внутренняя )?ошибка",
-    r"(?:nie znaleziono (?:takiej )?strony|(?:podana |szukana )?strona nie (?:została znaleziona|istnieje))", r"(?:odmowa dostępu|brak dostępu|dostęp zabroniony)", r"coś poszło nie tak", r"wystąpił (?:nieoczekiwany )?błąd",
-    r"(?:de )?(?:opgevraagde )?pagina (?:is |werd |kon )?niet (?:worden )?gevonden", r"toegang (?:geweigerd|verboden)", r"er is iets (?:mis|fout|verkeerd) ?gegaan", r"er is een (?:onverwachte )?fout opgetreden",
-    r"(?:요청하신 )?페이지를 찾을 수 없습니다", r"접근이 (?:거부|차단)", r"(?:알 수 없는 )?오류가 발생했습니다", r"(?:la )?pagina (?:richiesta )?non (?:è stata )?trovata", r"accesso negato", r"qualcosa è andato storto", r"página não (?:foi )?encontrada", r"acesso negado", r"algo deu errado",
-    r"une erreur (?:inattendue )?(?:est survenue|s.est produite)", r"(?:ein|es ist ein) (?:unerwarteter )?fehler (?:ist )?aufgetreten", r"etwas ist schiefgelaufen", r"(?:se ha producido|ocurrió) un error", r"algo salió mal",
+    r"(?:la )?page (?:demandée )?(?:est )?introuvable",
+    r"seite (?:wurde )?nicht gefunden",
+    r"(?:no se encontró la )?página (?:solicitada )?no (?:se ha )?encontrada",
+    r"no se encontró la página",
+    r"zugriff verweigert",
+    r"accès (?:refusé|interdit)",
+    r"acceso denegado",
+    r"ページが見つかりません",
+    r"アクセスが拒否",
+    r"页面未找到|找不到页面|抱歉，您访问的页面不存在|您访问的页面",
+    r"(?:запрашиваемая |запрошенная )?страница не (?:найдена|существует)",
+    r"доступ (?:запрещ[её]н|закрыт)",
+    r"что-то пошло не так",
+    r"произошла (?:внутренняя )?ошибка",
+    r"(?:nie znaleziono (?:takiej )?strony|(?:podana |szukana )?strona nie (?:została znaleziona|istnieje))",
+    r"(?:odmowa dostępu|brak dostępu|dostęp zabroniony)",
+    r"coś poszło nie tak",
+    r"wystąpił (?:nieoczekiwany )?błąd",
+    r"(?:de )?(?:opgevraagde )?pagina (?:is |werd |kon )?niet (?:worden )?gevonden",
+    r"toegang (?:geweigerd|verboden)",
+    r"er is iets (?:mis|fout|verkeerd) ?gegaan",
+    r"er is een (?:onverwachte )?fout opgetreden",
+    r"(?:요청하신 )?페이지를 찾을 수 없습니다",
+    r"접근이 (?:거부|차단)",
+    r"(?:알 수 없는 )?오류가 발생했습니다",
+    r"(?:la )?pagina (?:richiesta )?non (?:è stata )?trovata",
+    r"accesso negato",
+    r"qualcosa è andato storto",
+    r"página não (?:foi )?encontrada",
+    r"acesso negado",
+    r"algo deu errado",
+    r"une erreur (?:inattendue )?(?:est survenue|s.est produite)",
+    r"(?:ein|es ist ein) (?:unerwarteter )?fehler (?:ist )?aufgetreten",
+    r"etwas ist schiefgelaufen",
+    r"(?:se ha producido|ocurrió) un error",
+    r"algo salió mal",
 ]
 _WALLS = [
     rf"(?:you (?:need|have) to |you must |kindly |please |to [\w ]{{3,40}}, (?:please )?)?(?:enable|turn on|switch on|activate|allow|unblock) {_SCRIPTS}\b",
     rf"(?:this|our|the|your) [\w ]{{2,40}}?(?:requires?|needs?) (?:a browser with |you to (?:enable|allow) |that )?{_SCRIPTS}\b",
     rf"(?:this|our|the|your) [\w ]{{2,40}}?(?:does not|doesn.?t|will not|won.?t|cannot|can.?t) (?:work|run|load|function|be shown|be displayed) (?:properly |correctly )?(?:without|unless) {_SCRIPTS}\b",
-    rf"(?:please |you (?:need|have) to |kindly )?(?:turn|switch) {_SCRIPTS} (?:back )?on\b", rf"without {_SCRIPTS}[, ]+(?:enabled |turned on |switched on )?(?:this|our|the) [\w ]{{2,40}}(?:does not|doesn.?t|will not|won.?t|cannot|can.?t)\b",
+    rf"(?:please |you (?:need|have) to |kindly )?(?:turn|switch) {_SCRIPTS} (?:back )?on\b",
+    rf"without {_SCRIPTS}[, ]+(?:enabled |turned on |switched on )?(?:this|our|the) [\w ]{{2,40}}(?:does not|doesn.?t|will not|won.?t|cannot|can.?t)\b",
     rf"{_SCRIPTS} (?:is|are|must be|needs? to be|has to be|have to be|seems? to be) (?:required|needed|necessary|disabled|blocked|switched off|turned off|enabled|allowed|switched on|turned on)\b",
-    r"your browser (?:has|does not|doesn.?t) (?:it (?:switched|turned) off|support (?:java ?script|scripts))", r"allow them for this site", r"checking your browser before",
-    r"(?:veuillez |merci d.)?(?:activer|activez|autorisez|autoriser) (?:java ?script|les (?:scripts|cookies))", r"java ?script (?:est|doit être) (?:requis|nécessaire|désactivé|activé)",
+    r"your browser (?:has|does not|doesn.?t) (?:it (?:switched|turned) off|support (?:java ?script|scripts))",
+    r"allow them for this site",
+    r"checking your browser before",
+    r"(?:veuillez |merci d.)?(?:activer|activez|autorisez|autoriser) (?:java ?script|les (?:scripts|cookies))",
+    r"java ?script (?:est|doit être) (?:requis|nécessaire|désactivé|activé)",
     r"(?:cette|notre|ce) [\w ]{2,30} (?:nécessite|requiert|exige) (?:java ?script|des scripts)",
-    r"(?:bitte )?(?:aktivieren|erlauben|schalten) sie (?:java ?script|skripte|cookies)", r"(?:diese|unsere|dieser|unser) [\w ]{2,30}(?:benötigt|erfordert|braucht) (?:java ?script|skripte|scripts)",
-    r"(?:por favor,? )?(?:active|activa|habilite|habilita) (?:java ?script|los scripts|las cookies)", r"(?:esta|este|nuestra|nuestro) [\w ]{2,30} (?:requiere|necesita) (?:java ?script|scripts)",
-    r"(?:пожалуйста,? )?включите (?:поддержку )?java ?script", r"для (?:работы|просмотра|корректной работы) [^.!?]{0,40}(?:необходим|требуется|нужен|включите) java ?script", r"(?:proszę )?włącz(?:yć)? (?:obsługę )?java ?script", r"ta (?:strona|witryna) wymaga (?:obsługi )?java ?script",
-    r"(?:schakel|zet) java ?script (?:in|aan)", r"deze (?:site|website|pagina) (?:vereist|heeft) java ?script", r"(?:이 페이지를 보려면 )?(?:자바스크립트|java ?script)를 (?:활성화|사용|켜)",
-    r"(?:ative|habilite) o? ?java ?script", r"(?:per favore )?(?:abilita|attiva) java ?script", r"[^。]{0,30}(?:java ?script|スクリプト|クッキー)を有効に", r"请(?:启用|开启) ?java ?script",
+    r"(?:bitte )?(?:aktivieren|erlauben|schalten) sie (?:java ?script|skripte|cookies)",
+    r"(?:diese|unsere|dieser|unser) [\w ]{2,30}(?:benötigt|erfordert|braucht) (?:java ?script|skripte|scripts)",
+    r"(?:por favor,? )?(?:active|activa|habilite|habilita) (?:java ?script|los scripts|las cookies)",
+    r"(?:esta|este|nuestra|nuestro) [\w ]{2,30} (?:requiere|necesita) (?:java ?script|scripts)",
+    r"(?:пожалуйста,? )?включите (?:поддержку )?java ?script",
+    r"для (?:работы|просмотра|корректной работы) [^.!?]{0,40}(?:необходим|требуется|нужен|включите) java ?script",
+    r"(?:proszę )?włącz(?:yć)? (?:obsługę )?java ?script",
+    r"ta (?:strona|witryna) wymaga (?:obsługi )?java ?script",
+    r"(?:schakel|zet) java ?script (?:in|aan)",
+    r"deze (?:site|website|pagina) (?:vereist|heeft) java ?script",
+    r"(?:이 페이지를 보려면 )?(?:자바스크립트|java ?script)를 (?:활성화|사용|켜)",
+    r"(?:ative|habilite) o? ?java ?script",
+    r"(?:per favore )?(?:abilita|attiva) java ?script",
+    r"[^。]{0,30}(?:java ?script|スクリプト|クッキー)を有効に",
+    r"请(?:启用|开启) ?java ?script",
 ]
 _FILLERS = [
     r"lorem\b", r"this is (?:a |some )?(?:placeholder|dummy|filler|sample) text", r"replace (?:it|this|me)(?: text)? with your (?:own )?\w+",
-    r"(?:your|the) (?:\w+ ){1,2}(?:goes|go|will appear|appears) here", r"sample (?:heading|title|paragraph|text)(?: sample|\s*[.!]|\s*$)", r"type your \w+ here",
+    r"(?:your|the) (?:\w+ ){1,2}(?:goes|go|will appear|appears) here",
+    r"sample (?:heading|title|paragraph|text)(?: sample|\s*[.!]|\s*$)",
+    r"type your \w+ here",
     r"(?:insert|add|write|enter) (?:\w+ ){0,5}(?:sentences?|introduction|paragraphs?|description|summary|text|title)(?: about [\w ]{1,30}| in this [\w ]{1,20}| here| below)\s*(?:$|[.!])",
-    r"votre \w+ (?:apparaîtra|ira|va|viendra) ici", r"(?:texte|contenu) (?:de remplissage|fictif|provisoire)", r"(?:ihr|ihre|der|die|dein|deine) \w+ (?:steht|erscheint|kommt) hier",
-    r"hier (?:steht|erscheint|folgt|kommt) (?:(?:später|bald|noch|demnächst) )*(?:ihr|ihre|der|die|das|dein|ein|eine)\b", r"(?:\w+ )?(?:überschrift|titel|text|beschreibung|zusammenfassung) (?:hier )?(?:einfügen|eingeben|ergänzen)", r"(?:bitte )?vor (?:dem veröffentlichen|der veröffentlichung) (?:ersetzen|ausfüllen)", r"(?:dies ist (?:ein )?)?(?:platzhalter|blindtext|fülltext)", r"(?:su|tu|aquí (?:va|irá) (?:su|tu|el|la)) \w+ (?:aparecerá|irá|va) aquí", r"aquí (?:va|irá|aparecerá) (?:su|tu|el|la) ",
-    r"(?:\w+ )?à (?:remplacer|compléter|remplir)(?: avant (?:la )?publication)?\s*(?:$|[.!])", r"(?:escriba|inserte|introduzca|añada) (?:aquí )?(?:un|una|el|la|su) (?:título|texto|descripción|resumen)", r"(?:reemplazar|sustituir|reemplace|sustituya) antes de publicar", r"replace (?:\w+ )?before (?:you )?publish(?:ing|ed)?",
-    r"(?:это )?текст[- ](?:заполнитель|рыба|заглушка)", r"здесь (?:будет|появится|должен быть) (?:ваш |ваша )?(?:текст|описание|заголовок)", r"(?:tutaj|tu) (?:będzie|pojawi się|wpisz) (?:twój |swój )?(?:tekst|opis|tytuł)", r"(?:tekst|treść) zastępcz[ya]", r"hier komt (?:de|uw|je|jouw|een) (?:tekst|titel|beschrijving)", r"(?:dit is )?(?:voorbeeldtekst|opvultekst)", r"여기에 [^.!?]{0,20}(?:입력|작성)", r"(?:testo|contenuto) (?:segnaposto|di esempio)", r"(?:este é um )?texto de (?:exemplo|preenchimento)",
+    r"votre \w+ (?:apparaîtra|ira|va|viendra) ici",
+    r"(?:texte|contenu) (?:de remplissage|fictif|provisoire)",
+    r"(?:ihr|ihre|der|die|dein|deine) \w+ (?:steht|erscheint|kommt) hier",
+    r"hier (?:steht|erscheint|folgt|kommt) (?:(?:später|bald|noch|demnächst) )*(?:ihr|ihre|der|die|das|dein|ein|eine)\b",
+    r"(?:\w+ )?(?:überschrift|titel|text|beschreibung|zusammenfassung) (?:hier )?(?:einfügen|eingeben|ergänzen)",
+    r"(?:bitte )?vor (?:dem veröffentlichen|der veröffentlichung) (?:ersetzen|ausfüllen)",
+    r"(?:dies ist (?:ein )?)?(?:platzhalter|blindtext|fülltext)",
+    r"(?:su|tu|aquí (?:va|irá) (?:su|tu|el|la)) \w+ (?:aparecerá|irá|va) aquí",
+    r"aquí (?:va|irá|aparecerá) (?:su|tu|el|la) ",
+    r"(?:\w+ )?à (?:remplacer|compléter|remplir)(?: avant (?:la )?publication)?\s*(?:$|[.!])",
+    r"(?:escriba|inserte|introduzca|añada) (?:aquí )?(?:un|una|el|la|su) (?:título|texto|descripción|resumen)",
+    r"(?:reemplazar|sustituir|reemplace|sustituya) antes de publicar",
+    r"replace (?:\w+ )?before (?:you )?publish(?:ing|ed)?",
+    r"(?:это )?текст[- ](?:заполнитель|рыба|заглушка)",
+    r"здесь (?:будет|появится|должен быть) (?:ваш |ваша )?(?:текст|описание|заголовок)",
+    r"(?:tutaj|tu) (?:będzie|pojawi się|wpisz) (?:twój |swój )?(?:tekst|opis|tytuł)",
+    r"(?:tekst|treść) zastępcz[ya]",
+    r"hier komt (?:de|uw|je|jouw|een) (?:tekst|titel|beschrijving)",
+    r"(?:dit is )?(?:voorbeeldtekst|opvultekst)",
+    r"여기에 [^.!?]{0,20}(?:입력|작성)",
+    r"(?:testo|contenuto) (?:segnaposto|di esempio)",
+    r"(?:este é um )?texto de (?:exemplo|preenchimento)",
     r"(?:este es un )?texto de (?:relleno|ejemplo|muestra)", r"ここに[^。]{0,20}(?:入力|記入|表示|入り|書いて)", r"(?:これは)?(?:ダミー|サンプル|仮の?)テキスト",
 ]
 #: Tried at every sentence: the standard engine is the faster one for many alternatives.
