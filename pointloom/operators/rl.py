@@ -333,11 +333,11 @@ def default_policy() -> Policy:
 
 
 @register("rl_pipeline")
-def rl_pipeline(x, k, rng, policy: Policy | None = None, rollouts: int = 3, most: int = 800, **_) -> Fit:
+def rl_pipeline(x, k, rng, policy: Policy | None = None, rollouts: int = 3, most: int | None = None, **_) -> Fit:
     """Best of several rollouts: those with the right number of clusters first, then a raw silhouette of 0.40, then one in the embedding; noise goes to a cluster of its own."""
     k = max(2, min(k or 3, len(x) - 1))
     policy = policy or default_policy()
-    chosen = np.arange(len(x)) if len(x) <= most else np.sort(rng.choice(len(x), most, replace=False))
+    chosen = np.arange(len(x)) if most is None or len(x) <= most else np.sort(rng.choice(len(x), most, replace=False))
     found = []
     for i in range(rollouts):
         state, steps = rollout(policy, x[chosen], k, int(rng.integers(1 << 30)) + i)
