@@ -136,44 +136,74 @@ class _Branch:
     def whole(self) -> tuple[float, np.ndarray, float]:
         return float(self.n[: self.size].sum()), self.ls[: self.size].sum(axis=0), float(self.ss[: self.size].sum())
 
-    def insert(self, x: np.ndarray, sq: float, limit: float) -> tuple[_Branch, _Branch] | None:
-        """Put a row into the nearest summary that stays within the limit, or a new one; the halves of a node that is too full."""
-        i = int(((self.ls[: self.size] / self.n[: self.size, None] - x) ** 2).sum(axis=1).argmin()) if self.size else -1
+    def insert(self, n: float, ls: np.ndarray, ss: float, limit: float) -> tuple[_Branch, _Branch] | None:
+        """Put a row, or a summary, into the nearest one that stays within the limit, or a new one; the halves of a node that is too full."""
+        i = int(((self.ls[: self.size] / self.n[: self.size, None] - ls / n) ** 2).sum(axis=1).argmin()) if self.size else -1
         if self.below is not None:
-            parts = self.below[i].insert(x, sq, limit)
+            parts = self.below[i].insert(n, ls, ss, limit)
             if parts is None:
-                self.n[i] += 1
-                self.ls[i] += x
-                self.ss[i] += sq
+                self.n[i] += n
+                self.ls[i] += ls
+                self.ss[i] += ss
                 return None
             self.n[i], self.ls[i], self.ss[i] = parts[0].whole()
             self.below[i] = parts[0]
             self.add(*parts[1].whole(), parts[1])
         else:
             if i >= 0:
-                n, ls, ss = self.n[i] + 1, self.ls[i] + x, self.ss[i] + sq
-                if ss / n - float(ls @ ls) / (n * n) <= limit:
-                    self.n[i], self.ls[i], self.ss[i] = n, ls, ss
+                count, sums, squares = self.n[i] + n, self.ls[i] + ls, self.ss[i] + ss
+                if squares / count - float(sums @ sums) / (count * count) <= limit:
+                    self.n[i], self.ls[i], self.ss[i] = count, sums, squares
                     return None
-            self.add(1.0, x, sq)
+            self.add(n, ls, ss)
         return self.halves() if self.size == len(self.n) else None
 
     def leaves(self) -> list[_Branch]:
         return [self] if self.below is None else [leaf for b in self.below for leaf in b.leaves()]
 
 
+class Summaries:
+    """A height-balanced tree of summaries whose radius stays within `threshold`; with `most`, the threshold grows whenever there would be more."""
+
+    def __init__(self, d: int, threshold: float, branching: int = 50, most: int | None = None):
+        self.d, self.threshold, self.branching, self.most = d, threshold, branching, most
+        self.root, self.count = _Branch(d, branching, True), 0
+
+    def add(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> None:
+        """Take in rows (of which n is 1) or summaries."""
+        for count, sums, squares in zip(n.tolist(), ls, ss.tolist(), strict=True):
+            parts = self.root.insert(count, sums, squares, self.threshold**2)
+            if parts is not None:
+                self.root = _Branch(self.d, self.branching, False)
+                for part in parts:
+                    self.root.add(*part.whole(), part)
+            self.count += 1
+            if self.most is not None and self.count > 2 * self.most:
+                self._shrink()
+
+    def _shrink(self) -> None:
+        n, ls, ss = self.entries()
+        while len(n) > self.most:
+            self.threshold = self.threshold * 1.5 or 1e-6
+            self.root, self.most, most = _Branch(self.d, self.branching, True), None, self.most
+            self.add(n, ls, ss)
+            self.most = most
+            n, ls, ss = self.entries()
+        self.count = len(n)
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, sums and sums of squares of the leaf entries."""
+        leaves = self.root.leaves()
+        return tuple(np.concatenate([getattr(leaf, f)[: leaf.size] for leaf in leaves]) for f in ("n", "ls", "ss"))
+
+
 def summaries(x: np.ndarray, threshold: float, branching: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, sizes) of the leaf entries of a height-balanced tree whose summaries keep a radius within `threshold`."""
-    root = _Branch(x.shape[1], branching, True)
+    """(centroids, sizes) of the leaf entries of a tree over the rows of a matrix."""
     shift = x.mean(axis=0)  # squares are taken about the mean, lest they cancel
-    for row in x - shift:
-        parts = root.insert(row, float(row @ row), threshold**2)
-        if parts is not None:
-            root = _Branch(x.shape[1], branching, False)
-            for part in parts:
-                root.add(*part.whole(), part)
-    leaves = root.leaves()
-    return np.vstack([leaf.centers() for leaf in leaves]) + shift, np.concatenate([leaf.n[: leaf.size] for leaf in leaves])
+    tree = Summaries(x.shape[1], threshold, branching)
+    tree.add(np.ones(len(x)), x - shift, ((x - shift) ** 2).sum(axis=1))
+    n, ls, _ = tree.entries()
+    return ls / n[:, None] + shift, n
 
 
 @register("birch_algo")

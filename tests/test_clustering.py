@@ -237,3 +237,26 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in spark.table("flat").collect()] == [("r", 3)]
     ev = spark.createDataFrame([(0, "a", 1.0), (1800, "a", 3.0), (4000, "a", 5.0)], "s long, kind string, value double").selectExpr("timestamp_seconds(s) as ts", "kind", "value")
     assert sorted(r["n"] for r in windowed_values(ev, "ts", "kind", "value").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("algo", ["birch_algo", "minibatch_kmeans"])
+def test_partition_forms_agree_with_those_in_one_memory(spark, algo):
+    from pointloom.operators.clustering import cluster
+    from pointloom.operators.clustering import kernels as U
+    from pointloom.sources.generators import DataSpec, generate
+
+    df = generate(spark, "blobs", DataSpec(1500, 3, 4, 0.6, 3)).repartition(5)
+    whole = {r["point_id"]: r["label"] for r in cluster(df, algo, 4, 1).labels.collect()}
+    parts = {r["point_id"]: r["label"] for r in cluster(df, algo, 4, 1, fit_rows=100).labels.collect()}
+    ids = sorted(whole)
+    assert sorted(parts) == ids and U.ari(np.array([whole[i] for i in ids]), np.array([parts[i] for i in ids])) > 0.95
+
+
+def test_summaries_never_outgrow_their_bound():
+    from pointloom.operators.clustering.partition import Summaries
+
+    x = np.random.default_rng(0).normal(size=(3000, 2))
+    tree = Summaries(2, 0.0, 20, 50)
+    tree.add(np.ones(len(x)), x, (x * x).sum(axis=1))
+    n, ls, ss = tree.entries()
+    assert n.sum() == 3000 and len(n) <= 101 and np.allclose(ls.sum(axis=0), x.sum(axis=0)) and np.isclose(ss.sum(), (x * x).sum())
