@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 
 from pointloom.operators.clustering import kernels as U
@@ -12,15 +10,15 @@ from pointloom.operators.clustering.base import REGISTRY, Fit, Step, register
 
 def vote(aligned: list[np.ndarray], weights: list[float] | None = None) -> np.ndarray:
     """Label with most votes, or weight, of each point: noise counts only if all say so, the first of equals wins."""
-    weights = weights or [1.0] * len(aligned)
-    out = np.empty(len(aligned[0]), dtype=int)
-    for i, row in enumerate(zip(*aligned, strict=True)):
-        tally: dict[int, float] = Counter()
-        for label, w in zip(row, weights, strict=True):
-            if label >= 0:
-                tally[int(label)] += w
-        out[i] = max(tally, key=tally.__getitem__) if tally else -1
-    return out
+    said = np.array(aligned)
+    rows = np.arange(said.shape[1])
+    tally = np.zeros((said.shape[1], max(int(said.max(initial=-1)), 0) + 1))
+    for labels, w in zip(said, weights or [1.0] * len(aligned), strict=True):
+        known = labels >= 0
+        tally[rows[known], labels[known]] += w
+    score = np.where(said >= 0, tally[rows, said], -np.inf)
+    best = score.argmax(axis=0)
+    return np.where((said >= 0).any(axis=0), said[best, rows], -1)
 
 
 def _bases(x, k, rng, base, base_params):
