@@ -340,23 +340,27 @@ def evidence(text: str) -> str | None:
         text = html.unescape(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
-    told = _FENCED.sub("\n", text)
+    told = _FENCED.sub("\n", text) if "```" in text or "~~~" in text or "<" in text else text
     if not told.strip():  # a fence that opens a text and never closes holds all of it: then it is no quotation
         told = _OPEN_FENCE.sub("\n", text)
-    told = _TICKED.sub(" ", told)
-    if _BODY.search(told):
+    if "`" in told:
+        told = _TICKED.sub(" ", told)
+    if "{" in told and _BODY.search(told):
         return "error"
-    told = _QUOTED.sub(" ", told)
+    if not told.isascii() or '"' in told or "'" in told:
+        told = _QUOTED.sub(" ", told)
     if _may_hold_slot(told) and _SLOT.search(told):
         return "slot"
     if "<" in told:
         told = _BLOCK_TAG.sub("\n", told)
     shown = without_markup(told).casefold()
-    if _SLOT_PLAIN.search(shown):
+    if ("xxxx" in shown or "[" in shown) and _SLOT_PLAIN.search(shown):
         return "slot"
     lines = [" ".join(x.split()) for x in shown.splitlines()]
     lines = [x for x in lines if x]
-    joined = _SPOKEN.sub(" ", " ".join(lines))
+    joined = " ".join(lines)
+    if '"' in joined:
+        joined = _SPOKEN.sub(" ", joined)
     signs = [x for x in lines if _has_sign(x)]
     sentences = [s for x in signs for s in _BREAK.split(x)]
     if len(lines) > 1 and (signs or _has_sign(joined)):  # those that run over the end of a line
@@ -406,7 +410,8 @@ def _is_content(key: Column) -> Column:
     """Whether a line has the words of real content, or as much in a script that doesn't part words."""
     words = F.length(key) - F.length(F.replace(key, F.lit(" "))) + 1
     dense = F.length(F.regexp_replace(key, r"[^\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]", ""))
-    return (words >= CONTENT_WORDS) | ((F.octet_length(key) > 1.8 * F.length(key)) & (dense >= 2 * CONTENT_WORDS))
+    long = F.length(key) >= 2 * CONTENT_WORDS - 1  # shorter ones have neither
+    return long & ((words >= CONTENT_WORDS) | ((F.octet_length(key) > 1.8 * F.length(key)) & (dense >= 2 * CONTENT_WORDS)))
 
 
 def find_residue(docs: DataFrame, doc: str, text: str, host: str, recurrent: int = RECURRENT, beside: float = BESIDE, max_lines: int = MAX_LINES) -> DataFrame:
