@@ -113,7 +113,7 @@ def test_returns_query_keeps_long_runs(spark, monkeypatch):
     from pointloom.plans import relational_queries as Q
 
     monkeypatch.setattr(Q, "_steps", lambda *_: spark.range(300).selectExpr("'a' run_id", "int(id) step_idx", "-1.0D delta_cost"))
-    assert Q.returns_to_go_whole(spark, "").count() == 300
+    assert Q.returns_to_go(spark, "").count() == 300
 
 
 def test_flat_tables_keep_rows_with_nan(spark, monkeypatch):
@@ -121,5 +121,5 @@ def test_flat_tables_keep_rows_with_nan(spark, monkeypatch):
 
     df = spark.createDataFrame([(1, "kmeans", 1.0, float("nan"), 0.5, 2.0), (2, "gmm", 1.0, 0.1, None, float("nan"))], "result_id long, algo string, compactness double, ari double, nmi double, metric_compactness double")
     monkeypatch.setattr(Q, "table", lambda *_: df)
-    got = sorted(tuple(r) for r in Q.results_flatten_whole(spark, "").collect())
+    got = sorted(tuple(r) for r in Q.results_flatten(spark, "").collect())
     assert got == [(1, "kmeans", 1.0, None, 0.5, 2.0), (2, "gmm", 1.0, 0.1, None, None)]
