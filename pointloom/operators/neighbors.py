@@ -70,6 +70,12 @@ class Cells:
         n = points.count()
         block = max(block, math.ceil(n / MAX_BLOCKS))
         wanted = min(MAX_PIVOTS, max(1, math.ceil(n / block)))
+        if wanted == 1:  # one block, around nothing
+            self.pivots = np.zeros((1, 1))
+            whole = points.agg(F.sort_array(F.collect_list(F.struct("point_id", "x"))).alias("ps")).where(F.size("ps") > 0)
+            nothing = F.lit(0.0)
+            self.table = stage(whole.select(F.lit(0).cast("long").alias("b"), F.lit(0).alias("c"), nothing.alias("r_min"), nothing.alias("r_max"), F.col("ps.point_id").alias("ids"), F.col("ps.x").alias("xs")), "blocks")
+            return
         chosen = points.select("x", "point_id").orderBy(F.xxhash64("point_id"), "point_id").limit(wanted).collect()
         self.pivots = _matrix([r["x"] for r in chosen])[:, skip:] if chosen else np.zeros((1, 0))
         around = spark.sparkContext.broadcast(self.pivots)
@@ -136,6 +142,34 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_product(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by one matrix product, and a bound on how wrong cancellation makes them."""
+    mid = b.mean(axis=0) if len(b) else 0.0
+    a, b = a - mid, b - mid
+    na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    d = na[:, None] + nb[None, :] - 2.0 * (a @ b.T)
+    return np.maximum(d, 0.0), 1e-11 * float(na.max(initial=0.0) + nb.max(initial=0.0)) + 1e-18
+
+
+def _exact(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Distances of some pairs of rows by differences, to nine places."""
+    out = np.zeros(len(rows))
+    for k in range(a.shape[1]):
+        diff = a[rows, k] - b[cols, k]
+        out += diff * diff
+    return np.round(np.sqrt(out), 9)
+
+
+def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows are at most `eps` apart, to nine places: by a product, and by differences where that can't tell."""
+    d, slack = _by_product(a, b)
+    slack += 4e-9 * (eps + 1e-9)
+    near = d <= eps * eps - slack
+    rows, cols = np.nonzero(np.abs(d - eps * eps) <= slack)
+    near[rows, cols] = _exact(a, b, rows, cols) <= eps
+    return near
+
+
 def _matrix(column) -> np.ndarray:
     return np.array([np.asarray(x, dtype=np.float64) for x in column])
 
@@ -152,22 +186,28 @@ def knn(points: DataFrame, k: int, queries: DataFrame | None = None, block: int
         for frame in frames:
             for q_ids, q_xs, ids, xs in zip(frame["q_ids"], frame["q_xs"], frame["ids"], frame["xs"], strict=True):
                 q_ids, ids = np.asarray(q_ids), np.asarray(ids)
-                d = np.round(distances(_matrix(q_xs), _matrix(xs)), 9)
-                d[q_ids[:, None] == ids[None, :]] = np.inf
-                m = min(k, d.shape[1])
-                rows, cols = np.nonzero(d <= np.partition(d, m - 1, axis=1)[:, m - 1 : m])  # the k nearest and what ties with the last
-                order = np.lexsort((ids[cols], d[rows, cols], rows))
-                rows, cols = rows[order], cols[order]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                keep = (place < k) & np.isfinite(d[rows, cols])
-                yield pd.DataFrame({"i": q_ids[rows[keep]], "j": ids[cols[keep]], "d": d[rows[keep], cols[keep]]})
+                a, b = _matrix(q_xs), _matrix(xs)
+                guess, slack = _by_product(a, b)
+                guess[q_ids[:, None] == ids[None, :]] = np.inf
+                m = min(k, guess.shape[1])
+                last = np.partition(guess, m - 1, axis=1)[:, m - 1 : m]
+                rows, cols = np.nonzero((guess <= last + 2 * slack + 4e-9 * (np.sqrt(last) + 1e-9)) & np.isfinite(guess))  # the k nearest and what may tie with the last
+                d = _exact(a, b, rows, cols)
+                order = np.lexsort((ids[cols], d, rows))
+                rows, cols, d = rows[order], cols[order], d[order]
+                keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                yield pd.DataFrame({"i": q_ids[rows[keep]], "j": ids[cols[keep]], "d": d[keep]})
 
     def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             far = []
             for xs in frame["xs"]:
                 x = _matrix(xs)
-                far.append(float(np.partition(distances(x, x), k, axis=1)[:, k].max()) if len(x) > k else np.inf)
+                if len(x) <= k:
+                    far.append(np.inf)
+                    continue
+                d, slack = _by_product(x, x)
+                far.append(float(np.sqrt(np.partition(d, k, axis=1)[:, k].max() + slack)) + 1e-8)
             yield pd.DataFrame({"b": frame["b"], "reach": far})
 
     if itself:
@@ -188,7 +228,7 @@ def within(points: DataFrame, eps: float, block: int = BLOCK) -> DataFrame:
         for frame in frames:
             for q_ids, q_xs, ids, xs in zip(frame["q_ids"], frame["q_xs"], frame["ids"], frame["xs"], strict=True):
                 q_ids, ids = np.asarray(q_ids), np.asarray(ids)
-                near = np.round(distances(_matrix(q_xs), _matrix(xs)), 9) <= eps
+                near = _near(_matrix(q_xs), _matrix(xs), eps)
                 near &= q_ids[:, None] != ids[None, :]
                 a, b = np.nonzero(near)
                 yield pd.DataFrame({"i": q_ids[a], "j": ids[b]})
@@ -251,7 +291,7 @@ def neighbour_counts(points: DataFrame, eps: float, block: int = BLOCK, cells: C
         for frame in frames:
             for q_ids, q_xs, ids, xs in zip(frame["q_ids"], frame["q_xs"], frame["ids"], frame["xs"], strict=True):
                 q_ids, ids = np.asarray(q_ids), np.asarray(ids)
-                near = np.round(distances(_matrix(q_xs), _matrix(xs)), 9) <= eps
+                near = _near(_matrix(q_xs), _matrix(xs), eps)
                 near &= q_ids[:, None] != ids[None, :]
                 yield pd.DataFrame({"node": q_ids, "n": near.sum(axis=1)})
 
@@ -325,7 +365,7 @@ def _links(points: DataFrame, eps: float, block: int) -> DataFrame:
         for frame in frames:
             for q_ids, q_xs, ids, xs in zip(frame["q_ids"], frame["q_xs"], frame["ids"], frame["xs"], strict=True):
                 q_ids, ids, a, b = np.asarray(q_ids), np.asarray(ids), _matrix(q_xs), _matrix(xs)
-                near = np.round(distances(a[:, 1:], b[:, 1:]), 9) <= eps
+                near = _near(a[:, 1:], b[:, 1:], eps)
                 near &= (b[:, 0] > 0)[None, :]
                 inner = near & (a[:, 0] > 0)[:, None] & (q_ids[:, None] < ids[None, :])
                 i, j = np.nonzero(inner)
